@@ -1,0 +1,72 @@
+"""Shapiro-Wilk W and its p-value by Royston's 1995 approximation, for one bounded sample."""
+
+from __future__ import annotations
+
+from statistics import NormalDist
+
+import numpy as np
+import pandas as pd
+
+# Polynomial coefficients of Royston (1995), lowest order first.
+LAST_WEIGHT = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
+NEXT_WEIGHT = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+SMALL_GAMMA = (-2.273, 0.459)
+SMALL_MEAN = (0.544, -0.39978, 0.025054, -0.0006714)
+SMALL_LOG_SD = (1.3822, -0.77857, 0.062767, -0.0020322)
+LARGE_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
+LARGE_LOG_SD = (-0.4803, -0.082676, 0.0030302)
+
+
+def _poly(coefficients, x: float) -> float:
+    return float(np.polynomial.polynomial.polyval(x, coefficients))
+
+
+def _weights(n: int) -> np.ndarray:
+    if n == 3:
+        return np.array([-np.sqrt(0.5), 0.0, np.sqrt(0.5)])
+    ppf = NormalDist().inv_cdf
+    scores = np.array([ppf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    total = float(scores @ scores)
+    u = 1.0 / np.sqrt(n)
+    last = _poly(LAST_WEIGHT, u) + scores[-1] / np.sqrt(total)
+    if n > 5:
+        second = _poly(NEXT_WEIGHT, u) + scores[-2] / np.sqrt(total)
+        spread = (total - 2 * scores[-1] ** 2 - 2 * scores[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
+        outer = [last, second]
+    else:
+        spread = (total - 2 * scores[-1] ** 2) / (1 - 2 * last**2)
+        outer = [last]
+    weights = scores / np.sqrt(spread)
+    for i, w in enumerate(outer):
+        weights[-1 - i], weights[i] = w, -w
+    return weights
+
+
+def shapiro(values: np.ndarray) -> tuple[float, float] | None:
+    """(W, p), or None below three values or for a constant sample."""
+    x = np.sort(np.asarray(values, dtype=float))
+    n = len(x)
+    if n < 3 or x[0] == x[-1]:
+        return None
+    centred = x - x.mean()
+    w = min(1.0, float(_weights(n) @ x) ** 2 / float(centred @ centred))
+    if n == 3:
+        p = 6.0 / np.pi * (np.arcsin(np.sqrt(w)) - np.arcsin(np.sqrt(0.75)))
+        return w, float(min(1.0, max(0.0, p)))
+    if w == 1.0:
+        return w, 1.0
+    y = np.log(1.0 - w)
+    if n <= 11:
+        gamma = _poly(SMALL_GAMMA, n)
+        if y >= gamma:
+            return w, 0.0
+        y, mean, sd = -np.log(gamma - y), _poly(SMALL_MEAN, n), np.exp(_poly(SMALL_LOG_SD, n))
+    else:
+        mean, sd = _poly(LARGE_MEAN, np.log(n)), np.exp(_poly(LARGE_LOG_SD, np.log(n)))
+    return w, float(NormalDist().cdf(-(y - mean) / sd))
+
+
+def shapiro_frame(pdf: pd.DataFrame) -> pd.DataFrame:
+    result = shapiro(pdf["value"].to_numpy())
+    w, p = result if result else (None, None)
+    return pd.DataFrame({"column": [pdf["column"].iloc[0]], "n": [len(pdf)], "w": [w], "p": [p]})
