@@ -32,6 +32,9 @@ class Filter:
         tests = [F.col(col).isNotNull()]
         if low is not None:
             tests.append(F.col(col) >= low)
+            if high is None:
+                # NaN sorts above every number; an upper bound already shuts it out.
+                tests.append(~F.isnan(F.col(col)))
         if high is not None:
             tests.append(F.col(col) <= high)
         return Filter(f"{col}: {low} to {high}", col, _all(tests))

@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pearson
@@ -31,29 +31,51 @@ def _doubles(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Unrounded r of every column pair (a before b), each over the rows where both are present.
 
-    All pairs share one aggregate; very wide tables take a further pass per ``PAIRS_PER_PASS`` pairs.
+    A first pass finds means and which columns have nulls; the second sums products of centred values.
+    Columns without nulls share their squares over all pairs, so a pair costs one sum. Very wide tables take a
+    further pass per ``PAIRS_PER_PASS`` pairs. r is null where either side is constant.
     """
     cols = list(cols if cols is not None else column_roles(df).numeric)
     numbers = _doubles(df, cols)
+    facts = numbers.agg(
+        F.count("*"), *[e for c in cols for e in (F.count(f"`{c}`"), F.avg(f"`{c}`"), F.min(f"`{c}`"), F.max(f"`{c}`"))]
+    ).first()
+    total = facts[0]
+    full = {c: facts[4 * i + 1] == total for i, c in enumerate(cols)}
+    flat = {c: facts[4 * i + 3] == facts[4 * i + 4] for i, c in enumerate(cols)}
+    x = {c: F.col(f"`{c}`") - F.lit(facts[4 * i + 2]).cast("double") for i, c in enumerate(cols)}
     pairs = list(combinations(enumerate(cols), 2))
     out = None
     for first in range(0, len(pairs), PAIRS_PER_PASS):
-        rows = [
-            F.struct(
-                F.lit(i).alias("i"),
-                F.lit(j).alias("j"),
-                F.lit(a).alias("a"),
-                F.lit(b).alias("b"),
-                pearson(f"`{a}`", f"`{b}`").alias("r"),
-                F.regr_count(F.col(f"`{a}`"), F.col(f"`{b}`")).alias("n"),
+        rows = []
+        for (i, a), (j, b) in pairs[first : first + PAIRS_PER_PASS]:
+            both = None if full[a] and full[b] else F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()
+            r, n = _pair_correlation(x[a], x[b], both)
+            if flat[a] or flat[b]:
+                r = F.lit(None).cast("double")
+            rows.append(
+                F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r"), n.alias("n"))
             )
-            for (i, a), (j, b) in pairs[first : first + PAIRS_PER_PASS]
-        ]
         part = numbers.agg(F.array(*rows).alias("_rows")).select(F.inline("_rows"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _pair_correlation(x: Column, y: Column, both: Column | None) -> tuple[Column, Column]:
+    """(r, n) from sums of centred values; ``both`` restricts the rows, None takes them all."""
+    kept = (lambda c: c) if both is None else (lambda c: F.when(both, c))
+    n = F.count("*") if both is None else F.count_if(both)
+    size = F.nullif(n, F.lit(0)).cast("double")
+    sx, sy = F.sum(kept(x)), F.sum(kept(y))
+    xx = F.sum(kept(x * x)) - sx * sx / size
+    yy = F.sum(kept(y * y)) - sy * sy / size
+    r = F.try_divide(F.sum(kept(x * y)) - sx * sy / size, F.sqrt(xx) * F.sqrt(yy))
+    if both is not None:
+        flat = (F.min(kept(x)) == F.max(kept(x))) | (F.min(kept(y)) == F.max(kept(y)))
+        r = F.when(~flat, r)
+    return r, n
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Long form of the full symmetric matrix, rounded to two digits."""
     cols = list(cols if cols is not None else column_roles(df).numeric)

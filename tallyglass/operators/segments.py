@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,6 +19,7 @@ from ..plans.quantiles import exact_quantiles
 # Seed and restarts of the clustering.
 SEED = 42
 RESTARTS = 10
+PARALLEL_FITS = 5
 
 
 def feature_vectors(df: DataFrame, feats: Sequence[str], scaled: bool = True, out: str = "_features") -> DataFrame:
@@ -28,11 +31,22 @@ def feature_vectors(df: DataFrame, feats: Sequence[str], scaled: bool = True, ou
     return scaler.fit(raw).transform(raw).drop("_raw")
 
 
-def best_kmeans(vectors: DataFrame, col: str, k: int, n_init: int = RESTARTS, seed: int = SEED):
-    """The model of least cost over ``n_init`` seeds. ``vectors`` is cached while the seeds are tried."""
+def best_kmeans(
+    vectors: DataFrame, col: str, k: int, n_init: int = RESTARTS, seed: int = SEED, parallelism: int = PARALLEL_FITS
+):
+    """The model of least cost over ``n_init`` seeds, the first on a tie.
+
+    ``vectors`` is cached while the seeds are tried; ``parallelism`` fits are submitted at a time.
+    """
     data = vectors.select(col).persist()
+
+    def fit(i: int):
+        return KMeans(featuresCol=col, predictionCol="cluster", k=k, seed=seed + i).fit(data)
+
     try:
-        fits = [KMeans(featuresCol=col, predictionCol="cluster", k=k, seed=seed + i).fit(data) for i in range(n_init)]
+        data.count()
+        with ThreadPoolExecutor(parallelism) as pool:
+            fits = list(pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(n_init)))
         return min(fits, key=lambda m: m.summary.trainingCost)
     finally:
         data.unpersist()

@@ -119,6 +119,7 @@ def near_duplicates(
         for side in ("a", "b"):
             shown = texts.select(F.col("_id").alias(f"id_{side}"), F.col("_text").alias(f"text_{side}"))
             found = found.join(shown, f"id_{side}")
+        found = found.select("id_a", "id_b", "similarity", "kind", "copies_a", "copies_b", "text_a", "text_b")
     return found.orderBy(F.desc("similarity"), "id_a", "id_b")
 
 
@@ -203,7 +204,8 @@ def match_profile(
     matches = similar_rows(df, id_col, key, feats, k, metric).orderBy(order, id_col).limit(shown)
     ranked = matches.withColumn("rank", F.row_number().over(Window.orderBy(order, id_col)).cast("long"))
     query = df.filter(F.col(id_col) == key).withColumn("rank", F.lit(0).cast("long"))
-    both = query.select("rank", id_col, *feats).unionByName(ranked.select("rank", id_col, *feats))
+    kept = ["rank", *dict.fromkeys([id_col, *feats])]
+    both = query.select(*kept).unionByName(ranked.select(*kept))
     pairs = ", ".join(f"'{f}', CAST(`{f}` AS DOUBLE)" for f in feats)
     return both.selectExpr("rank", f"`{id_col}`", f"stack({len(feats)}, {pairs}) AS (feature, value)")
 

@@ -26,6 +26,6 @@ def salted_join(
     flags = F.broadcast(hot.filter("_hot").select(*keys, "_hot"))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(SALTS))).otherwise(0)
     left = rows.join(flags, keys, "left").withColumn("_salt", salt.cast("long")).drop("_hot")
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = hot.withColumn("_salt", F.explode(salts).cast("long")).drop("_hot")
+    last = F.when(F.col("_hot"), F.lit(SALTS - 1)).otherwise(0).cast("long")
+    right = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("_hot")
     return left.join(right, [*keys, "_salt"]).drop("_salt")

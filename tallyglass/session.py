@@ -9,6 +9,7 @@ from __future__ import annotations
 import pathlib
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -57,3 +58,8 @@ def ship_package(spark: SparkSession) -> None:
     archive = shutil.make_archive(f"{folder}/tallyglass", "zip", root.parent, root.name)
     spark.sparkContext.addPyFile(archive)
     _shipped.add(application)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder, for results that are written and read back."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
