@@ -74,8 +74,8 @@ def _(t):
 
 # Normal equations of two features, solved by Cramer's rule on centred sums.
 NORMAL = """c AS (SELECT net AS y, l_extendedprice AS a, l_quantity AS b FROM m WHERE net IS NOT NULL),
-v AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM c),
-k AS (SELECT (ay * bb - by * ab) / (aa * bb - ab * ab) AS ka, (by * aa - ay * ab) / (aa * bb - ab * ab) AS kb, * FROM v),
+v AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM c),
+k AS (SELECT (ay * bb - yb * ab) / (aa * bb - ab * ab) AS ka, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS kb, * FROM v),
 f AS (SELECT ka, kb, my - ka * ma - kb * mb AS k0 FROM k)"""
 
 

@@ -35,7 +35,7 @@ def hierarchy(df: DataFrame, path: Sequence[str], value: str) -> DataFrame:
     leaves = (
         df.dropna(subset=path)
         .groupBy(*path)
-        .agg(aggregate(value, "sum").alias("_v"), F.sum(F.col(value) * F.col(value)).alias("_vv"))
+        .agg(aggregate(value, "sum").alias("_v"), F.sum(F.col(value).cast("double") * F.col(value)).alias("_vv"))
     )
     depth = sum((1 - F.grouping(c) for c in path[1:]), 1 - F.grouping(path[0]))
     levels = leaves.rollup(*path).agg(depth.cast("long").alias("depth"), F.sum("_v").alias("value"), F.sum("_vv").alias("_vv"))

@@ -41,11 +41,8 @@ def histogram_grid(df: DataFrame, bins: int = 25, cols: Sequence[str] | None = N
     ends = df.agg(
         F.struct(*[e for i, c in enumerate(cols) for e in (F.min(x[c]).alias(f"low{i}"), F.max(x[c]).alias(f"high{i}"))])
     ).scalar()
-    cells = [
-        F.struct(F.lit(c).alias("column"), equal_width_bin(x[c], ends[f"low{i}"], ends[f"high{i}"], bins).alias("bin"))
-        for i, c in enumerate(cols)
-    ]
-    long = df.select(F.inline(F.array(*cells))).filter("bin IS NOT NULL")
+    cells = [e for i, c in enumerate(cols) for e in (F.lit(c), equal_width_bin(x[c], ends[f"low{i}"], ends[f"high{i}"], bins))]
+    long = df.select(F.stack(F.lit(len(cols)), *cells).alias("column", "bin")).filter("bin IS NOT NULL")
     return long.groupBy("column", "bin").agg(F.count("*").alias("count"))
 
 

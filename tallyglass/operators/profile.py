@@ -91,38 +91,44 @@ def quality_score(df: DataFrame) -> DataFrame:
 
 
 def numeric_stats(
-    df: DataFrame, cols: Sequence[str] | None = None, fences: Sequence[float] = (1.5,), distinct: bool = False
+    df: DataFrame, cols: Sequence[str] | None = None, fences: Sequence[float] = (1.5,)
 ) -> DataFrame:
     """Unrounded statistics per numeric column with values outside each IQR fence counted.
 
-    The quartiles are found first; they enter the aggregate as literals, so counting outliers
-    shares the pass that computes the moments.
+    The quartiles are found first and enter the second pass as literals, so counting outliers shares the scan
+    that computes the moments. That scan unpivots the columns and groups by column: one small
+    aggregate compiles well however many columns there are, and partial aggregation leaves a row per column and task.
     """
     cols = list(cols if cols is not None else column_roles(df).numeric)
     quantiles = exact_quantiles(df, {c: (0.25, 0.5, 0.75, 0.95) for c in cols})
-    fields = {}
-    for c in cols:
+    outliers = ["outliers" if i == 0 else f"outliers_{i}" for i in range(len(fences))]
+    cells = []
+    for number, c in enumerate(cols):
         x = F.col(f"`{c}`").cast("double")
-        q1, q2, q3, p95 = quantiles[c]
-        f = {
-            "non_null": F.count(x),
-            "min": F.min(x),
-            "max": F.max(x),
-            "mean": F.avg(x),
-            "median": _double(q2),
-            "std": F.stddev_samp(x),
-            "sum": F.coalesce(F.sum(x), F.lit(0.0)),
-            "skew": sample_skewness(x),
-            "kurt": sample_kurtosis(x),
-            "p25": _double(q1),
-            "p75": _double(q3),
-            "p95": _double(p95),
-        }
-        for i, k in enumerate(fences):
-            outside = F.lit(False) if q1 is None else (x < q1 - k * (q3 - q1)) | (x > q3 + k * (q3 - q1))
-            f["outliers" if i == 0 else f"outliers_{i}"] = F.count_if(outside)
-        fields[c] = f
-    return per_column(df, fields)
+        q1, _, q3, _ = quantiles[c]
+        outside = [
+            F.lit(0) if q1 is None else ((x < q1 - k * (q3 - q1)) | (x > q3 + k * (q3 - q1))).cast("int") for k in fences
+        ]
+        cells += [F.lit(number), x, *outside]
+    long = df.select(F.stack(F.lit(len(cols)), *cells).alias("_c", "_x", *outliers))
+    x = F.col("_x")
+    found = long.groupBy("_c").agg(
+        F.count(x).alias("non_null"),
+        F.min(x).alias("min"),
+        F.max(x).alias("max"),
+        F.avg(x).alias("mean"),
+        F.stddev_samp(x).alias("std"),
+        F.coalesce(F.sum(x), F.lit(0.0)).alias("sum"),
+        sample_skewness(x).alias("skew"),
+        sample_kurtosis(x).alias("kurt"),
+        *[F.coalesce(F.sum(o), F.lit(0)).alias(o) for o in outliers],
+    )
+    known = [(i, c, *quantiles[c]) for i, c in enumerate(cols)]
+    listed = df.sparkSession.createDataFrame(known, "_c int, column string, p25 double, median double, p75 double, p95 double")
+    counted = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("non_null", *outliers)}
+    stats = listed.join(found, "_c", "left").withColumns({**counted, "sum": F.coalesce("sum", F.lit(0.0))})
+    shown = ["column", "non_null", "min", "max", "mean", "median", "std", "sum", "skew", "kurt", "p25", "p75", "p95"]
+    return stats.select(*shown, *outliers)
 
 
 def _double(v: float | None) -> Column:

@@ -7,21 +7,22 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pearson
 from ..functions.probability import f_upper, pearson_p
 from ..plans.positions import ROWS_PER_TASK, join_null_safe
 from ..plans.quantiles import grouped_quantiles
+from ..session import ship_package
 from .charts import frequent_only
 from .distributions import histogram
 from .roles import column_roles
 
 SIGNIFICANT = 0.05  # Fixed value: significance level.
-PAIRS_PER_PASS = 400
 
 
 def _doubles(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -31,49 +32,68 @@ def _doubles(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Unrounded r of every column pair (a before b), each over the rows where both are present.
 
-    A first pass finds means and which columns have nulls; the second sums products of centred values.
-    Columns without nulls share their squares over all pairs, so a pair costs one sum. Very wide tables take a
-    further pass per ``PAIRS_PER_PASS`` pairs. r is null where either side is constant.
+    A first pass finds the means; the second adds up products of centred values. Each task multiplies its Arrow
+    batches as matrices and emits one row per pair, so cost and output follow the number of columns squared and
+    never the number of rows. r is null where either side is constant.
     """
     cols = list(cols if cols is not None else column_roles(df).numeric)
     numbers = _doubles(df, cols)
-    facts = numbers.agg(
-        F.count("*"), *[e for c in cols for e in (F.count(f"`{c}`"), F.avg(f"`{c}`"), F.min(f"`{c}`"), F.max(f"`{c}`"))]
-    ).first()
-    total = facts[0]
-    full = {c: facts[4 * i + 1] == total for i, c in enumerate(cols)}
-    flat = {c: facts[4 * i + 3] == facts[4 * i + 4] for i, c in enumerate(cols)}
-    x = {c: F.col(f"`{c}`") - F.lit(facts[4 * i + 2]).cast("double") for i, c in enumerate(cols)}
-    pairs = list(combinations(enumerate(cols), 2))
-    out = None
-    for first in range(0, len(pairs), PAIRS_PER_PASS):
-        rows = []
-        for (i, a), (j, b) in pairs[first : first + PAIRS_PER_PASS]:
-            both = None if full[a] and full[b] else F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()
-            r, n = _pair_correlation(x[a], x[b], both)
-            if flat[a] or flat[b]:
-                r = F.lit(None).cast("double")
-            rows.append(
-                F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r"), n.alias("n"))
-            )
-        part = numbers.agg(F.array(*rows).alias("_rows")).select(F.inline("_rows"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _pair_correlation(x: Column, y: Column, both: Column | None) -> tuple[Column, Column]:
-    """(r, n) from sums of centred values; ``both`` restricts the rows, None takes them all."""
-    kept = (lambda c: c) if both is None else (lambda c: F.when(both, c))
-    n = F.count("*") if both is None else F.count_if(both)
-    size = F.nullif(n, F.lit(0)).cast("double")
-    sx, sy = F.sum(kept(x)), F.sum(kept(y))
-    xx = F.sum(kept(x * x)) - sx * sx / size
-    yy = F.sum(kept(y * y)) - sy * sy / size
-    r = F.try_divide(F.sum(kept(x * y)) - sx * sy / size, F.sqrt(xx) * F.sqrt(yy))
-    if both is not None:
-        flat = (F.min(kept(x)) == F.max(kept(x))) | (F.min(kept(y)) == F.max(kept(y)))
-        r = F.when(~flat, r)
-    return r, n
+    means = numbers.agg(*[F.avg(f"`{c}`") for c in cols]).first()
+    ship_package(df.sparkSession)
+    centre = np.array([0.0 if m is None else float(m) for m in means])
+    parts = numbers.mapInArrow(_pair_sums(centre), f"i int, j int, {', '.join(f'{s} double' for s in PAIR_SUMS)}, {', '.join(f'{e} double' for e in PAIR_ENDS)}")
+    sums = parts.groupBy("i", "j").agg(
+        *[F.sum(s).alias(s) for s in PAIR_SUMS],
+        *[(F.min(e) if e.endswith("min") else F.max(e)).alias(e) for e in PAIR_ENDS],
+    )
+    pairs = [(i, j, cols[i], cols[j]) for i, j in combinations(range(len(cols)), 2)]
+    listed = df.sparkSession.createDataFrame(pairs, "i int, j int, a string, b string")
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    xx, yy = F.col("xx") - F.col("x") * F.col("x") / n, F.col("yy") - F.col("y") * F.col("y") / n
+    r = F.try_divide(F.col("xy") - F.col("x") * F.col("y") / n, F.sqrt(xx) * F.sqrt(yy))
+    varied = (F.col("xmin") < F.col("xmax")) & (F.col("ymin") < F.col("ymax"))
+    joined = listed.join(sums, ["i", "j"], "left")
+    return joined.select("i", "j", "a", "b", F.when(varied, r).alias("r"), F.coalesce("n", F.lit(0.0)).cast("long").alias("n"))
+
+
+PAIR_SUMS = ("n", "x", "y", "xx", "yy", "xy")
+PAIR_ENDS = ("xmin", "xmax", "ymin", "ymax")
+
+
+def _pair_sums(centre: np.ndarray):
+    """Per task: sums over the rows where both columns of a pair are present, for every pair."""
+
+    def add_up(batches):
+        m = len(centre)
+        total = {s: np.zeros((m, m)) for s in ("n", "x", "xx", "xy")}
+        # low[a, b] and high[a, b]: range of column a over the rows where b is present too.
+        low, high = np.full((m, m), np.inf), np.full((m, m), -np.inf)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - centre
+            present = ~np.isnan(v)
+            v = np.where(present, v, 0.0)
+            mask = present.astype(float)
+            total["n"] += mask.T @ mask
+            total["x"] += v.T @ mask
+            total["xx"] += (v * v).T @ mask
+            total["xy"] += v.T @ v
+            for b in range(m):
+                both = present[:, b][:, None] & present
+                low[:, b] = np.minimum(low[:, b], np.where(both, v, np.inf).min(axis=0))
+                high[:, b] = np.maximum(high[:, b], np.where(both, v, -np.inf).max(axis=0))
+        i, j = np.triu_indices(m, 1)
+        if not total["n"].any():
+            return
+        found = {
+            "i": i.astype("int32"), "j": j.astype("int32"), "n": total["n"][i, j], "x": total["x"][i, j], "y": total["x"][j, i],
+            "xx": total["xx"][i, j], "yy": total["xx"][j, i], "xy": total["xy"][i, j],
+            "xmin": low[i, j], "xmax": high[i, j], "ymin": low[j, i], "ymax": high[j, i],
+        }
+        yield pa.RecordBatch.from_pydict(found)
+
+    return add_up
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -81,11 +101,11 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
     cols = list(cols if cols is not None else column_roles(df).numeric)
     numbers = _doubles(df, cols)
     pairs = correlation_pairs(df, cols).select("a", "b", "r")
-    # One row per pair becomes two cells, so the aggregate is evaluated once.
+    # One row per pair becomes two cells, so the pairs are computed once.
     both = pairs.select(F.inline(F.array(F.struct("a", "b", "r"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r"))))
-    own = [F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"), F.when(F.var_pop(F.col(f"`{c}`")) > 0, 1.0).alias("r")) for c in cols]
-    diagonal = numbers.agg(F.array(*own).alias("_rows")).select(F.inline("_rows"))
-    return both.unionByName(diagonal).select("a", "b", F.round("r", 2).alias("r"))
+    varied = numbers.agg(*[(F.min(f"`{c}`") < F.max(f"`{c}`")) for c in cols]).first()
+    own = df.sparkSession.createDataFrame([(c, c, 1.0 if v else None) for c, v in zip(cols, varied)], "a string, b string, r double")
+    return both.unionByName(own).select("a", "b", F.round("r", 2).alias("r"))
 
 
 def top_correlations(df: DataFrame, n: int = 6, cols: Sequence[str] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import cosine, euclidean, norm
 from ..plans.pairs import BLOCK_ROWS, copy_links, fold_copies, similar_representatives
-from ..session import ship_package
+from ..session import ensure_checkpoint_dir, ship_package
 from .segments import RESTARTS, SEED, array_vectors, best_kmeans, pca_project, project, relabelled
 
 # Lengths of the text shown beside a result.
@@ -105,14 +105,16 @@ def near_duplicates(
     many rows carry each, so a line stands for their product of row pairs. ``copy`` lines join the first row of a
     vector to each later row with the same vector.
     """
-    unit = unit_vectors(df.select(id_col, vec), vec).filter(F.col(vec).isNotNull())
-    folded = fold_copies(unit, id_col, vec)
+    ensure_checkpoint_dir(df.sparkSession)
+    # Both are read several times, and the vectors may be costly to make.
+    unit = unit_vectors(df.select(id_col, vec), vec).filter(F.col(vec).isNotNull()).checkpoint()
+    folded = fold_copies(unit, id_col, vec).checkpoint()
     sizes = folded.select("rep", "copies")
     pairs = similar_representatives(folded, threshold, block_rows, pivots)
     for side in ("a", "b"):
         pairs = pairs.join(sizes.select(F.col("rep").alias(f"id_{side}"), F.col("copies").alias(f"copies_{side}")), f"id_{side}")
     similar = pairs.select("id_a", "id_b", F.least("similarity", F.lit(1.0)).alias("similarity"), F.lit("similar").alias("kind"), "copies_a", "copies_b")
-    copies = copy_links(unit, id_col, vec).select("id_a", "id_b", F.lit(1.0).alias("similarity"), F.lit("copy").alias("kind"), F.col("copies").alias("copies_a"), F.col("copies").alias("copies_b"))
+    copies = copy_links(unit, folded, id_col, vec).select("id_a", "id_b", F.lit(1.0).alias("similarity"), F.lit("copy").alias("kind"), F.col("copies").alias("copies_a"), F.col("copies").alias("copies_b"))
     found = similar.unionByName(copies)
     if text:
         texts = df.select(F.col(id_col).alias("_id"), F.substring(text, 1, PREVIEW_CHARS).alias("_text"))

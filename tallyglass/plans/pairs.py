@@ -33,11 +33,10 @@ def fold_copies(df: DataFrame, id_col: str, vec: str) -> DataFrame:
     return rows.groupBy("vec").agg(F.min("rep").alias("rep"), F.count("*").alias("copies"))
 
 
-def copy_links(df: DataFrame, id_col: str, vec: str) -> DataFrame:
+def copy_links(df: DataFrame, folded: DataFrame, id_col: str, vec: str) -> DataFrame:
     """(representative, copy, copies) for every row whose vector an earlier id already has."""
     rows = df.filter(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("vec"))
-    facts = fold_copies(df, id_col, vec).filter("copies > 1")
-    linked = salted_join(rows, facts, ["vec"], "copies", ["id"])
+    linked = salted_join(rows, folded.filter("copies > 1"), ["vec"], "copies", ["id"])
     return linked.filter("id <> rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"), "copies")
 
 
@@ -50,20 +49,20 @@ def similar_representatives(
     rows = folded.select("rep", "vec")
     total = rows.count()
     wanted = pivots or max(1, min(MAX_PIVOTS, math.ceil(total / block_rows)))
-    sample = rows.orderBy(key_hash(["rep"]), "rep").limit(wanted).select("vec").collect()
-    centres = np.array([r.vec for r in sample], dtype=float).reshape(len(sample), -1)
-    reach = 2.0 * math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + SLACK
     id_type = folded.schema["rep"].dataType.simpleString()
-    if len(centres) > 1:
+    if not total:
+        return spark.createDataFrame([], f"id_a {id_type}, id_b {id_type}, similarity double")
+    if wanted > 1:
+        sample = rows.orderBy(key_hash(["rep"]), "rep").limit(wanted).select("vec").collect()
+        centres = np.array([r.vec for r in sample], dtype=float).reshape(len(sample), -1)
+        reach = 2.0 * math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + SLACK
         placed = rows.mapInPandas(_placer(centres, reach), f"id {id_type}, vec array<double>, cell int, home boolean")
+        # At most one row per pivot.
+        found = placed.groupBy("cell").agg(F.count_if(F.col("home")).alias("homes"), F.count_if(~F.col("home")).alias("guests"))
+        loads = {r.cell: (r.homes, r.guests) for r in found.collect()}
     else:
         placed = rows.select(F.col("rep").alias("id"), "vec", F.lit(0).alias("cell"), F.lit(True).alias("home"))
-    # At most one row per pivot.
-    loads = {r.cell: (r.homes, r.guests) for r in placed.groupBy("cell").agg(
-        F.count_if(F.col("home")).alias("homes"), F.count_if(~F.col("home")).alias("guests")
-    ).collect()}
-    if not loads:
-        return spark.createDataFrame([], f"id_a {id_type}, id_b {id_type}, similarity double")
+        loads = {0: (total, 0)}
     entries = []
     for cell, load in loads.items():
         entries += [F.lit(cell), F.array(*[F.lit(n) for n in _block_counts(load, block_rows)])]
