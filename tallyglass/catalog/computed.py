@@ -11,11 +11,10 @@ from .profile import histogram_sql
 
 @query(
     "formula_column",
-    "SELECT o_orderkey, round(o_totalprice / nullif(o_custkey * 7.3::DOUBLE, 0), 6) AS ratio FROM orders",
+    "SELECT o_orderkey, o_totalprice / nullif(o_custkey, 0) + 1 AS ratio FROM orders",
 )
 def _(t):
-    added = computed.formula(t.orders, "ratio", "try_divide(o_totalprice, o_custkey * 7.3D)")
-    return rounded(added.select("o_orderkey", "ratio"), 6, "ratio")
+    return computed.formula(t.orders, "ratio", "try_divide(o_totalprice, o_custkey) + 1").select("o_orderkey", "ratio")
 
 
 EQUAL_WIDTH = """WITH e AS (SELECT min(value) AS a, max(value) AS b FROM events), w AS (SELECT a, b, (b - a) / 6 AS s FROM e)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import pearson
 from ..functions.probability import pearson_p
+from ..plans.joins import with_summary
 from .forest import isolation_forest
 from .profile import categorical_profile, distinct_stats, duplicate_count, null_stats, numeric_stats, per_column, pinned
 from .relations import correlation_pairs
@@ -187,20 +188,20 @@ def trend_stats(df: DataFrame, max_numeric: int | None = None) -> DataFrame:
         rows.append((F.when(y.isNotNull(), seconds), F.when(seconds.isNotNull(), y)))
     if not names:
         return df.sparkSession.createDataFrame([], "position long, date string, column string, n long, slope double, r double, change double")
-    starts = df.agg(F.struct(*[F.min(t).alias(f"t{i}") for i, (t, _) in enumerate(rows)])).scalar()
-    fields = []
-    for i, ((d, c), (t, y)) in enumerate(zip(names, rows)):
-        day = F.floor((t - starts[f"t{i}"]) / 86400).cast("double")
-        slope = F.try_divide(F.regr_sxy(y, day), F.regr_sxx(y, day))
-        # Fixed value: smallest size the mean is taken to have.
-        change = slope * F.max(day) / F.greatest(F.abs(F.avg(y)), F.lit(1e-9)) * 100
-        fields.append(
-            F.struct(
-                F.lit(i).cast("long").alias("position"), F.lit(d).alias("date"), F.lit(c).alias("column"),
-                F.regr_count(y, day).alias("n"), slope.alias("slope"), pearson(y, day).alias("r"), change.alias("change"),
-            )
-        )
-    return df.agg(F.array(*fields).alias("_rows")).select(F.inline("_rows"))
+    starts = df.agg(F.struct(*[F.min(t).alias(f"t{i}") for i, (t, _) in enumerate(rows)]))
+    cells = []
+    for i, (t, y) in enumerate(rows):
+        cells += [F.lit(i), F.floor((t - F.col(f"_s.t{i}")) / 86400).cast("double"), y]
+    long = with_summary(df, "_s", starts).select(F.stack(F.lit(len(rows)), *cells).alias("_p", "_d", "_y"))
+    day, y = F.col("_d"), F.col("_y")
+    slope = F.try_divide(F.regr_sxy(y, day), F.regr_sxx(y, day))
+    # Fixed value: smallest size the mean is taken to have.
+    change = slope * F.max(day) / F.greatest(F.abs(F.avg(y)), F.lit(1e-9)) * 100
+    found = long.groupBy("_p").agg(
+        F.regr_count(y, day).alias("n"), slope.alias("slope"), pearson(y, day).alias("r"), change.alias("change")
+    )
+    listed = df.sparkSession.createDataFrame([(i, d, c) for i, (d, c) in enumerate(names)], "position long, date string, column string")
+    return listed.join(found, listed["position"] == found["_p"]).drop("_p")
 
 
 def alert_trend(df, max_numeric: int | None = TREND_NUMERICS) -> DataFrame:

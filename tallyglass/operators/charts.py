@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binning import equal_width_bin
 from ..functions.calendar import period_end, period_name
+from ..plans.joins import with_summary
 from ..plans.positions import Order, order_pairs, sort_columns
 from ..plans.sampling import sample_rows
 from .timeseries import aggregate
@@ -102,19 +104,20 @@ def sankey_links(df: DataFrame, source: str, target: str, value: str, n: int = 3
     return flows.orderBy(F.desc("value"), "source", "target").limit(n)
 
 
-def sankey_nodes(links: DataFrame) -> DataFrame:
-    names = links.select(F.col("source").alias("node")).union(links.select("target")).distinct()
-    return names.select("node", (F.row_number().over(Window.orderBy("node")) - 1).cast("long").alias("index"))
-
-
 def sankey(df: DataFrame, source: str, target: str, value: str, n: int = 30) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links): links carry the integer index of both ends."""
+    """(nodes, links): links carry the integer index of both ends, nodes being numbered by name.
+
+    The at most ``n`` links are folded into one row to number their ends, so the flows are computed once.
+    """
     links = sankey_links(df, source, target, value, n)
-    nodes = sankey_nodes(links)
-    for end in ("source", "target"):
-        index = nodes.select(F.col("node").alias(end), F.col("index").alias(f"{end}_index"))
-        links = links.join(index, end)
-    return nodes, links.select("source", "target", "value", "source_index", "target_index")
+    ends = F.flatten(F.collect_list(F.array("source", "target")))
+    folded = links.agg(
+        F.collect_list(F.struct("source", "target", "value")).alias("links"), F.array_sort(F.array_distinct(ends)).alias("names")
+    )
+    nodes = folded.select(F.posexplode("names").alias("index", "node")).select("node", F.col("index").cast("long").alias("index"))
+    each = folded.select("names", F.explode("links").alias("l")).select("names", "l.*")
+    numbered = {f"{e}_index": F.array_position("names", F.col(e)) - 1 for e in ("source", "target")}
+    return nodes, each.withColumns(numbered).drop("names")
 
 
 def value_matrix(
@@ -135,13 +138,11 @@ def stacked_area(df: DataFrame, date: str, cat: str, val: str, freq: str = "M",
 
 def histogram2d(df: DataFrame, x: str, y: str, x_bins: int = 30, y_bins: int = 30) -> DataFrame:
     """Non-empty cells of an equal-width grid; sum over one axis for a marginal."""
-    from ..functions.binning import equal_width_bin
-
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
-    box = rows.agg(F.struct(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))).scalar()
-    cells = rows.select(
-        equal_width_bin(F.col("x"), box["x0"], box["x1"], x_bins).alias("x_bin"),
-        equal_width_bin(F.col("y"), box["y0"], box["y1"], y_bins).alias("y_bin"),
+    box = rows.agg(F.struct(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")))
+    cells = with_summary(rows, "_b", box).select(
+        equal_width_bin(F.col("x"), F.col("_b.x0"), F.col("_b.x1"), x_bins).alias("x_bin"),
+        equal_width_bin(F.col("y"), F.col("_b.y0"), F.col("_b.y1"), y_bins).alias("y_bin"),
     )
     return cells.groupBy("x_bin", "y_bin").agg(F.count("*").alias("count"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binning import edges_below, right_closed_bin
-from ..plans.joins import salted_join
+from ..plans.joins import salted_join, with_summary
 from ..plans.positions import ROWS_PER_TASK, Order, order_pairs, sort_columns, split_by_order, window_column
 from ..plans.quantiles import exact_quantiles
 from ..plans.sampling import sample_rows
@@ -23,8 +23,7 @@ def formula(df: DataFrame, name: str, expression: str) -> DataFrame:
 def bin_equal_width(df: DataFrame, col: str, n: int, name: str | None = None) -> DataFrame:
     """Right-closed bins 0..n-1 of equal width; the first edge is lowered by a thousandth of the range."""
     x = F.col(col).cast("double")
-    ends = df.agg(F.struct(F.min(x).alias("low"), F.max(x).alias("high"))).scalar()
-    low, high = ends["low"], ends["high"]
+    low, high = (F.lit(v).cast("double") for v in df.agg(F.min(x), F.max(x)).first())
     flat = low == high
     # Widening of the outer edges, relative to the range or to a constant's size.
     pad = F.when(low == 0, F.lit(0.001)).otherwise(F.abs(low) * 0.001)
@@ -116,20 +115,20 @@ def _rank(method: str, lowest: Column, highest: Column, dense: Column, ordinal:
 
 
 def scale(df: DataFrame, col: str, method: str, name: str | None = None) -> DataFrame:
-    x = F.col(col).cast("double")
+    x, rows = F.col(col).cast("double"), df
     if method == "minmax":
-        s = df.agg(F.struct(F.min(x).alias("a"), F.max(x).alias("b"))).scalar()
-        value = F.try_divide(x - s["a"], s["b"] - s["a"])
+        rows = with_summary(df, "_s", df.agg(F.struct(F.min(x).alias("a"), F.max(x).alias("b"))))
+        value = F.try_divide(x - F.col("_s.a"), F.col("_s.b") - F.col("_s.a"))
     elif method == "zscore":
-        s = df.agg(F.struct(F.avg(x).alias("a"), F.stddev_samp(x).alias("b"))).scalar()
-        value = F.try_divide(x - s["a"], s["b"])
+        rows = with_summary(df, "_s", df.agg(F.struct(F.avg(x).alias("a"), F.stddev_samp(x).alias("b"))))
+        value = F.try_divide(x - F.col("_s.a"), F.col("_s.b"))
     elif method == "log":
         value = F.when(x.isNotNull(), F.log1p(F.greatest(x, F.lit(0.0))))
     elif method == "sqrt":
         value = F.when(x.isNotNull(), F.sqrt(F.greatest(x, F.lit(0.0))))
     else:
         raise ValueError("method must be minmax, zscore, log or sqrt")
-    return df.withColumn(name or f"{col}_norm", value)
+    return rows.withColumn(name or f"{col}_norm", value).drop("_s")
 
 
 def before_after(df: DataFrame, before: str, after: str, bins: int = 30) -> DataFrame:
@@ -179,7 +178,12 @@ def lag_column(
 
 
 def pct_of_total(
-    df: DataFrame, col: str, by: str | None = None, id_cols: Sequence[str] = (), name: str | None = None
+    df: DataFrame,
+    col: str,
+    by: str | None = None,
+    id_cols: Sequence[str] = (),
+    name: str | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Share of the column total, or of the group total (null in a null group).
 
@@ -188,8 +192,8 @@ def pct_of_total(
     name, x = name or f"{col}_pct", F.col(col).cast("double")
     if by is None:
         return df.withColumn(name, F.try_divide(x, df.agg(F.sum(x)).scalar()) * 100)
-    totals = df.filter(F.col(by).isNotNull()).groupBy(by).agg(F.sum(x).alias("_total"), F.count("*").alias("_rows"))
-    joined = salted_join(df.filter(F.col(by).isNotNull()), totals, [by], "_rows", list(id_cols) or df.columns)
+    totals = df.filter(F.col(by).isNotNull()).groupBy(by).agg(F.sum(x).alias("_total"))
+    joined = salted_join(df.filter(F.col(by).isNotNull()), totals, [by], list(id_cols) or df.columns, rows_per_task)
     shares = joined.select(*df.columns, (F.try_divide(x, F.col("_total")) * 100).alias(name))
     return shares.unionByName(df.filter(F.col(by).isNull()).withColumn(name, F.lit(None).cast("double")))
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.binning import equal_width_bin
 from ..functions.numeric import percent_of
 from ..functions.probability import normal_ppf
-from ..plans.positions import ROWS_PER_TASK, join_null_safe
+from ..plans.joins import salted_join, with_summary
+from ..plans.positions import ROWS_PER_TASK
 from ..plans.quantiles import exact_quantiles, grouped_quantiles
 from .charts import value_counts
 from .roles import column_roles
@@ -20,17 +21,18 @@ from .roles import column_roles
 def histogram(df: DataFrame, col: str, bins: int = 40, by: str | None = None) -> DataFrame:
     """Counts in equal-width bins from the minimum to the maximum.
 
-    All bins are listed, empty ones with 0; with ``by`` only the occupied (bin, group) cells.
+    All bins are listed, empty ones with 0; with ``by`` only the occupied (bin, group) cells. The range is found
+    first and enters the plan as literals.
     """
     rows = df.filter(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("_x"), *([by] if by else []))
-    ends = rows.agg(F.struct(F.min("_x").alias("low"), F.max("_x").alias("high"))).scalar()
-    binned = rows.withColumn("bin", equal_width_bin(F.col("_x"), ends["low"], ends["high"], bins))
+    low, high = (F.lit(v).cast("double") for v in rows.agg(F.min("_x"), F.max("_x")).first())
+    binned = rows.withColumn("bin", equal_width_bin(F.col("_x"), low, high, bins))
     counts = binned.groupBy("bin", *([by] if by else [])).agg(F.count("*").alias("count"))
     if by is None:
         every = df.sparkSession.range(bins).select(F.col("id").alias("bin"))
         counts = every.join(counts, "bin", "left").select("bin", F.coalesce("count", F.lit(0).cast("long")).alias("count"))
-    width = (ends["high"] - ends["low"]) / bins
-    edges = {"low": ends["low"] + F.col("bin") * width, "high": ends["low"] + (F.col("bin") + 1) * width}
+    width = (high - low) / bins
+    edges = {"low": low + F.col("bin") * width, "high": low + (F.col("bin") + 1) * width}
     return counts.withColumns(edges)
 
 
@@ -40,9 +42,11 @@ def histogram_grid(df: DataFrame, bins: int = 25, cols: Sequence[str] | None = N
     x = {c: F.col(f"`{c}`").cast("double") for c in cols}
     ends = df.agg(
         F.struct(*[e for i, c in enumerate(cols) for e in (F.min(x[c]).alias(f"low{i}"), F.max(x[c]).alias(f"high{i}"))])
-    ).scalar()
-    cells = [e for i, c in enumerate(cols) for e in (F.lit(c), equal_width_bin(x[c], ends[f"low{i}"], ends[f"high{i}"], bins))]
-    long = df.select(F.stack(F.lit(len(cols)), *cells).alias("column", "bin")).filter("bin IS NOT NULL")
+    )
+    cells = []
+    for i, c in enumerate(cols):
+        cells += [F.lit(c), equal_width_bin(x[c], F.col(f"_e.low{i}"), F.col(f"_e.high{i}"), bins)]
+    long = with_summary(df, "_e", ends).select(F.stack(F.lit(len(cols)), *cells).alias("column", "bin")).filter("bin IS NOT NULL")
     return long.groupBy("column", "bin").agg(F.count("*").alias("count"))
 
 
@@ -61,7 +65,7 @@ def _quartiles(df: DataFrame, col: str, by: str | None, rows_per_task: int) -> D
         return rows.withColumns({n: F.lit(v).cast("double") for n, v in zip(names, found)})
     rows = rows.filter(F.col(by).isNotNull())
     quartiles = grouped_quantiles(rows, [by], "_x", names, rows_per_task).drop("n")
-    return join_null_safe(rows, quartiles, [by])
+    return salted_join(rows, quartiles, [by], df.columns, rows_per_task)
 
 
 def box_stats(df: DataFrame, col: str, by: str | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -108,11 +112,13 @@ def kde(
     shape = shape.withColumn("h", 1.059 * spread * F.pow(F.col("n"), F.lit(-0.2))).filter("h > 0")
     shape = shape.select(by, "n", "low", "high", "h")
     cell = equal_width_bin(F.col("_x"), F.col("low"), F.col("high"), cells)
-    counted = rows.join(shape, by).groupBy(by, cell.alias("cell")).agg(F.count("*").alias("w"))
+    shaped = salted_join(rows, shape, [by], ["_x"], rows_per_task)
+    kept = [F.max(c).alias(c) for c in ("n", "low", "high", "h")]
+    counted = shaped.groupBy(by, cell.alias("cell")).agg(F.count("*").alias("w"), *kept)
     width = (F.col("high") - F.col("low")) / cells
     centre = F.col("low") + (F.col("cell") + 0.5) * width
     start, step = F.col("low") - 2 * F.col("h"), (F.col("high") - F.col("low") + 4 * F.col("h")) / (grid - 1)
-    points = counted.join(shape, by).select(
+    points = counted.select(
         by, "w", "n", "h", centre.alias("c"), start.alias("s"), step.alias("d"), F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point")
     )
     x = F.col("s") + F.col("point") * F.col("d")

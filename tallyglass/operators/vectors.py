@@ -10,7 +10,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binning import equal_width_bin
 from ..functions.numeric import cosine, euclidean, norm
+from ..plans.joins import salted_join, with_summary
 from ..plans.pairs import BLOCK_ROWS, copy_links, fold_copies, similar_representatives
 from ..session import ensure_checkpoint_dir, ship_package
 from .segments import RESTARTS, SEED, array_vectors, best_kmeans, pca_project, project, relabelled
@@ -109,10 +111,7 @@ def near_duplicates(
     # Both are read several times, and the vectors may be costly to make.
     unit = unit_vectors(df.select(id_col, vec), vec).filter(F.col(vec).isNotNull()).checkpoint()
     folded = fold_copies(unit, id_col, vec).checkpoint()
-    sizes = folded.select("rep", "copies")
     pairs = similar_representatives(folded, threshold, block_rows, pivots)
-    for side in ("a", "b"):
-        pairs = pairs.join(sizes.select(F.col("rep").alias(f"id_{side}"), F.col("copies").alias(f"copies_{side}")), f"id_{side}")
     similar = pairs.select("id_a", "id_b", F.least("similarity", F.lit(1.0)).alias("similarity"), F.lit("similar").alias("kind"), "copies_a", "copies_b")
     copies = copy_links(unit, folded, id_col, vec).select("id_a", "id_b", F.lit(1.0).alias("similarity"), F.lit("copy").alias("kind"), F.col("copies").alias("copies_a"), F.col("copies").alias("copies_b"))
     found = similar.unionByName(copies)
@@ -132,10 +131,9 @@ def pair_weight() -> Column:
 
 def similarity_histogram(pairs: DataFrame, bins: int = 20) -> DataFrame:
     """Row pairs per equal-width similarity bin."""
-    from ..functions.binning import equal_width_bin
-
-    ends = pairs.agg(F.struct(F.min("similarity").alias("low"), F.max("similarity").alias("high"))).scalar()
-    binned = pairs.withColumn("bin", equal_width_bin(F.col("similarity"), ends["low"], ends["high"], bins))
+    ends = pairs.agg(F.struct(F.min("similarity").alias("low"), F.max("similarity").alias("high")))
+    bin_ = equal_width_bin(F.col("similarity"), F.col("_e.low"), F.col("_e.high"), bins)
+    binned = with_summary(pairs, "_e", ends).withColumn("bin", bin_)
     counts = binned.groupBy("bin").agg(F.sum(pair_weight()).cast("long").alias("count"))
     every = pairs.sparkSession.range(bins).select(F.col("id").alias("bin"))
     return every.join(counts, "bin", "left").select("bin", F.coalesce("count", F.lit(0).cast("long")).alias("count"))
@@ -156,7 +154,7 @@ def cluster_representatives(
     as_vector = array_to_vector(F.col(vec).cast("array<double>"))
     centres = rows.groupBy(by).agg(Summarizer.mean(as_vector).alias("_c"), F.count("*").alias("size"))
     centres = centres.select(by, vector_to_array("_c").alias("_centre"), "size")
-    near = rows.join(centres, by).withColumn("distance", euclidean(F.col(vec), F.col("_centre")))
+    near = salted_join(rows, centres, [by], [id_col]).withColumn("distance", euclidean(F.col(vec), F.col("_centre")))
     order = Window.partitionBy(by).orderBy("distance", id_col)
     ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
     extra = [F.substring(text, 1, REPRESENTATIVE_CHARS).alias("preview")] if text else []
@@ -169,11 +167,11 @@ def standardize(df: DataFrame, feats: Sequence[str], prefix: str = "z_") -> Data
     x = {f: F.col(f"`{f}`").cast("double") for f in feats}
     stats = complete.agg(
         F.struct(*[e for i, f in enumerate(feats) for e in (F.avg(x[f]).alias(f"m{i}"), F.stddev_pop(x[f]).alias(f"s{i}"))])
-    ).scalar()
+    )
     scaled = {
-        f"{prefix}{f}": F.coalesce(F.try_divide(x[f] - stats[f"m{i}"], stats[f"s{i}"]), F.lit(0.0)) for i, f in enumerate(feats)
+        f"{prefix}{f}": F.coalesce(F.try_divide(x[f] - F.col(f"_s.m{i}"), F.col(f"_s.s{i}")), F.lit(0.0)) for i, f in enumerate(feats)
     }
-    return complete.withColumns(scaled)
+    return with_summary(complete, "_s", stats).withColumns(scaled).drop("_s")
 
 
 def similar_rows(
@@ -182,7 +180,8 @@ def similar_rows(
     """Whole rows nearest to the row ``key`` in the standardised features, the row itself left out."""
     z = [f"z_{f}" for f in feats]
     scaled = standardize(df, feats)
-    query = scaled.filter(F.col(id_col) == key).select(F.struct(*z)).scalar()
+    query = {c: F.col(f"_q.{c}") for c in z}
+    rows = with_summary(scaled, "_q", scaled.filter(F.col(id_col) == key).select(F.struct(*z)))
     if metric == "cosine":
         along = balanced_sum([F.col(c) * query[c] for c in z])
         lengths = F.sqrt(balanced_sum([F.col(c) * F.col(c) for c in z])) * F.sqrt(balanced_sum([query[c] * query[c] for c in z]))
@@ -192,7 +191,7 @@ def similar_rows(
         order = F.asc("score")
     else:
         raise ValueError("metric must be cosine or euclidean")
-    ranked = scaled.filter(F.col(id_col) != key).withColumn("score", score).orderBy(order, id_col).limit(k)
+    ranked = rows.filter(F.col(id_col) != key).withColumn("score", score).orderBy(order, id_col).limit(k)
     return ranked.select(F.round("score", 4).alias("score"), *df.columns)
 
 
@@ -225,8 +224,10 @@ def similarity_matrix(
     name = F.col(label).cast("string") if label else F.col(id_col).cast("string")
     z = F.array(*[F.col(f"z_{f}") for f in feats])
     first = standardize(df, feats).orderBy(id_col).limit(m).select(F.col(id_col).alias("id"), name.alias("label"), z.alias("z"))
-    others = first.agg(F.collect_list(F.struct("id", "label", "z"))).scalar()
-    cells = first.select(F.col("id").alias("id_a"), F.col("label").alias("label_a"), "z", F.explode(others).alias("o"))
+    # At most MATRIX_LIMIT rows, folded into one and unfolded twice.
+    folded = first.agg(F.collect_list(F.struct("id", "label", "z")).alias("rows"))
+    rows = folded.select("rows", F.explode("rows").alias("a"))
+    cells = rows.select(F.col("a.id").alias("id_a"), F.col("a.label").alias("label_a"), F.col("a.z").alias("z"), F.explode("rows").alias("o"))
     return cells.select(
         "id_a", "label_a", F.col("o.id").alias("id_b"), F.col("o.label").alias("label_b"),
         F.coalesce(cosine(F.col("z"), F.col("o.z")), F.lit(0.0)).alias("similarity"),

@@ -13,19 +13,28 @@ SALTS = 256
 
 
 def salted_join(
-    rows: DataFrame, facts: DataFrame, keys: Sequence[str], size: str, spread_by: Sequence[str], hot_rows: int = ROWS_PER_TASK
+    rows: DataFrame, facts: DataFrame, keys: Sequence[str], spread_by: Sequence[str], hot_rows: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Inner join; ``facts`` has unique ``keys`` and ``size``, how many rows of ``rows`` carry the key.
+    """Inner join on non-null ``keys``, which are unique in ``facts``.
 
-    The rows of a key above ``hot_rows`` are spread over salts, its fact is repeated once per salt.
-    The broadcast frame holds at most ``MAX_BUCKETS`` keys, since each owns over 1/MAX_BUCKETS of the rows.
+    Key sizes are counted first. If none exceeds ``hot_rows`` this is a plain join. Otherwise the rows of a hot
+    key are spread over salts by the hash of ``spread_by`` and its fact is repeated once per salt. The broadcast
+    frame names at most ``MAX_BUCKETS`` keys, since each of them owns more than 1/MAX_BUCKETS of the rows.
     """
     keys = list(keys)
-    share = facts.agg(F.coalesce(F.sum(size), F.lit(0)) / MAX_BUCKETS).scalar()
-    hot = facts.withColumn("_hot", (F.col(size) > hot_rows) & (F.col(size) > share))
-    flags = F.broadcast(hot.filter("_hot").select(*keys, "_hot"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    if (largest or 0) <= hot_rows:
+        return rows.join(facts, keys)
+    limit = max(hot_rows, total // MAX_BUCKETS)
+    hot = F.broadcast(sizes.filter(F.col("_n") > limit).select(*keys, F.lit(True).alias("_hot")))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(SALTS))).otherwise(0)
-    left = rows.join(flags, keys, "left").withColumn("_salt", salt.cast("long")).drop("_hot")
+    left = rows.join(hot, keys, "left").withColumn("_salt", salt.cast("long")).drop("_hot")
     last = F.when(F.col("_hot"), F.lit(SALTS - 1)).otherwise(0).cast("long")
-    right = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("_hot")
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
+    right = facts.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return left.join(right.drop("_hot"), [*keys, "_salt"]).drop("_salt")
+
+
+def with_summary(rows: DataFrame, name: str, summary: DataFrame) -> DataFrame:
+    """Attach the only value of a one-row summary to every row, as a single scalar subquery."""
+    return rows.withColumn(name, summary.scalar())

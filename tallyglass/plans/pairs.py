@@ -36,32 +36,33 @@ def fold_copies(df: DataFrame, id_col: str, vec: str) -> DataFrame:
 def copy_links(df: DataFrame, folded: DataFrame, id_col: str, vec: str) -> DataFrame:
     """(representative, copy, copies) for every row whose vector an earlier id already has."""
     rows = df.filter(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("vec"))
-    linked = salted_join(rows, folded.filter("copies > 1"), ["vec"], "copies", ["id"])
+    linked = salted_join(rows, folded.filter("copies > 1"), ["vec"], ["id"])
     return linked.filter("id <> rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"), "copies")
 
 
 def similar_representatives(
     folded: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, pivots: int | None = None
 ) -> DataFrame:
-    """(id_a, id_b, similarity) over distinct unit vectors, id_a < id_b."""
+    """(id_a, id_b, similarity, copies_a, copies_b) over distinct unit vectors, id_a < id_b."""
     spark = folded.sparkSession
     ship_package(spark)
-    rows = folded.select("rep", "vec")
+    rows = folded.select("rep", "vec", "copies")
+    schema = f"id_a {folded.schema['rep'].dataType.simpleString()}, id_b {folded.schema['rep'].dataType.simpleString()}, similarity double, copies_a long, copies_b long"
     total = rows.count()
     wanted = pivots or max(1, min(MAX_PIVOTS, math.ceil(total / block_rows)))
     id_type = folded.schema["rep"].dataType.simpleString()
     if not total:
-        return spark.createDataFrame([], f"id_a {id_type}, id_b {id_type}, similarity double")
+        return spark.createDataFrame([], schema)
     if wanted > 1:
         sample = rows.orderBy(key_hash(["rep"]), "rep").limit(wanted).select("vec").collect()
         centres = np.array([r.vec for r in sample], dtype=float).reshape(len(sample), -1)
         reach = 2.0 * math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + SLACK
-        placed = rows.mapInPandas(_placer(centres, reach), f"id {id_type}, vec array<double>, cell int, home boolean")
+        placed = rows.mapInPandas(_placer(centres, reach), f"id {id_type}, vec array<double>, copies long, cell int, home boolean")
         # At most one row per pivot.
         found = placed.groupBy("cell").agg(F.count_if(F.col("home")).alias("homes"), F.count_if(~F.col("home")).alias("guests"))
         loads = {r.cell: (r.homes, r.guests) for r in found.collect()}
     else:
-        placed = rows.select(F.col("rep").alias("id"), "vec", F.lit(0).alias("cell"), F.lit(True).alias("home"))
+        placed = rows.select(F.col("rep").alias("id"), "vec", "copies", F.lit(0).alias("cell"), F.lit(True).alias("home"))
         loads = {0: (total, 0)}
     entries = []
     for cell, load in loads.items():
@@ -82,9 +83,8 @@ def similar_representatives(
         F.sequence(F.lit(0), F.greatest(homes_n - 1, F.lit(0))), lambda i: F.struct(F.lit(1).alias("kind"), i.alias("i"), block.alias("j"))
     )
     meetings = F.when(F.col("home"), F.concat(with_homes, with_guests)).when(homes_n > 0, as_guest)
-    sent = placed.select("id", "vec", "cell", "home", block.alias("block"), F.explode(meetings).alias("m"))
-    tasks = sent.select("id", "vec", "home", "block", "cell", "m.kind", "m.i", "m.j")
-    schema = f"id_a {id_type}, id_b {id_type}, similarity double"
+    sent = placed.select("id", "vec", "copies", "cell", "home", block.alias("block"), F.explode(meetings).alias("m"))
+    tasks = sent.select("id", "vec", "copies", "home", "block", "cell", "m.kind", "m.i", "m.j")
     return tasks.groupBy("cell", "kind", "i", "j").applyInPandas(_matcher(threshold), schema)
 
 
@@ -105,7 +105,11 @@ def _placer(centres: np.ndarray, reach: float):
             near &= np.arange(len(centres))[None, :] <= home[:, None]
             row, cell = np.nonzero(near)
             yield pd.DataFrame(
-                {"id": pdf["rep"].to_numpy()[row], "vec": pdf["vec"].to_numpy()[row], "cell": cell, "home": cell == home[row]}
+                {
+                    **{name: pdf[c].to_numpy()[row] for name, c in (("id", "rep"), ("vec", "vec"), ("copies", "copies"))},
+                    "cell": cell,
+                    "home": cell == home[row],
+                }
             )
 
     return place
@@ -125,8 +129,17 @@ def _matcher(threshold: float):
             hit &= ids[left][:, None] < ids[right][None, :]
         a, b = np.nonzero(hit)
         first, second = ids[left][a], ids[right][b]
+        copies = pdf["copies"].to_numpy()
+        many, more = copies[left][a], copies[right][b]
+        kept = first < second
         return pd.DataFrame(
-            {"id_a": np.minimum(first, second), "id_b": np.maximum(first, second), "similarity": similarity[a, b]}
+            {
+                "id_a": np.where(kept, first, second),
+                "id_b": np.where(kept, second, first),
+                "similarity": similarity[a, b],
+                "copies_a": np.where(kept, many, more),
+                "copies_b": np.where(kept, more, many),
+            }
         )
 
     return match

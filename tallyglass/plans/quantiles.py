@@ -14,12 +14,16 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .positions import ROWS_PER_TASK, join_null_safe, split_by_order
+from .joins import salted_join
+from .positions import ROWS_PER_TASK, split_by_order
 
 BINS = 2048
+# Wider tables are searched some columns at a time; every column is still read only by its own passes.
+COLUMNS_PER_PASS = 40
 
 
 @dataclass(eq=False)
@@ -38,6 +42,15 @@ def exact_quantiles(
     df: DataFrame, probabilities: Mapping[str, Sequence[float]], bins: int = BINS
 ) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles of each numeric column, nulls ignored."""
+    found: dict[str, list[float | None]] = {}
+    names = list(probabilities)
+    for first in range(0, len(names), COLUMNS_PER_PASS):
+        chosen = {c: probabilities[c] for c in names[first : first + COLUMNS_PER_PASS]}
+        found.update(_exact_quantiles(df, chosen, bins))
+    return found
+
+
+def _exact_quantiles(df, probabilities, bins):
     names = list(probabilities)
     values = df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(names)])
     summary = values.agg(
@@ -97,19 +110,17 @@ def _narrow(values, brackets, position, wanted, bins):
         .filter("b IS NOT NULL")
         .groupBy("b", "cell")
         .agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
-        .collect()
+        .toPandas()
+        .sort_values(["b", "low"])
     )
-    rows_of: dict[int, list] = {}
-    for row in found:
-        rows_of.setdefault(row.b, []).append(row)
     out = []
-    for number, b in enumerate(brackets):
-        below = b.below
-        for row in sorted(rows_of.get(number, ()), key=lambda r: r.low):
-            child = _Bracket(b.column, row.low, row.high, below, row.n)
-            below += row.n
-            if any(child.holds(k) for k in wanted[b.column]):
-                out.append(child)
+    for number, cells in found.groupby("b"):
+        b = brackets[int(number)]
+        upto = b.below + cells["n"].cumsum().to_numpy()
+        held = np.unique(np.searchsorted(upto, [k for k in wanted[b.column] if b.holds(k)], side="right"))
+        for at in held:
+            n, low, high = (cells[c].iloc[at] for c in ("n", "low", "high"))
+            out.append(_Bracket(b.column, float(low), float(high), int(upto[at] - n), int(n)))
     return out
 
 
@@ -124,11 +135,11 @@ def grouped_quantiles(
     probabilities: Mapping[str, float],
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """One row per group with the named quantiles and the non-null count ``n``."""
+    """One row per group with the named quantiles and the non-null count ``n``; rows with a null key are left out."""
     keys = list(by)
     counts = (
         df.select(*keys, F.col(column).cast("double").alias("_x"))
-        .filter("_x IS NOT NULL")
+        .dropna()
         .groupBy(*keys, "_x")
         .agg(F.count("*").alias("_w"))
     )
@@ -139,7 +150,7 @@ def grouped_quantiles(
     else:
         rows = split.rows.withColumn("_cum", running)
     totals = counts.groupBy(*keys).agg(F.sum("_w").alias("n"))
-    rows = join_null_safe(rows, totals, keys)
+    rows = salted_join(rows, totals, keys, ["_x"], rows_per_task) if split.divided else rows.join(totals, keys)
     picks = []
     for name, p in probabilities.items():
         at = (F.col("n") - 1) * F.lit(float(p))

@@ -92,13 +92,14 @@ def test_text_order_key_is_refused_for_large_groups(rows):
 def test_salted_join_keeps_every_row(rows):
     pdf, df = rows
     facts = df.groupBy("part").agg(F.count("*").alias("n"))
-    joined = salted_join(df, facts, ["part"], "n", ["id"], hot_rows=100)
+    joined = salted_join(df, facts, ["part"], ["id"], hot_rows=100)
     assert joined.count() == len(pdf)
     assert joined.groupBy("part").agg(F.max("n").alias("n"), F.count("*").alias("m")).filter("n <> m").count() == 0
 
 
-def test_share_of_group(rows):
+@pytest.mark.parametrize("size", SIZES)
+def test_share_of_group(rows, size):
     pdf, df = rows
-    found = pct_of_total(df, "v", "part", ["id"]).toPandas().sort_values("id")
+    found = pct_of_total(df, "v", "part", ["id"], rows_per_task=size).toPandas().sort_values("id")
     expected = pdf["v"] / pdf.groupby("part")["v"].transform("sum") * 100
     np.testing.assert_allclose(found["v_pct"].to_numpy(), expected.to_numpy())
