@@ -27,6 +27,8 @@ CONTAMINATION = 0.05
 SEED = 42
 EULER = 0.5772156649015329
 
+SPREAD_BELOW = 10_000_000
+
 
 def average_path(n: np.ndarray | float) -> np.ndarray:
     """Mean depth of an unsuccessful search among ``n`` rows of a binary search tree."""
@@ -42,15 +44,24 @@ def _share(seed: int, *cols: Column) -> Column:
 
 
 def tree_samples(rows: DataFrame, id_cols: Sequence[str], total: int, trees: int, sample: int, seed: int) -> DataFrame:
-    """(tree, rows of its sample). A pool several times larger than all samples is drawn first, with one hash per row."""
+    """(tree, rows of its sample): up to ``sample`` rows per tree, drawn without replacement by key hash.
+
+    The trees are dealt into as few stripes as give each tree half as many candidates again as it needs, and a
+    row picks one tree of each stripe. On large data there is one stripe, and one hash decides whether a row is a
+    candidate at all; on small data a row enters several trees, at the smallest all of them.
+    """
     ids = [F.col(c) for c in id_cols]
-    pool_share = min(1.0, 8.0 * trees * sample / max(total, 1))
-    pool = rows if pool_share >= 1.0 else rows.filter(_share(seed, *ids) < pool_share)
-    per_tree = min(1.0, 1.5 * sample / max(total * pool_share, 1.0))
-    numbered = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    drawn = numbered.withColumn("_h", _share(seed + 1, F.col("tree"), *ids)).filter(F.col("_h") <= per_tree)
+    needed = 1.5 * sample * trees
+    share = min(1.0, needed / max(total, 1))
+    stripes = min(trees, max(1, math.ceil(needed / max(total, 1))))
+    pool = rows if share >= 1.0 else rows.filter(_share(seed, *ids) < share)
+    dealt = pool.withColumn("_stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
+    in_stripe = F.floor((F.lit(trees - 1) - F.col("_stripe")) / stripes) + 1
+    choice = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_stripe"), *ids), in_stripe)
+    placed = dealt.withColumn("tree", (F.col("_stripe") + stripes * choice).cast("int"))
+    placed = placed.withColumn("_h", F.xxhash64(F.lit(seed + 2), F.col("tree"), *ids)).drop("_stripe")
     w = Window.partitionBy("tree").orderBy("_h", *ids)
-    return drawn.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= sample).drop("_h", "_n")
+    return placed.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= sample).drop("_h", "_n")
 
 
 def grow_tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple[int, int, float, int, int, float]]:
@@ -143,6 +154,9 @@ def isolation_forest(
         return pd.Series(-np.exp2(-lengths / depth))
 
     ensure_checkpoint_dir(spark)
+    if total <= SPREAD_BELOW:
+        # A small table often sits in one file and so in one task; scoring is worth all cores.
+        rows = rows.repartition(spark.sparkContext.defaultParallelism, *id_cols)
     scored = rows.withColumn("_s", score(F.struct(*z))).drop(*z).checkpoint()
     limit = exact_quantiles(scored, {"_s": [contamination]})["_s"][0]
     offset = F.lit(limit).cast("double")

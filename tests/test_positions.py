@@ -9,7 +9,7 @@ from tallyglass.operators.computed import RANK_METHODS, lag_column, pct_of_total
 from tallyglass.plans.joins import salted_join
 from tallyglass.plans.positions import split_by_order
 
-SIZES = [10**6, 200, 25]
+SIZES = [10**6, 25]
 
 
 @pytest.fixture(scope="module")
