@@ -7,7 +7,9 @@ once for all rules that need it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,14 +66,20 @@ def _positions(df: DataFrame) -> DataFrame:
 class Summaries:
     """The summaries the rules read; each is computed on first use and kept (bounded by columns, not rows)."""
 
-    def __init__(self, df: DataFrame):
-        self.df, self._kept = df, {}
+    def __init__(self, df: DataFrame, max_numeric: int | None = None):
+        self.df, self.max_numeric, self._kept = df, max_numeric, {}
 
     def _once(self, name, make):
         if name not in self._kept:
             self._kept[name] = pinned(make())
         return self._kept[name]
 
+    def prefetch(self, names: Sequence[str]) -> None:
+        """Compute several summaries side by side; their jobs share the cluster."""
+        with ThreadPoolExecutor(len(names)) as pool:
+            make = inheritable_thread_target(self.df.sparkSession)(lambda name: getattr(self, name)())
+            list(pool.map(make, names))
+
     def nulls(self) -> DataFrame:
         df = self.df
         counts = {c: {"nulls": F.count("*") - F.count(F.col(f"`{c}`")), "rows": F.count("*")} for c in df.columns}
@@ -92,6 +100,9 @@ class Summaries:
     def correlations(self) -> DataFrame:
         return self._once("correlations", lambda: correlation_pairs(self.df))
 
+    def trends(self) -> DataFrame:
+        return self._once("trends", lambda: trend_stats(self.df, self.max_numeric))
+
 
 def _of(df: DataFrame | Summaries) -> Summaries:
     return df if isinstance(df, Summaries) else Summaries(df)
@@ -206,8 +217,8 @@ def trend_stats(df: DataFrame, max_numeric: int | None = None) -> DataFrame:
 
 def alert_trend(df, max_numeric: int | None = TREND_NUMERICS) -> DataFrame:
     """A trend with p below the limit and strong enough. ``max_numeric`` limits the numeric columns looked at."""
-    s = _of(df)
-    stats = trend_stats(s.df, max_numeric).collect()
+    s = df if isinstance(df, Summaries) else Summaries(df, max_numeric)
+    stats = s.trends().collect()
     kept = [r for r in stats if r.r is not None and r.n >= TREND_MIN_ROWS and abs(r.r) > TREND_R and pearson_p(r.r, r.n - 2) < TREND_P]
     schema = "position long, date string, column string, n long, slope double, r double, change double"
     hit = s.df.sparkSession.createDataFrame([tuple(r) for r in kept], schema)
@@ -270,13 +281,17 @@ def alert_unique_rows(df) -> DataFrame:
 
 def alert_report(df: DataFrame, id_cols: Sequence[str] | None = None, max_numeric: int | None = TREND_NUMERICS) -> DataFrame:
     """All rules, most severe first, then in rule and column order. The forest runs only with ``id_cols``."""
-    s, roles = Summaries(df), column_roles(df)
+    s, roles = Summaries(df, max_numeric), column_roles(df)
+    needed = ["nulls", "duplicates"]
+    if roles.numeric:
+        needed += ["numbers", "distincts", "trends"] + (["correlations"] if len(roles.numeric) >= 2 else [])
+    s.prefetch(needed + (["categories"] if roles.categorical else []))
     rules = [alert_null_total(s), alert_null_worst(s), alert_duplicates(s)]
     if roles.numeric:
         rules += [alert_extreme_outliers(s), alert_moderate_outliers(s), alert_skew(s)]
         if len(roles.numeric) >= 2:
             rules.append(alert_correlation(s))
-        rules += [alert_trend(s, max_numeric), alert_low_variance(s)]
+        rules += [alert_trend(s), alert_low_variance(s)]
     if roles.categorical:
         rules.append(alert_imbalance(s))
     if id_cols:
