@@ -218,7 +218,10 @@ def _(t):
     c AS (SELECT corr(l_quantity, cubed) AS r, stddev_samp(nearly_flat) / avg(nearly_flat) AS cv FROM v)
     {row("CASE WHEN dups * 100.0 / total > 5 THEN 'WARNING' ELSE 'INFO' END", 'Data Quality', value='dups')} FROM n WHERE dups > 0
     UNION ALL {row("CASE WHEN r > 0.9 THEN 'WARNING' ELSE 'INFO' END", 'Correlation', repr('l_quantity / cubed'), 'round(r, 2)')} FROM c WHERE r > 0.75
-    UNION ALL {row(repr('INFO'), 'Data Quality', repr('nearly_flat'), 'cv')} FROM c WHERE cv < 0.01""",
+    UNION ALL {row(repr('INFO'), 'Data Quality', repr('nearly_flat'), 'cv')} FROM c WHERE cv < 0.01
+    UNION ALL {row(repr('GOOD'), 'Data Quality')} FROM n WHERE dups = 0
+    UNION ALL {row("CASE WHEN pct > 20 THEN 'CRITICAL' ELSE 'WARNING' END", 'Data Quality', value='pct')}
+    FROM (SELECT (2 * count(*) - count(l_discount) - count(l_returnflag)) * 100.0 / (6 * count(*)) AS pct FROM v) WHERE pct > 5""",
 )
 def _(t):
     return _checked(_report(t))
