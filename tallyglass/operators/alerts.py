@@ -17,7 +17,7 @@ from ..functions.numeric import pearson
 from ..functions.probability import pearson_p
 from ..plans.joins import with_summary
 from .forest import isolation_forest
-from .profile import categorical_profile, distinct_stats, duplicate_count, null_stats, numeric_stats, per_column, pinned
+from .profile import categorical_profile, distinct_stats, duplicate_count, numeric_stats, per_column, pinned
 from .relations import correlation_pairs
 from .roles import column_roles
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binning import edges_below, right_closed_bin
 from ..plans.joins import salted_join, with_summary
-from ..plans.positions import ROWS_PER_TASK, Order, order_pairs, sort_columns, split_by_order, window_column
+from ..plans.positions import ROWS_PER_TASK, Order, order_pairs, split_by_order, window_column
 from ..plans.quantiles import exact_quantiles
 from ..plans.sampling import sample_rows
 from .distributions import histogram
