@@ -38,10 +38,12 @@ def local_session(cores: int | str = "*", app: str = "tallyglass", memory: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; a folder of our own only where none is set."""
+    """The checkpoint folder the cluster names; in local mode, a folder of our own where none is set."""
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tallyglass-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
