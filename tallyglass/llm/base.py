@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def in_workers(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[
 def pieces(batch: pa.RecordBatch, text: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in slices of about ``most`` bytes of text, or of one row where that is longer."""
     start = 0
-    offsets = pa.compute.binary_length(batch.column(text)).to_pylist()
+    offsets = pc.binary_length(batch.column(text)).to_pylist()
     size = 0
     for i, n in enumerate(offsets):
         size += n or 0

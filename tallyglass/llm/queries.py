@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_counts
+from . import mixing, token_counts, warc
 from .base import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -14,3 +14,13 @@ __all__ = ["QUERIES", "SQL"]
 @query("op6_token_counts")
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op9_warc", warc.SQL)
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
+@query("op10_mixing", mixing.SQL)
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
