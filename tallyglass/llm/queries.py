@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, piece_codec, token_counts, warc
+from . import mixing, piece_codec, pii, token_counts, warc
 from .base import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -16,6 +16,12 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return piece_codec.round_trip(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op4_pii")
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pii.find(docs, pii.train(docs))
+
+
 @query("op6_token_counts")
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
