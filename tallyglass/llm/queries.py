@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, piece_codec, pii, quality, token_counts, warc
+from . import mixing, near_copies, piece_codec, pii, quality, token_counts, warc
 from .base import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -16,6 +16,11 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return piece_codec.round_trip(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op2_near_copies")
+def op2_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return near_copies.find(table(spark, folder, "documents"))
+
+
 @query("op4_pii")
 def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
