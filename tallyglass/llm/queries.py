@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_copies, piece_codec, pii, quality, token_counts, warc
+from . import language_model, mixing, near_copies, piece_codec, pii, quality, token_counts, warc
 from .base import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -38,6 +38,11 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op8_language_model")
+def op8_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score(table(spark, folder, "documents"))
+
+
 @query("op9_warc", warc.SQL)
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
