@@ -187,7 +187,7 @@ class Automaton:
 
 
 def score(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, mass: float = 20.0, folds: int = 5, held_out: int = 1
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, mass: float = 200.0, folds: int = 5, held_out: int = 1
 ) -> DataFrame:
     """One row per input row: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 

@@ -17,7 +17,7 @@ def split(text):
     return [*re.findall("[^\\x20\\x09-\\x0D]+", low), "</s>"]
 
 
-def brute(rows, order, mass=20.0):
+def brute(rows, order, mass=200.0):
     """(id, held out, tokens, known, training tokens, base, score) of every row, from counts of whole n-grams."""
     held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 5 == 1
     grams, contexts = Counter(), Counter()
