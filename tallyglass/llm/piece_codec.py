@@ -62,7 +62,8 @@ class PieceCodec:
         # where no piece holds a blank after another character, paths always meet before a blank
         cut = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall if cut else lambda text: [text] if text else []
-        self.neighbours: dict[tuple[str | None, str], bool] = {}
+        self.kinds = {p[:n]: False for p in self.ids for n in range(1, len(p))} | dict.fromkeys(self.ids, True)
+        self.follows = _Follows(self)
         self.known = _Words(self)
 
     def merged(self, text: str) -> list[str]:
@@ -80,13 +81,7 @@ class PieceCodec:
         """Score of a path that goes on with ``piece``; None where that cannot be."""
         if not self.bpe:
             return score + self.scores.get(piece, self.unknown_score)
-        key = last, piece
-        ok = self.neighbours.get(key)
-        if ok is None:
-            if len(self.neighbours) >= REMEMBERED:
-                self.neighbours.clear()
-            ok = self.neighbours[key] = self.merged((last or "") + piece) == ([piece] if last is None else [last, piece])
-        return score if ok else None
+        return score if self.follows[last][piece] else None
 
     def stream(self, chunks: Iterable[str]) -> Iterator[str]:
         """Pieces of a normalised text that comes in chunks."""
@@ -118,17 +113,17 @@ class PieceCodec:
 
     def short_word(self, word: str) -> list[str]:
         """:meth:`stream` for a BPE word too short for anything to be given out before its end."""
-        known, neighbours, longest = self.scores, self.neighbours, self.longest
+        kinds, follows = self.kinds, self.follows
         last: list[str | None] = [None] * (len(word) + 1)
         start = [0] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            for at in range(end - longest if end > longest else 0, end):
+        for at in range(len(word)):
+            follow = follows[last[at]]
+            for end in range(at + 1, len(word) + 1):
                 piece = word[at:end]
-                if piece not in known and at < end - 1:
-                    continue
-                ok = neighbours.get((last[at], piece))
-                if ok or (ok is None and self.step(0.0, last[at], piece) is not None):
+                whole = kinds.get(piece)
+                if (whole or end == at + 1) and last[end] is None and follow[piece]:
                     last[end], start[end] = piece, at
+                if whole is None:  # no piece begins so
                     break
         return self.path(last, start, len(word))
 
@@ -193,18 +188,48 @@ def characters(raw: bytes) -> str:
     return "".join(out)
 
 
+class _Follows(dict):
+    """By piece (None: the start of a text): whether BPE leaves a piece behind it unmerged, by that piece."""
+
+    def __init__(self, codec: PieceCodec):
+        super().__init__()
+        self.codec, self.size = codec, 0
+
+    def __missing__(self, last: str | None) -> _Follow:
+        if self.size >= REMEMBERED:
+            self.clear()
+            self.size = 0
+        row = self[last] = _Follow(self, last)
+        return row
+
+
+class _Follow(dict):
+    def __init__(self, all_: _Follows, last: str | None):
+        super().__init__()
+        self.all, self.last = all_, last
+
+    def __missing__(self, piece: str) -> bool:
+        alone = [piece] if self.last is None else [self.last, piece]
+        ok = self[piece] = self.all.codec.merged("".join(alone)) == alone
+        self.all.size += 1
+        return ok
+
+
 class _Words(dict):
-    """Ids by word."""
+    """Ids by word: those of late, and those of the generation before, from which a word in use is taken over."""
 
     def __init__(self, codec: PieceCodec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.old = codec, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         codec = self.codec
-        found = codec.short_word(word) if codec.bpe and len(word) < 2 * codec.longest else codec.stream([word])
-        ids = tuple(itertools.chain.from_iterable(map(codec.ids_of, found)))
+        ids = self.old.get(word)
+        if ids is None:
+            found = codec.short_word(word) if codec.bpe and len(word) < 2 * codec.longest else codec.stream([word])
+            ids = tuple(itertools.chain.from_iterable(map(codec.ids_of, found)))
         if len(self) >= REMEMBERED:
+            self.old = dict(self)
             self.clear()
         if len(word) <= 64:
             self[word] = ids
@@ -216,26 +241,29 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ``ids`` (array of int), ``n_tokens``. A null text is an empty one and has no ids.
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """One row per input row: id, ``ids`` (array of int), ``n_tokens``, and if asked for ``decoded``, the text of the ids.
 
-    Repeated rows give repeated rows, null ids stay null, other columns are not carried along. ``path`` is the
-    vocabulary file, readable in every worker.
+    A null text is an empty one and has no ids. Repeated rows give repeated rows, null ids stay null, other columns are
+    not carried along. ``path`` is the vocabulary file, readable in every worker.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for whole in batches:
-            for batch in pieces(whole):
-                ids = [np.array(c.encode(t), dtype=np.int32) for t in batch.column("text").to_pylist()]
-                sizes = np.array([len(x) for x in ids], dtype=np.int32)
-                values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), lists, pa.array(sizes)], ["id", "ids", "n_tokens"])
+        for batch in (part for whole in batches for part in pieces(whole, most=4 << 20)):
+            ids = [c.encode(t) for t in batch.column("text").to_pylist()]
+            sizes = np.array([len(x) for x in ids], dtype=np.int32)
+            values = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum()))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values))
+            columns = {"id": batch.column("id"), "ids": lists, "n_tokens": pa.array(sizes)}
+            if decoded:
+                columns["decoded"] = pa.array([c.decode(x) for x in ids], pa.string())
+            yield pa.RecordBatch.from_pydict(columns)
 
     rows = id_and_text(docs, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    return in_workers(rows, run, f"id {kind}, ids array<int>, n_tokens int").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, ids array<int>, n_tokens int" + ", decoded string" * decoded
+    return in_workers(rows, run, schema).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -252,17 +280,3 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     rows = pick(encoded, id=id_col, ids=ids_col).withColumn("ids", F.col("ids").cast("array<int>"))
     kind = rows.schema["id"].dataType.simpleString()
     return in_workers(rows, run, f"id {kind}, text string").withColumnRenamed("id", id_col)
-
-
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ``ids``, ``n_tokens`` and ``decoded`` of every row, in one pass over the texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for batch in batches:
-            texts = [c.decode(x.values.to_numpy() if x.values is not None else ()) for x in batch.column("ids")]
-            yield batch.append_column("decoded", pa.array(texts, pa.string()))
-
-    encoded = encode(docs, path, id_col, text_col)
-    kind = encoded.schema[id_col].dataType.simpleString()
-    return in_workers(encoded, run, f"`{id_col}` {kind}, ids array<int>, n_tokens int, decoded string")

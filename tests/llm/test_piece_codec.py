@@ -97,7 +97,7 @@ def test_unigram_vocabularies(tmp_path, fallback):
 def test_documents(spark, table):
     docs = table("documents")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    rows = pc.round_trip(docs, PATH).collect()
+    rows = pc.encode(docs, PATH, decoded=True).collect()
     assert len(rows) == len(texts)
     for r in rows:
         assert r.ids == LIBRARY.encode(texts[r.doc_id]) and r.decoded == texts[r.doc_id] and r.n_tokens == len(r.ids)
@@ -108,11 +108,11 @@ def test_documents(spark, table):
 def test_nulls_empty_long_repeated_and_clashing_columns(spark):
     long = "ab" * 100_000 + " \u65e5" * 1000
     rows = [(None, "a b", "x", "y"), (1, None, "x", "y"), (2, "", "x", "y"), (3, long, "x", "y"), (4, "a", "x", "y"), (4, "a", "x", "y")]
-    got = pc.round_trip(spark.createDataFrame(rows, SCHEMA), PATH)
+    got = pc.encode(spark.createDataFrame(rows, SCHEMA), PATH, decoded=True)
     assert got.columns == ["doc_id", "ids", "n_tokens", "decoded"]
     out = sorted((r.doc_id or 0, r.n_tokens, r.decoded) for r in got.collect())
     size = lambda t: len(LIBRARY.encode(t))
     assert out == [(0, size("a b"), "a b"), (1, 0, ""), (2, 0, ""), (3, size(long), long), (4, 1, "a"), (4, 1, "a")]
-    assert pc.round_trip(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+    assert pc.encode(spark.createDataFrame([], SCHEMA), PATH, decoded=True).count() == 0
     null = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<long>")
     assert {r.doc_id: r.text for r in pc.decode(null, PATH).collect()} == {1: None, 2: ""}
