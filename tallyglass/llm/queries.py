@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_model, mixing, near_copies, piece_codec, pii, quality, token_counts, warc
+from . import bit_codes, language_model, mixing, multiprobe, near_copies, piece_codec, pii, quality, token_counts, warc
 from .base import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -21,6 +21,11 @@ def op2_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies.find(table(spark, folder, "documents"))
 
 
+@query("op3_multiprobe")
+def op3_multiprobe(spark: SparkSession, folder: str) -> DataFrame:
+    return multiprobe.nearest(table(spark, folder, "embeddings"))
+
+
 @query("op4_pii")
 def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -38,6 +43,11 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op7_bit_codes")
+def op7_bit_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return bit_codes.near_vectors(table(spark, folder, "embeddings"))
+
+
 @query("op8_language_model")
 def op8_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return language_model.score(table(spark, folder, "documents"))
