@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binning import edges_below, right_closed_bin
 from ..plans.joins import salted_join, with_summary
-from ..plans.positions import ROWS_PER_TASK, Order, order_pairs, split_by_order, window_column
+from ..plans.positions import ROWS_PER_TASK, Order, join_null_safe, order_pairs, split_by_order, window_column
 from ..plans.quantiles import exact_quantiles
 from ..plans.sampling import sample_rows
 from .distributions import histogram
@@ -69,45 +69,53 @@ def rank_column(
     name: str | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Rank of ``col``, null for null. ``ordinal`` breaks ties by ``id_cols``.
+    """Rank of ``col``, null for null. ``ordinal`` breaks ties by ``id_cols``, which should be unique.
 
-    Large groups are ranked in ordered buckets (see ``plans.positions``), where ``id_cols`` also serve
-    to divide a single value that fills more than one bucket.
+    Where a group is too large for one task, ordinal ranks are taken in ordered buckets (see ``plans.positions``). The
+    others then follow from the number of rows of each value, so that no rows are sorted, and are joined back by value.
     """
     if method not in RANK_METHODS:
         raise ValueError(f"method must be one of {RANK_METHODS}, not {method!r}")
     if method == "ordinal" and not id_cols:
         raise ValueError("ordinal ranks need id_cols to break ties")
-    name = name or f"{col}_rank"
+    name, parts = name or f"{col}_rank", list(partition_by)
     known = df.filter(F.col(col).isNotNull())
-    order = [(col, ascending), *[(c, True) for c in id_cols]]
-    split = split_by_order(known, order, partition_by, rows_per_task)
     lead = F.col(col).asc_nulls_last() if ascending else F.col(col).desc_nulls_last()
-    if not split.divided:
-        by_value = Window.partitionBy(*partition_by).orderBy(lead)
-        by_row = Window.partitionBy(*partition_by).orderBy(lead, *id_cols)
+    if method == "ordinal":
+        split = split_by_order(known, [(col, ascending), *[(c, True) for c in id_cols]], parts, rows_per_task)
+        divided = split.divided
+    else:
+        sizes = known.groupBy(*parts).agg(F.count("*").alias("_n"))
+        divided = (sizes.agg(F.max("_n")).first()[0] or 0) > rows_per_task
+    if not divided:
+        by_value = Window.partitionBy(*parts).orderBy(lead)
+        by_row = Window.partitionBy(*parts).orderBy(lead, *id_cols)
         peers = F.count(col).over(by_value.rangeBetween(Window.unboundedPreceding, Window.currentRow))
         value = _rank(method, F.rank().over(by_value), peers, F.dense_rank().over(by_value), F.row_number().over(by_row))
         return df.withColumn(name, F.when(F.col(col).isNotNull(), value))
-
-    level = ["_bucket", "_sub"] if method == "ordinal" else ["_bucket"]
-    size = F.count_distinct(F.col(col)) if method == "dense" else F.count("*")
-    rows = split.attach(split.rows, split.offsets(size, level), level)
-    by_value = Window.partitionBy(*split.keys).orderBy(lead)
-    peers = F.count(col).over(by_value.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    start = F.col("_start")
-    value = _rank(
-        method,
-        start + F.rank().over(by_value),
-        F.when(F.col("_single"), start + F.col("_size")).otherwise(start + peers),
-        start + F.dense_rank().over(by_value),
-        start + F.row_number().over(split.window()),
-    )
-    ranked = rows.withColumn(name, value).select(*df.columns, name)
+    if method == "ordinal":
+        rows = split.attach(split.rows, split.offsets(F.count("*")))
+        rank = (F.col("_start") + F.row_number().over(split.window())).cast("long")
+        ranked = rows.withColumn(name, rank).select(*df.columns, name)
+    else:
+        frame = _ranks_by_value(known, col, method, ascending, parts, rows_per_task).withColumnRenamed("_rank", name)
+        ranked = join_null_safe(known.drop(name), frame, [*parts, col]).select(*[c for c in df.columns if c != name], name)
     kind = ranked.schema[name].dataType
     return ranked.unionByName(df.filter(F.col(col).isNull()).withColumn(name, F.lit(None).cast(kind)))
 
 
+def _ranks_by_value(known: DataFrame, col: str, method: str, ascending: bool, parts: Sequence[str], rows_per_task: int) -> DataFrame:
+    """One row per group and value with its rank, from running totals of the rows per value."""
+    counts = known.groupBy(*parts, col).agg(F.count("*").alias("_n"))
+    split = split_by_order(counts, [(col, ascending)], parts, rows_per_task)
+    rows, before = split.rows, F.lit(0)
+    if split.divided:
+        rows, before = split.attach(rows, split.offsets(F.count("*") if method == "dense" else F.sum("_n"))), F.col("_start")
+    upto = before + F.sum("_n").over(split.window().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    dense = before + F.row_number().over(split.window())
+    return rows.select(*parts, col, _rank(method, upto - F.col("_n") + 1, upto, dense, dense).alias("_rank"))
+
+
 def _rank(method: str, lowest: Column, highest: Column, dense: Column, ordinal: Column) -> Column:
     if method == "average":
         return (lowest + highest) / 2.0

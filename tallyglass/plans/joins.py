@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .positions import MAX_BUCKETS, ROWS_PER_TASK
+from .positions import ROWS_PER_TASK
 
 SALTS = 256
+#: Facts of up to this many rows, counted first, are broadcast; the other rows then stay where they are.
+BROADCAST_ROWS = 10_000
 
 
 def salted_join(
@@ -17,17 +19,17 @@ def salted_join(
 ) -> DataFrame:
     """Inner join on non-null ``keys``, which are unique in ``facts``.
 
-    Key sizes are counted first. If none exceeds ``hot_rows`` this is a plain join. Otherwise the rows of a hot
-    key are spread over salts by the hash of ``spread_by`` and its fact is repeated once per salt. The broadcast
-    frame names at most ``MAX_BUCKETS`` keys, since each of them owns more than 1/MAX_BUCKETS of the rows.
+    Few facts are broadcast. Otherwise key sizes are counted, and where a key has more than ``hot_rows`` rows, these are
+    spread over salts by the hash of ``spread_by`` and its fact is repeated once per salt. The broadcast list of such
+    keys has less than one entry for each ``hot_rows`` rows.
     """
     keys = list(keys)
+    if facts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(facts), keys)
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
-    if (largest or 0) <= hot_rows:
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= hot_rows:
         return rows.join(facts, keys)
-    limit = max(hot_rows, total // MAX_BUCKETS)
-    hot = F.broadcast(sizes.filter(F.col("_n") > limit).select(*keys, F.lit(True).alias("_hot")))
+    hot = F.broadcast(sizes.filter(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot")))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(SALTS))).otherwise(0)
     left = rows.join(hot, keys, "left").withColumn("_salt", salt.cast("long")).drop("_hot")
     last = F.when(F.col("_hot"), F.lit(SALTS - 1)).otherwise(0).cast("long")

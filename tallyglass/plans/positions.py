@@ -2,10 +2,10 @@
 
 A plain ``Window`` sorts each of its groups in one task. That is right while every
 group is small. Where one group is hot (or there is no grouping at all, so that the
-whole table is the group), the group is cut into ordered buckets whose edges are
-quantiles of the order key, the window runs per bucket, and a short frame of bucket
-offsets carries the position across buckets. A value that fills more than one bucket on its
-own gets a bucket to itself, cut again by the second order key.
+whole table is the group), Spark's range partitioning cuts the rows, ordered by the
+groups and all order keys, into as many ranges as their number takes. A range is a
+bucket: the window runs per group and bucket, and a short frame of offsets carries
+the position from bucket to bucket. Keys are compared as they are, of whatever type.
 """
 
 from __future__ import annotations
@@ -14,13 +14,12 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..session import ensure_checkpoint_dir
 
 ROWS_PER_TASK = 2_000_000
-MAX_BUCKETS = 4096
 
 Order = Sequence[str | tuple[str, bool]]
 
@@ -46,21 +45,20 @@ class Split:
 
     @property
     def keys(self) -> list[str]:
-        return [*self.parts, "_bucket", "_sub"] if self.divided else self.parts
+        return [*self.parts, "_bucket"] if self.divided else self.parts
 
     def window(self) -> WindowSpec:
         return Window.partitionBy(*[F.col(k) for k in self.keys]).orderBy(*sort_columns(self.order))
 
-    def offsets(self, size: Column, level: Sequence[str] = ("_bucket", "_sub")) -> DataFrame:
-        """Per bucket: its size, the total before it and whether another bucket follows."""
-        keys = [*self.parts, *level]
-        sizes = self.rows.groupBy(*keys).agg(size.cast("long").alias("_size"))
-        w = Window.partitionBy(*self.parts).orderBy(*level)
+    def offsets(self, size: Column) -> DataFrame:
+        """Per group and bucket: its size, the total before it and whether another bucket follows."""
+        sizes = self.rows.groupBy(*self.keys).agg(size.cast("long").alias("_size"))
+        w = Window.partitionBy(*self.parts).orderBy("_bucket")
         before = F.coalesce(F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return sizes.select(*keys, "_size", before.alias("_start"), F.lead("_size").over(w).isNotNull().alias("_more"))
+        return sizes.select(*self.keys, "_size", before.alias("_start"), F.lead("_size").over(w).isNotNull().alias("_more"))
 
-    def attach(self, rows: DataFrame, frame: DataFrame, level: Sequence[str] = ("_bucket", "_sub")) -> DataFrame:
-        return join_null_safe(rows, frame, [*self.parts, *level])
+    def attach(self, rows: DataFrame, frame: DataFrame) -> DataFrame:
+        return join_null_safe(rows, frame, self.keys)
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -73,84 +71,22 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 def split_by_order(
     df: DataFrame, order_by: str | Order, partition_by: Sequence[str] = (), rows_per_task: int = ROWS_PER_TASK
 ) -> Split:
+    """Buckets of about ``rows_per_task`` rows where a group is larger than that.
+
+    Rows that agree in all order keys share a bucket, so the keys should be unique in a large group. The tagged rows are
+    checkpointed: the borders come from a sample, and a second evaluation might draw another.
+    """
     order, parts = order_pairs(order_by), list(partition_by)
     if parts:
-        sizes = df.groupBy(*parts).agg(F.count("*").alias("_n"))
-        total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
+        total, largest = df.groupBy(*parts).agg(F.count("*").alias("_n")).agg(F.sum("_n"), F.max("_n")).first()
     else:
         total = largest = df.count()
-    total, largest = total or 0, largest or 0
-    if largest <= rows_per_task:
+    if (largest or 0) <= rows_per_task:
         return Split(df, parts, order, False)
-
-    buckets = min(MAX_BUCKETS, math.ceil(total / rows_per_task))
-    rows = _tag(df, order, buckets)
-    if parts:
-        # At most MAX_BUCKETS groups can be larger than total / MAX_BUCKETS.
-        hot = sizes.filter(F.col("_n") > max(rows_per_task, total // MAX_BUCKETS)).select(*parts, F.lit(True).alias("_hot"))
-        rows = join_null_safe(rows, F.broadcast(hot), parts, "left")
-        calm = F.col("_hot").isNull()
-        rows = rows.withColumns(
-            {
-                "_bucket": F.when(calm, 0).otherwise(F.col("_bucket")),
-                "_sub": F.when(calm, 0).otherwise(F.col("_sub")),
-                "_single": F.when(calm, False).otherwise(F.col("_single")),
-            }
-        ).drop("_hot")
-    return Split(rows, parts, order, True)
-
-
-def _tag(df: DataFrame, order: Sequence[tuple[str, bool]], buckets: int) -> DataFrame:
-    lead = order[:2]
-    keyed = df.withColumns({f"_key{i}": _sortable(df, c) for i, (c, _) in enumerate(lead)})
-    names = [f"_key{i}" for i in range(len(lead))]
-    quantiles = keyed.approxQuantile(names, [(i + 1) / buckets for i in range(buckets - 1)], 1.0 / (4 * buckets))
-    first, repeated = _splits(quantiles[0], isolate=True)
-    keyed, top = _bucketize(keyed, "_key0", first, "_b0")
-    single = F.col("_key0").isNull()
-    if repeated:
-        single = single | F.coalesce(F.col("_key0").isin(repeated), F.lit(False))
-    sub: Column = F.lit(0).cast("long")
-    if len(lead) > 1:
-        second, _ = _splits(quantiles[1], isolate=False)
-        keyed, top1 = _bucketize(keyed, "_key1", second, "_b1")
-        sub = F.when(single, _directed("_key1", "_b1", top1, lead[1][1])).otherwise(0)
-    tagged = keyed.withColumns({"_bucket": _directed("_key0", "_b0", top, lead[0][1]), "_sub": sub, "_single": single})
-    return tagged.select(*df.columns, "_bucket", "_sub", "_single")
-
-
-def _sortable(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType
-    c = F.col(name)
-    if isinstance(kind, (T.NumericType, T.BooleanType)):
-        return c.cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    raise TypeError(f"order key {name!r} must be numeric, date or timestamp to cut a large group, not {kind.simpleString()}")
-
-
-def _splits(quantiles: Sequence[float], isolate: bool) -> tuple[list[float], list[float]]:
-    """Bucketizer splits; with ``isolate`` a repeated quantile becomes a bucket of that one value."""
-    edges = sorted(set(quantiles))
-    repeated = [e for e in edges if isolate and list(quantiles).count(e) > 1]
-    inner = sorted(set(edges) | {math.nextafter(e, math.inf) for e in repeated})
-    return [-math.inf, *[e for e in inner if math.isfinite(e)], math.inf], repeated
-
-
-def _bucketize(df: DataFrame, key: str, splits: list[float], out: str) -> tuple[DataFrame, int]:
-    if len(splits) < 3:
-        return df.withColumn(out, F.lit(0.0)), 0
-    stage = Bucketizer(splits=splits, inputCol=key, outputCol=out, handleInvalid="keep")
-    return stage.transform(df), len(splits) - 1
-
-
-def _directed(key: str, bucket: str, top: int, ascending: bool) -> Column:
-    index = F.col(bucket).cast("long")
-    if ascending:
-        return F.when(F.col(key).isNull(), -1).otherwise(index)
-    return F.when(F.col(key).isNull(), top + 1).otherwise(top - index)
+    ensure_checkpoint_dir(df.sparkSession)
+    ranges = [F.col(p).asc_nulls_first() for p in parts] + sort_columns(order)
+    cut = df.repartitionByRange(math.ceil(total / rows_per_task), *ranges)
+    return Split(cut.withColumn("_bucket", F.spark_partition_id().cast("long")).checkpoint(), parts, order, True)
 
 
 def window_column(
@@ -176,7 +112,7 @@ def window_column(
     tail = tail.select(*parts, *needs, "_pos", reached)
     starts = split.offsets(F.count("*")).filter(F.col("_start") > 0).select(*keys, "_start")
     halo = join_null_safe(tail, starts, [*parts, "_start"]).select(*keys, *needs, "_pos", F.lit(True).alias("_halo"))
-    body = rows.select(*df.columns, "_bucket", "_sub", "_pos", F.lit(False).alias("_halo"))
+    body = rows.select(*df.columns, "_bucket", "_pos", F.lit(False).alias("_halo"))
     both = body.unionByName(halo, allowMissingColumns=True)
     w = Window.partitionBy(*[F.col(k) for k in keys]).orderBy("_pos")
     return both.withColumn(name, build(w)).filter(~F.col("_halo")).select(*df.columns, name)
