@@ -211,8 +211,7 @@ def _(t):
     return alerts.alert_report(spiked, ["o_orderkey"])
 
 
-@query(
-    "alert_report_rules",
+RULES = (
     f"""WITH {LINEITEM_GAPS}, v AS (SELECT l_quantity, l_quantity ** 3 AS cubed, 1000 + l_tax AS nearly_flat, l_discount, l_returnflag, l_shipdate FROM li),
     n AS (SELECT (SELECT count(*) FROM v) - (SELECT count(*) FROM (SELECT DISTINCT * FROM v)) AS dups, (SELECT count(*) FROM v) AS total),
     c AS (SELECT corr(l_quantity, cubed) AS r, stddev_samp(nearly_flat) / avg(nearly_flat) AS cv FROM v)
@@ -221,23 +220,31 @@ def _(t):
     UNION ALL {row(repr('INFO'), 'Data Quality', repr('nearly_flat'), 'cv')} FROM c WHERE cv < 0.01
     UNION ALL {row(repr('GOOD'), 'Data Quality')} FROM n WHERE dups = 0
     UNION ALL {row("CASE WHEN pct > 20 THEN 'CRITICAL' ELSE 'WARNING' END", 'Data Quality', value='pct')}
-    FROM (SELECT (2 * count(*) - count(l_discount) - count(l_returnflag)) * 100.0 / (6 * count(*)) AS pct FROM v) WHERE pct > 5""",
+    FROM (SELECT (2 * count(*) - count(l_discount) - count(l_returnflag)) * 100.0 / (6 * count(*)) AS pct FROM v) WHERE pct > 5"""
 )
+
+
+@query("alert_report_rules", RULES)
 def _(t):
     return _checked(_report(t))
 
 
-@query("alert_counts")
+@query(
+    "alert_counts",
+    f"""WITH a AS ({RULES}), s(position, severity) AS (VALUES (0, 'TOTAL'), (1, 'CRITICAL'), (2, 'WARNING'), (3, 'INFO'), (4, 'GOOD'))
+    SELECT position::BIGINT AS position, severity, (SELECT count(*) FROM a WHERE s.severity IN ('TOTAL', a.severity)) AS count FROM s""",
+)
 def _(t):
     return alerts.alert_counts(_report(t))
 
 
-@query("alert_filter")
+@query("alert_filter", f"SELECT * FROM ({RULES}) WHERE severity IN ('WARNING', 'INFO') AND category IN ('Data Quality', 'Correlation')")
 def _(t):
-    return alerts.alert_filter(_report(t), ["WARNING", "INFO"], ["Data Quality", "Correlation"])
+    return _checked(alerts.alert_filter(_report(t), ["WARNING", "INFO"], ["Data Quality", "Correlation"]))
 
 
-@query("export_alerts")
+@query("export_alerts", f"SELECT severity, category, \"column\", 'lineitem' AS \"table\" FROM ({RULES})")
 def _(t):
     folder = scratch_folder(t.spark, "alerts")
-    return t.spark.read.option("header", True).csv(exports.export_alerts(_report(t), folder, "lineitem"))
+    written = t.spark.read.option("header", True).csv(exports.export_alerts(_report(t), folder, "lineitem"))
+    return written.select("severity", "category", "column", "table")

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.filters import Filter, apply_filters
 from ..sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +26,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return read_table(self.spark, self.path(name), "parquet")
 
+    def where(self, name: str, filters: Sequence[Filter]) -> DataFrame:
+        """Read with filters that the scan sees; those on long lists follow as joins."""
+        rows = read_table(self.spark, self.path(name), "parquet", where=[f.condition for f in filters if f.members is None])
+        return apply_filters(rows, [f for f in filters if f.members is not None])
+
     def raw(self, name: str) -> DataFrame:
         """As stored, so that filters reach the scan."""
         return self.spark.read.parquet(self.path(name))

@@ -65,9 +65,9 @@ def _(t):
     return rounded(charts.radar_means(t.part, ["p_size", "p_retailprice", "p_partkey"], "p_brand"), 4, "mean")
 
 
-@query("bubble", "SELECT o_orderkey, o_totalprice, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 500")
+@query("bubble", "SELECT o_orderkey, o_totalprice, o_custkey, o_orderstatus FROM orders")
 def _(t):
-    return charts.project_sample(t.raw("orders"), ["o_totalprice", "o_custkey", "o_orderstatus"], 500, "o_orderkey")
+    return charts.project_sample(t.raw("orders"), ["o_totalprice", "o_custkey", "o_orderstatus"], "o_orderkey")
 
 
 FLOWS = "f AS (SELECT o_orderstatus AS source, o_orderpriority AS target, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 30)"
@@ -88,14 +88,14 @@ def _(t):
     return charts.sankey(t.orders, "o_orderstatus", "o_orderpriority", "o_totalprice")[0]
 
 
-@query("parallel_coordinates", "SELECT p_partkey, p_size, p_retailprice FROM part ORDER BY p_partkey LIMIT 1000")
+@query("parallel_coordinates", "SELECT p_partkey, p_size, p_retailprice FROM part")
 def _(t):
-    return charts.project_sample(t.raw("part"), ["p_size", "p_retailprice"], 1000, "p_partkey")
+    return charts.project_sample(t.raw("part"), ["p_size", "p_retailprice"], "p_partkey")
 
 
-@query("scatter3d", "SELECT event_id, user_id, value, event_type FROM events ORDER BY event_id LIMIT 800")
+@query("scatter3d", "SELECT event_id, user_id, value, event_type FROM events")
 def _(t):
-    return charts.project_sample(t.raw("events"), ["user_id", "value", "event_type"], 800, "event_id")
+    return charts.project_sample(t.raw("events"), ["user_id", "value", "event_type"], "event_id")
 
 
 @query(
@@ -112,22 +112,22 @@ def _(t):
     return rounded(charts.value_matrix(t.part, "p_brand", "p_type", "p_retailprice", "mean", wide=False), 4, "value")
 
 
-DAILY = """d AS (SELECT CAST(ts AS DATE) AS period, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close FROM events GROUP BY 1)"""
+DAILY = """d AS (SELECT CAST(ts AS DATE) AS period, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close FROM events GROUP BY 1)"""
 
 
 @query("candlestick", f"WITH {DAILY} SELECT * FROM d")
 def _(t):
-    daily = timeseries.ohlc(t.events, "ts", "value", "D")
+    daily = timeseries.ohlc(t.events, "ts", "value", "D", ["event_id"])
     return timeseries.ohlc_rows(daily, "period", "open", "high", "low", "close")
 
 
 @query(
     "ohlc_resample",
-    """SELECT CAST(date_trunc('week', ts) AS DATE) + 6 AS period, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close
+    """SELECT CAST(date_trunc('week', ts) AS DATE) + 6 AS period, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close
     FROM events GROUP BY 1""",
 )
 def _(t):
-    return timeseries.ohlc(t.events, "ts", "value", "W")
+    return timeseries.ohlc(t.events, "ts", "value", "W", ["event_id"])
 
 
 @query("lollipop", "SELECT p_brand, round(sum(p_retailprice), 2) AS total FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
@@ -154,6 +154,16 @@ def _(t):
     return charts.histogram2d(t.lineitem, "l_quantity", "l_extendedprice", 30, 30)
 
 
+@query(
+    "histogram2d_marginals",
+    """WITH e AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_extendedprice) AS c, max(l_extendedprice) AS d FROM lineitem)
+    SELECT 'x' AS axis, least(29, floor((l_quantity - a) / (b - a) * 30))::BIGINT AS bin, count(*) AS count FROM lineitem, e GROUP BY 1, 2
+    UNION ALL SELECT 'y', least(29, floor((l_extendedprice - c) / (d - c) * 30))::BIGINT, count(*) FROM lineitem, e GROUP BY 1, 2""",
+)
+def _(t):
+    return charts.marginals(charts.histogram2d(t.lineitem, "l_quantity", "l_extendedprice", 30, 30))
+
+
 @query(
     "bar_race",
     """WITH m AS (SELECT strftime(l_shipdate, '%Y-%m') AS period, l_suppkey::VARCHAR AS supplier, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY 1, 2),

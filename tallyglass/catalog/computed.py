@@ -182,3 +182,28 @@ def _(t):
 def _(t):
     cleared = computed.clear_computed(computed.formula(t.orders, "twice", "o_totalprice * 2"), ["twice"])
     return cleared.agg(F.count("*").alias("rows")).withColumn("columns", F.lit(len(cleared.columns)).cast("long"))
+
+
+# Ranks of other types of keys, with groups cut into small ranges.
+_TYPED = {
+    "text": ("o_orderpriority || '-' || CAST(o_custkey AS string)", "o_orderpriority || '-' || o_custkey::VARCHAR"),
+    "wide": ("1152921504606846976 + o_custkey", "1152921504606846976 + o_custkey"),
+    "decimal": ("CAST('123456789012345678901.25' AS DECIMAL(30, 2)) + o_custkey", "123456789012345678901.25::DECIMAL(30, 2) + o_custkey"),
+    "day": ("CAST(o_orderdate AS DATE)", "CAST(o_orderdate AS DATE)"),
+}
+
+
+def _register_typed(name: str, spark_key: str, duck_key: str):
+    @query(
+        f"rank_{name}_keys",
+        f"""WITH k AS (SELECT o_orderkey, {duck_key} AS k FROM orders) SELECT o_orderkey, rank() OVER w + (count(*) OVER (PARTITION BY k) - 1) / 2.0::DOUBLE AS average_rank,
+        row_number() OVER (ORDER BY k DESC, o_orderkey) AS ordinal_rank FROM k WINDOW w AS (ORDER BY k DESC)""",
+    )
+    def _(t):
+        rows = t.orders.select("o_orderkey", F.expr(spark_key).alias("k"))
+        ranked = computed.rank_column(rows, "k", "average", name="average_rank", rows_per_task=2000)
+        return computed.rank_column(ranked, "k", "ordinal", id_cols=["o_orderkey"], name="ordinal_rank", rows_per_task=2000).drop("k")
+
+
+for _name, _keys in _TYPED.items():
+    _register_typed(_name, *_keys)

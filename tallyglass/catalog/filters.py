@@ -15,7 +15,7 @@ SELECT_ROW = f"SELECT {', '.join(ROW)} FROM"
 @query("filter_numeric", f"{SELECT_ROW} lineitem WHERE l_quantity BETWEEN 10 AND 40 AND l_discount BETWEEN 0.02 AND 0.05")
 def _(t):
     chosen = [Filter.num("l_quantity", 10, 40), Filter.num("l_discount", 0.02, 0.05)]
-    return filters.apply_filters(t.raw("lineitem"), chosen).select(*ROW)
+    return t.where("lineitem", chosen).select(*ROW)
 
 
 @query("filter_category", f"WITH {LINEITEM_GAPS} {SELECT_ROW} li WHERE l_returnflag IN ('A', 'N')")
@@ -26,27 +26,27 @@ def _(t):
 @query("filter_category_many", "SELECT o_orderkey FROM orders WHERE o_custkey < 1200")
 def _(t):
     """More chosen values than an IN list should hold: a semi join."""
-    return filters.apply_filters(t.raw("orders"), [Filter.isin("o_custkey", range(1200))]).select("o_orderkey")
+    return t.where("orders", [Filter.isin("o_custkey", range(1200))]).select("o_orderkey")
 
 
 @query("filter_date", "SELECT event_id FROM events WHERE ts >= DATE '2024-01-05' AND ts < DATE '2024-01-12'")
 def _(t):
-    return filters.apply_filters(t.raw("events"), [Filter.date("ts", "2024-01-05", "2024-01-11")]).select("event_id")
+    return t.where("events", [Filter.date("ts", "2024-01-05", "2024-01-11")]).select("event_id")
 
 
 @query("filter_date_midnight", "SELECT event_id FROM events WHERE ts >= DATE '2024-01-05' AND ts <= TIMESTAMP '2024-01-11 00:00:00'")
 def _(t):
-    return filters.apply_filters(t.raw("events"), [Filter.date("ts", "2024-01-05", "2024-01-11", inclusive_day=False)]).select("event_id")
+    return t.where("events", [Filter.date("ts", "2024-01-05", "2024-01-11", inclusive_day=False)]).select("event_id")
 
 
 @query("filter_text", "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'ring')")
 def _(t):
-    return filters.apply_filters(t.raw("part"), [Filter.contains("p_name", "RING")]).select("p_partkey")
+    return t.where("part", [Filter.contains("p_name", "RING")]).select("p_partkey")
 
 
 @query("filter_text_regex", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '(?i)^(red|blue).*t$')")
 def _(t):
-    return filters.apply_filters(t.raw("part"), [Filter.contains("p_name", "^(RED|blue).*t$", regex=True)]).select("p_partkey")
+    return t.where("part", [Filter.contains("p_name", "^(RED|blue).*t$", regex=True)]).select("p_partkey")
 
 
 def _combined():
@@ -62,7 +62,7 @@ AND contains(lower(l_linestatus), 'o')"""
 
 @query("filter_combined", f"{SELECT_ROW} lineitem WHERE {COMBINED}")
 def _(t):
-    return filters.apply_filters(t.raw("lineitem"), _combined()).select(*ROW)
+    return t.where("lineitem", _combined()).select(*ROW)
 
 
 @query(
@@ -105,7 +105,7 @@ def _(t):
 
 @query("preview", "SELECT event_id, ts, user_id, event_type, value FROM events WHERE value >= 10 ORDER BY event_id LIMIT 500")
 def _(t):
-    kept = filters.apply_filters(t.raw("events"), [Filter.num("value", 10)])
+    kept = t.where("events", [Filter.num("value", 10)])
     return filters.preview(kept.drop("props"), "event_id")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numeric import normalize_nan
 from ..operators import dashboard, distributions, profile, roles
 from ..operators.charts import value_counts
 from ..operators.segments import cluster_means
@@ -178,11 +179,6 @@ def _(t):
     return rounded(profile.iqr_outliers(t.events, ["value"]), 4, "low", "high")
 
 
-@query("shapiro_wilk")
-def _(t):
-    return profile.shapiro_wilk(t.events, ["event_id"], ["value", "user_id"])
-
-
 @query(
     "jarque_bera",
     """WITH m AS (SELECT count(x) AS n, avg(x) AS mu, var_pop(x) AS v FROM (SELECT l_quantity AS x FROM lineitem)),
@@ -190,7 +186,7 @@ def _(t):
     SELECT 'l_quantity' AS "column", n, round(n / 6.0 * (g1 * g1 + g2 * g2 / 4), 3) AS jb, round(exp(-(n / 6.0 * (g1 * g1 + g2 * g2 / 4)) / 2), 6) AS p FROM s""",
 )
 def _(t):
-    return rounded(rounded(profile.jarque_bera(t.lineitem, ["l_quantity"]), 3, "jb"), 6, "p")
+    return rounded(rounded(profile.jarque_bera(t.lineitem, ["l_quantity"]), 3, "jb"), 6, "p").drop("normal")
 
 
 def _category_rows(cols):
@@ -211,7 +207,7 @@ def _(t):
     skewed = t.events.withColumn("value", F.col("value") * F.col("value")).withColumn(
         "event_type", F.expr("CASE WHEN user_id > 20 THEN 'view' ELSE event_type END")
     )
-    return profile.profile_insights(skewed, ["event_id"])
+    return profile.profile_insights(skewed)
 
 
 @query(
@@ -227,7 +223,7 @@ def _(t):
     return profile.quality_totals(t.events.withColumn("value", F.expr("CASE WHEN event_type = 'error' THEN NULL ELSE value END")))
 
 
-@query("missing_ranked", f"WITH {LINEITEM_GAPS}, n AS ({_null_rows()}) SELECT * FROM n WHERE null_pct > 0 ORDER BY null_pct DESC, \"column\" LIMIT 20")
+@query("missing_ranked", f"WITH {LINEITEM_GAPS}, n AS ({_null_rows()}) SELECT * FROM n WHERE null_pct > 0")
 def _(t):
     return profile.missing_ranked(t.lineitem_gaps)
 
@@ -393,9 +389,39 @@ def _(t):
     return rounded(rounded(distributions.kde(t.events, "value", "event_type"), 6, "x"), 8, "density")
 
 
-@query("strip_points", "SELECT event_id, event_type, value FROM events ORDER BY event_id LIMIT 1000")
+@query("strip_points", "SELECT event_id, event_type, value FROM events")
+def _(t):
+    return sample_rows(t.raw("events").select("event_id", "event_type", "value"), None, "event_id")
+
+
+def _infinite(t):
+    """Values with both infinities and NaN, which counts as missing."""
+    planted = "CASE WHEN event_id % 97 = 0 THEN 'Infinity' WHEN event_id % 89 = 0 THEN '-Infinity' WHEN event_id % 83 = 0 THEN 'NaN' ELSE value END"
+    return normalize_nan(t.raw("events").select(F.expr(f"CAST({planted} AS DOUBLE)").alias("value")))
+
+
+INFINITE = """e AS (SELECT CASE WHEN event_id % 97 = 0 THEN 'inf'::DOUBLE WHEN event_id % 89 = 0 THEN '-inf'::DOUBLE WHEN event_id % 83 = 0 THEN NULL ELSE value END AS value FROM events)"""
+
+
+@query(
+    "quantiles_infinite",
+    f"""WITH {INFINITE}, q AS (SELECT quantile_cont(value, [0.0, 0.25, 0.5, 0.75, 0.95, 1.0]) AS q, count(value) AS n FROM e)
+    SELECT n AS non_null, round(q[2], 6) AS p25, round(q[3], 6) AS median, round(q[4], 6) AS p75, round(q[5], 6) AS p95,
+    (SELECT count(*) FROM e WHERE value < q[2] - 1.5 * (q[4] - q[2]) OR value > q[4] + 1.5 * (q[4] - q[2])) AS outliers, q[1] AS "min", q[6] AS "max" FROM q""",
+)
+def _(t):
+    stats = profile.numeric_stats(_infinite(t)).select("non_null", "p25", "median", "p75", "p95", "outliers", "min", "max")
+    return rounded(stats, 6, "p25", "median", "p75", "p95")
+
+
+@query(
+    "histogram_infinite",
+    f"""WITH {INFINITE}, f AS (SELECT value FROM e WHERE isfinite(value)), b AS (SELECT min(value) AS a, max(value) AS z FROM f),
+    c AS (SELECT least(9, floor((value - a) / (z - a) * 10))::BIGINT AS bin, count(*) AS n FROM f, b GROUP BY 1)
+    SELECT i AS bin, coalesce(n, 0)::BIGINT AS count, round(a + i * ((z - a) / 10), 6) AS low, round(a + (i + 1) * ((z - a) / 10), 6) AS high FROM range(10) r(i) LEFT JOIN c ON bin = i, b""",
+)
 def _(t):
-    return sample_rows(t.raw("events").select("event_id", "event_type", "value"), 1000, "event_id")
+    return rounded(distributions.histogram(_infinite(t), "value", 10), 6, "low", "high")
 
 
 @query(

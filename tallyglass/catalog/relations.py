@@ -47,9 +47,9 @@ def _(t):
     return relations.top_correlations(_derived(t), 6, CHECKED)
 
 
-@query("scatter_sample", "SELECT event_id, user_id, value, event_type FROM events ORDER BY event_id LIMIT 2000")
+@query("scatter_sample", "SELECT event_id, user_id, value, event_type FROM events")
 def _(t):
-    return charts.project_sample(t.raw("events"), ["user_id", "value", "event_type"], 2000, "event_id")
+    return charts.project_sample(t.raw("events"), ["user_id", "value", "event_type"], "event_id")
 
 
 @query(

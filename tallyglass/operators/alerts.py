@@ -30,7 +30,7 @@ DUPLICATE_WARNING = 5.0
 OUTLIER_MIN_ROWS, EXTREME_FENCE, FENCE, OUTLIER_SHARE = 10, 4.0, 1.5, 0.10
 SKEW_MIN_ROWS, SKEW_LIMIT = 30, 3.0
 CORRELATION_WARNING, CORRELATION_INFO = 0.90, 0.75
-TREND_MIN_ROWS, TREND_P, TREND_R, TREND_CHANGE, TREND_NUMERICS = 20, 0.05, 0.4, 30.0, 3
+TREND_MIN_ROWS, TREND_P, TREND_R, TREND_CHANGE = 20, 0.05, 0.4, 30.0
 VARIATION_MIN_ROWS, VARIATION_LIMIT = 10, 0.01
 IMBALANCE_SHARE = 0.80
 FOREST_MIN_ROWS, FOREST_CONTAMINATION, FOREST_TREES, FOREST_WARNING = 20, 0.05, 100, 3.0
@@ -215,7 +215,7 @@ def trend_stats(df: DataFrame, max_numeric: int | None = None) -> DataFrame:
     return listed.join(found, listed["position"] == found["_p"]).drop("_p")
 
 
-def alert_trend(df, max_numeric: int | None = TREND_NUMERICS) -> DataFrame:
+def alert_trend(df, max_numeric: int | None = None) -> DataFrame:
     """A trend with p below the limit and strong enough. ``max_numeric`` limits the numeric columns looked at."""
     s = df if isinstance(df, Summaries) else Summaries(df, max_numeric)
     stats = s.trends().collect()
@@ -279,7 +279,7 @@ def alert_unique_rows(df) -> DataFrame:
     return _alert(hit, "GOOD", "Data Quality", F.lit("No repeated rows"), F.lit("Every row is different."), "Nothing to do.", rule=13)
 
 
-def alert_report(df: DataFrame, id_cols: Sequence[str] | None = None, max_numeric: int | None = TREND_NUMERICS) -> DataFrame:
+def alert_report(df: DataFrame, id_cols: Sequence[str] | None = None, max_numeric: int | None = None) -> DataFrame:
     """All rules, most severe first, then in rule and column order. The forest runs only with ``id_cols``."""
     s, roles = Summaries(df, max_numeric), column_roles(df)
     needed = ["nulls", "duplicates"]

@@ -89,8 +89,8 @@ def radar_means(df: DataFrame, axes: Sequence[str], by: str | None = None, n: in
     return frequent_only(df, by, n).groupBy(by).agg(*means).selectExpr(f"`{by}`", pairs)
 
 
-def project_sample(df: DataFrame, cols: Sequence[str], n: int, order_by: str | Order, mode: str = "head") -> DataFrame:
-    """Chosen columns of an ``n``-row sample (the key columns come along)."""
+def project_sample(df: DataFrame, cols: Sequence[str], order_by: str | Order, n: int | None = None, mode: str = "head") -> DataFrame:
+    """Chosen columns of all rows, or of an ``n``-row sample (the key columns come along)."""
     keys = [c for c, _ in order_pairs(order_by)]
     return sample_rows(df.select(*dict.fromkeys([*keys, *cols])), n, order_by, mode)
 
@@ -137,7 +137,7 @@ def stacked_area(df: DataFrame, date: str, cat: str, val: str, freq: str = "M",
 
 
 def histogram2d(df: DataFrame, x: str, y: str, x_bins: int = 30, y_bins: int = 30) -> DataFrame:
-    """Non-empty cells of an equal-width grid; sum over one axis for a marginal."""
+    """Non-empty cells of an equal-width grid; :func:`marginals` sums them over either axis."""
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
     box = rows.agg(F.struct(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")))
     cells = with_summary(rows, "_b", box).select(
@@ -147,6 +147,12 @@ def histogram2d(df: DataFrame, x: str, y: str, x_bins: int = 30, y_bins: int = 3
     return cells.groupBy("x_bin", "y_bin").agg(F.count("*").alias("count"))
 
 
+def marginals(cells: DataFrame) -> DataFrame:
+    """Rows per bin of either axis of :func:`histogram2d`, as (axis, bin, count)."""
+    each = F.explode(F.array(F.struct(F.lit("x").alias("axis"), F.col("x_bin").alias("bin")), F.struct(F.lit("y").alias("axis"), F.col("y_bin").alias("bin"))))
+    return cells.select(each.alias("m"), "count").groupBy("m.axis", "m.bin").agg(F.sum("count").alias("count"))
+
+
 def bar_race(df: DataFrame, date: str, cat: str, val: str, n: int = 10) -> DataFrame:
     """Monthly totals of the ``n`` largest categories with their rank in the month."""
     monthly = (

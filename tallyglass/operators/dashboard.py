@@ -24,20 +24,16 @@ def auto_top_categories(df: DataFrame, n: int = 15) -> DataFrame:
     """Total of the leading KPI by the category with the fewest (but at least two) values."""
     roles = column_roles(df)
     kpi = kpi_cards(df, 1).first()["column"]
-    # Fixed value: a column of one value counts as having 999.
-    width = F.when(F.col("distinct") > 1, F.col("distinct")).otherwise(999)
     order = F.array_position(F.lit(roles.categorical), F.col("column"))
-    chosen = distinct_stats(df, roles.categorical).orderBy(width, order).first()["column"]
+    chosen = distinct_stats(df, roles.categorical).orderBy(F.col("distinct") <= 1, "distinct", order).first()["column"]
     return top_categories(df, chosen, kpi, n).select(
         F.lit(chosen).alias("category"), F.col(chosen).cast("string").alias("label"), F.lit(kpi).alias("measure"), "total"
     )
 
 
-def auto_trend(df: DataFrame, weekly_above: int = 500) -> DataFrame:
-    """The leading KPI over the first date column; weekly sums once there are many rows."""
+def auto_trend(df: DataFrame, freq: str | None = "W") -> DataFrame:
+    """Sums of the leading KPI per period of the first date column, or with ``freq=None`` its single values."""
     roles = column_roles(df)
     date, kpi = roles.date[0], kpi_cards(df, 1).first()["column"]
     rows = df.select(date, kpi).dropna()
-    if rows.limit(weekly_above + 1).count() > weekly_above:
-        return resample(rows, date, [kpi], "W")
-    return ts_raw(rows, date, [kpi])
+    return ts_raw(rows, date, [kpi]) if freq is None else resample(rows, date, [kpi], freq)

@@ -19,12 +19,12 @@ from .roles import column_roles
 
 
 def histogram(df: DataFrame, col: str, bins: int = 40, by: str | None = None) -> DataFrame:
-    """Counts in equal-width bins from the minimum to the maximum.
+    """Counts in equal-width bins from the smallest to the largest finite value; others are left out.
 
     All bins are listed, empty ones with 0; with ``by`` only the occupied (bin, group) cells. The range is found
     first and enters the plan as literals.
     """
-    rows = df.filter(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("_x"), *([by] if by else []))
+    rows = df.select(F.col(col).cast("double").alias("_x"), *([by] if by else [])).filter(F.abs("_x") < math.inf)
     low, high = (F.lit(v).cast("double") for v in rows.agg(F.min("_x"), F.max("_x")).first())
     binned = rows.withColumn("bin", equal_width_bin(F.col("_x"), low, high, bins))
     counts = binned.groupBy("bin", *([by] if by else [])).agg(F.count("*").alias("count"))
@@ -40,6 +40,7 @@ def histogram_grid(df: DataFrame, bins: int = 25, cols: Sequence[str] | None = N
     """Occupied bins of every numeric column, from one pass for all ranges and one for all counts."""
     cols = list(cols if cols is not None else column_roles(df).numeric)
     x = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    x = {c: F.when(F.abs(v) < math.inf, v) for c, v in x.items()}
     ends = df.agg(
         F.struct(*[e for i, c in enumerate(cols) for e in (F.min(x[c]).alias(f"low{i}"), F.max(x[c]).alias(f"high{i}"))])
     )

@@ -45,7 +45,7 @@ class Filter:
         label = f"{col}: {len(chosen)} selected"
         if len(chosen) > IN_LIST_LIMIT:
             return Filter(label, col, members=chosen)
-        return Filter(label, col, F.coalesce(F.col(col).isin(*chosen), F.lit(False)))
+        return Filter(label, col, F.col(col).isin(*chosen))
 
     @staticmethod
     def date(col: str, first: dt.date | str, last: dt.date | str, inclusive_day: bool = True) -> Filter:

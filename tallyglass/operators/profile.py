@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import percent_of, sample_kurtosis, sample_skewness
-from ..functions.shapiro import shapiro_frame
 from ..plans.quantiles import exact_quantiles
-from ..plans.sampling import key_hash, sample_rows
-from ..session import ship_package
+from ..plans.sampling import sample_rows
 from .roles import column_roles
 
 
@@ -165,24 +163,6 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.
     return stats.withColumn("outlier_pct", F.round(percent_of(F.col("outliers"), F.col("non_null")), 1))
 
 
-def shapiro_wilk(
-    df: DataFrame, id_cols: Sequence[str], cols: Sequence[str] | None = None, n: int = 5000, seed: int = 0
-) -> DataFrame:
-    """Normality test on at most ``n`` values per column, sampled by key hash."""
-    cols = list(cols if cols is not None else column_roles(df).numeric)
-    ship_package(df.sparkSession)
-    sample = None
-    for c in cols:
-        values = df.filter(F.col(f"`{c}`").isNotNull()).select(
-            F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value"), key_hash(id_cols, seed).alias("_h")
-        )
-        picked = values.orderBy("_h", "value").limit(n).select("column", "value")
-        sample = picked if sample is None else sample.unionByName(picked)
-    tested = sample.groupBy("column").applyInPandas(shapiro_frame, "column string, n long, w double, p double")
-    # Fixed value: significance level of the verdict.
-    return tested.withColumn("normal", F.when(F.col("p") > 0.05, "yes").when(F.col("p").isNotNull(), "no"))
-
-
 def jarque_bera(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Normality test on all rows from the third and fourth moments."""
     cols = list(cols if cols is not None else column_roles(df).numeric)
@@ -190,7 +170,9 @@ def jarque_bera(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         df, {c: {"n": F.count(c), "g1": F.skewness(F.col(c)), "g2": F.kurtosis(F.col(c))} for c in cols}
     )
     jb = F.col("n") / 6 * (F.col("g1") * F.col("g1") + F.col("g2") * F.col("g2") / 4)
-    return moments.select("column", "n", jb.alias("jb"), F.exp(-jb / 2).alias("p"))
+    tested = moments.select("column", "n", jb.alias("jb"), F.exp(-jb / 2).alias("p"))
+    # Fixed value: significance level of the verdict.
+    return tested.withColumn("normal", F.when(F.col("p") > 0.05, "yes").when(F.col("p").isNotNull(), "no"))
 
 
 def value_counts_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -215,10 +197,8 @@ def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None) -> Dat
     )
 
 
-def profile_insights(
-    df: DataFrame, id_cols: Sequence[str] | None = None, limit: int = 8, normality: bool = True
-) -> DataFrame:
-    """Ranked findings: missing, duplicates, per-number and per-category notes, dates, overall score."""
+def profile_insights(df: DataFrame, limit: int | None = None, normality: bool = True) -> DataFrame:
+    """Ranked findings: missing, duplicates, per-number and per-category notes, dates, overall score; all, or ``limit`` of them."""
     roles = column_roles(df)
     order = column_list(df, df.columns)
     quality = pinned(quality_score(df))
@@ -249,7 +229,7 @@ def profile_insights(
         side = F.when(F.col("skew") > 0, " has a long right tail, skewness ").otherwise(" has a long left tail, skewness ")
         add(stats.filter("abs(skew) > 2"), 2, 1, "info", F.concat("column", side, F.col("skew").cast("string")))
         if normality:
-            normal = shapiro_wilk(df, id_cols or df.columns, roles.numeric).filter("p > 0.05").join(order, "column")
+            normal = jarque_bera(df, roles.numeric).filter("normal = 'yes'").join(order, "column")
             add(normal, 2, 2, "good", F.concat("column", F.lit(" is consistent with a normal distribution")))
     if roles.categorical:
         cats = pinned(categorical_profile(df, roles.categorical)).join(order, "column")
@@ -263,7 +243,8 @@ def profile_insights(
     merged = found[0]
     for f in found[1:]:
         merged = merged.unionByName(f)
-    return merged.orderBy("block", "position", "step").limit(limit)
+    ranked = merged.orderBy("block", "position", "step")
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def quality_totals(df: DataFrame) -> DataFrame:
@@ -282,8 +263,9 @@ def quality_totals(df: DataFrame) -> DataFrame:
     )
 
 
-def missing_ranked(df: DataFrame, n: int = 20) -> DataFrame:
-    return null_stats(df).filter("null_pct > 0").orderBy(F.desc("null_pct"), "column").limit(n)
+def missing_ranked(df: DataFrame, n: int | None = None) -> DataFrame:
+    ranked = null_stats(df).filter("null_pct > 0").orderBy(F.desc("null_pct"), "column")
+    return ranked if n is None else ranked.limit(n)
 
 
 def outlier_ranked(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -306,7 +288,7 @@ def null_patterns(df: DataFrame) -> DataFrame:
     return df.groupBy(pattern).agg(F.count("*").alias("rows"))
 
 
-def schema_report(df: DataFrame, id_cols: Sequence[str] | None = None, normality: bool = False) -> DataFrame:
+def schema_report(df: DataFrame, normality: bool = False) -> DataFrame:
     """One row per column of the table, numbers for numeric columns and the top value for categories."""
     roles = column_roles(df)
     listed = df.sparkSession.createDataFrame(
@@ -322,17 +304,17 @@ def schema_report(df: DataFrame, id_cols: Sequence[str] | None = None, normality
     if roles.categorical:
         report = report.join(categorical_profile(df, roles.categorical).select("column", "top", "top_pct"), "column", "left")
     if normality and roles.numeric:
-        tested = shapiro_wilk(df, id_cols or df.columns, roles.numeric).select("column", "normal")
+        tested = jarque_bera(df, roles.numeric).select("column", "normal")
         report = report.join(tested, "column", "left")
     return report.drop("nulls").orderBy("position")
 
 
-def stat_card(df: DataFrame, col: str, id_cols: Sequence[str] | None = None, normality: bool = False) -> DataFrame:
+def stat_card(df: DataFrame, col: str, normality: bool = False) -> DataFrame:
     """The statistics of one column as rows (statistic, value)."""
     names = ["min", "max", "mean", "median", "std", "skew", "kurt", "p25", "p75", "p95", "outliers", "outlier_pct"]
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in names)
     card = numeric_profile(df, [col]).selectExpr(f"stack({len(names)}, {pairs}) AS (statistic, value)")
     if normality:
-        tested = shapiro_wilk(df, id_cols or df.columns, [col])
+        tested = jarque_bera(df, [col])
         card = card.unionByName(tested.select(F.lit("normality_p").alias("statistic"), F.col("p").alias("value")))
     return card

@@ -56,14 +56,14 @@ def pct_change(series: DataFrame, col: str, periods: int = 1, date: str = "perio
     return series.withColumn(f"{col}_pct_change", F.round(change, 1))
 
 
-def ohlc(df: DataFrame, ts: str, value: str, freq: str) -> DataFrame:
-    """First, highest, lowest and last value of each period."""
+def ohlc(df: DataFrame, ts: str, value: str, freq: str, id_cols: Sequence[str] = ()) -> DataFrame:
+    """First, highest, lowest and last value of each period; of equal times, ``id_cols`` and then the value decide."""
     rows = df.filter(F.col(ts).isNotNull() & F.col(value).isNotNull())
     return rows.groupBy(period_end(F.col(ts), freq).alias("period")).agg(
-        F.min_by(value, ts).alias("open"),
+        F.min_by(value, F.struct(ts, *id_cols, value)).alias("open"),
         F.max(value).alias("high"),
         F.min(value).alias("low"),
-        F.max_by(value, ts).alias("close"),
+        F.max_by(value, F.struct(ts, *id_cols, value)).alias("close"),
     )
 
 

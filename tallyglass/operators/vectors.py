@@ -42,7 +42,7 @@ def embed_text(df: DataFrame, col: str, dim: int = 384, encoder: Callable[[], En
                 yield pd.Series(list(np.asarray(model(texts.tolist()), dtype=float)))
 
         return unit_vectors(rows.withColumn(out, encode(F.col(col))), out)
-    words = RegexTokenizer(inputCol=col, outputCol="_words", pattern=r"\W+").transform(rows)
+    words = RegexTokenizer(inputCol=col, outputCol="_words", pattern=r"[^\p{L}\p{N}]+").transform(rows)
     counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dim).transform(words)
     weighted = IDF(inputCol="_counts", outputCol="_weighted").fit(counts).transform(counts)
     unit = Normalizer(inputCol="_weighted", outputCol="_unit").transform(weighted)
@@ -85,7 +85,10 @@ def vector_search(
 
 def vector_of(df: DataFrame, id_col: str, key, vec: str) -> list[float]:
     """The vector of one row."""
-    return [float(v) for v in df.filter(F.col(id_col) == key).select(vec).first()[0]]
+    found = df.filter(F.col(id_col) == key).select(vec).first()
+    if found is None or found[0] is None:
+        raise KeyError(f"{id_col} {key!r} " + ("does not occur" if found is None else "has no vector"))
+    return [float(v) for v in found[0]]
 
 
 def embedding_projection(

@@ -4,6 +4,7 @@
 the bracket's values in equal-width bins and keeps each bin's own minimum and maximum, so a
 pass is one column-pruned scan with partial aggregation and a result of bounded size. The
 brackets shrink by the bin count per pass; a bracket holding few rows is read value by value.
+Infinite values are counted apart, so that every bracket has a finite width; NaN counts as missing.
 
 ``grouped_quantiles`` finds order statistics per group from (group, value) counts.
 """
@@ -41,7 +42,7 @@ class _Bracket:
 def exact_quantiles(
     df: DataFrame, probabilities: Mapping[str, Sequence[float]], bins: int = BINS
 ) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles of each numeric column, nulls ignored."""
+    """Linear-interpolated quantiles of each numeric column, nulls and NaN ignored; null between -Infinity and Infinity."""
     found: dict[str, list[float | None]] = {}
     names = list(probabilities)
     for first in range(0, len(names), COLUMNS_PER_PASS):
@@ -52,17 +53,27 @@ def exact_quantiles(
 
 def _exact_quantiles(df, probabilities, bins):
     names = list(probabilities)
-    values = df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(names)])
-    summary = values.agg(
-        *[e for i in range(len(names)) for e in (F.count(f"v{i}"), F.min(f"v{i}"), F.max(f"v{i}"))]
+    every = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias(f"v{i}") for i, c in enumerate(names)])
+    finite = {f"v{i}": F.when(F.abs(f"v{i}") < math.inf, F.col(f"v{i}")) for i in range(len(names))}
+    summary = every.agg(
+        *[
+            e
+            for v, x in finite.items()
+            for e in (F.count(v), F.min(x), F.max(x), F.count_if(F.col(v) == -math.inf), F.count_if(F.col(v) == math.inf))
+        ]
     ).first()
-    sizes = {c: summary[3 * i] for i, c in enumerate(names)}
+    values = every.select(*[x.alias(v) for v, x in finite.items()])
+    ends = {c: summary[5 * i : 5 * i + 5] for i, c in enumerate(names)}
+    sizes = {c: e[0] for c, e in ends.items()}
     position = {c: i for i, c in enumerate(names)}
-    wanted = {
-        c: sorted({k for p in probabilities[c] for k in _ranks(p, sizes[c])}) for c in names if sizes[c]
-    }
-    brackets = [_Bracket(c, summary[3 * i + 1], summary[3 * i + 2], 0, sizes[c]) for i, c in enumerate(names) if sizes[c]]
+    wanted = {c: sorted({k for p in probabilities[c] for k in _ranks(p, sizes[c])}) for c in names if sizes[c]}
     known: dict[tuple[str, int], float] = {}
+    brackets = []
+    for c, (n, low, high, lowest, highest) in ends.items():
+        inside = n - lowest - highest
+        known.update({(c, k): -math.inf if k < lowest else math.inf for k in wanted.get(c, ()) if not lowest <= k < lowest + inside})
+        if inside:
+            brackets.append(_Bracket(c, low, high, lowest, inside))
     while brackets:
         still_open = []
         for b in brackets:
@@ -70,7 +81,10 @@ def _exact_quantiles(df, probabilities, bins):
                 known.update({(b.column, k): b.low for k in wanted[b.column] if b.holds(k)})
             else:
                 still_open.append(b)
+        before = {(b.column, b.low, b.high, b.inside) for b in still_open}
         brackets = _narrow(values, still_open, position, wanted, bins) if still_open else []
+        if any((b.column, b.low, b.high, b.inside) in before for b in brackets):
+            raise RuntimeError("a pass over the data has not narrowed the search")
     return {c: [_interpolate(p, c, sizes[c], known) for p in probabilities[c]] for c in names}
 
 
@@ -83,8 +97,12 @@ def _interpolate(p: float, column: str, n: int, known: Mapping[tuple[str, int],
     if not n:
         return None
     low, high = _ranks(p, n)
-    a, b = known[column, low], known[column, high]
-    return a + (b - a) * (p * (n - 1) - low)
+    a, b, part = known[column, low], known[column, high], p * (n - 1) - low
+    if a == b or not part:
+        return a
+    if math.isinf(a) or math.isinf(b):
+        return None if math.isinf(a) and math.isinf(b) else a if math.isinf(a) else b
+    return a + (b - a) * part
 
 
 def _narrow(values, brackets, position, wanted, bins):

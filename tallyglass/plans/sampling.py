@@ -14,11 +14,14 @@ def key_hash(id_cols: Sequence[str], seed: int = 0) -> Column:
     return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in id_cols])
 
 
-def sample_rows(df: DataFrame, n: int, order_by: str | Order, mode: str = "head", seed: int = 0) -> DataFrame:
+def sample_rows(df: DataFrame, n: int | None, order_by: str | Order, mode: str = "head", seed: int = 0) -> DataFrame:
+    """``n`` rows, or without it all of them in no order."""
+    if mode not in ("head", "hash"):
+        raise ValueError("mode must be 'head' or 'hash'")
+    if n is None:
+        return df
     pairs = order_pairs(order_by)
     if mode == "head":
         return df.orderBy(*sort_columns(pairs)).limit(n)
-    if mode == "hash":
-        ids = [c for c, _ in pairs]
-        return df.orderBy(key_hash(ids, seed), *[F.col(c) for c in ids]).limit(n)
-    raise ValueError("mode must be 'head' or 'hash'")
+    ids = [c for c, _ in pairs]
+    return df.orderBy(key_hash(ids, seed), *[F.col(c) for c in ids]).limit(n)

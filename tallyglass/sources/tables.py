@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import pathlib
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,23 +15,33 @@ FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".jsonl": "jso
 
 
 def read_table(
-    spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None, header: bool = True
+    spark: SparkSession,
+    path: str,
+    fmt: str | None = None,
+    schema: T.StructType | str | None = None,
+    header: bool = True,
+    where: Sequence[Column] = (),
 ) -> DataFrame:
-    """One table with NaN normalised to null. Without a schema, CSV types are inferred by a pass over the data."""
+    """One table with NaN normalised to null. Without a schema, CSV types are inferred by a pass over the data.
+
+    Conditions in ``where`` apply to the rows as stored, before NaN is replaced, so that they reach the scan.
+    """
     fmt = fmt or FORMATS.get(pathlib.PurePath(path.rstrip("/")).suffix, "parquet")
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", header).option("inferSchema", schema is None)
-    return normalize_nan(reader.format(fmt).load(path))
+    rows = reader.format(fmt).load(path)
+    for condition in where:
+        rows = rows.filter(condition)
+    return normalize_nan(rows)
 
 
 def read_workbook(spark: SparkSession, tables: Mapping[str, str] | str, register: bool = True) -> dict[str, DataFrame]:
     """Several tables by name: a mapping to paths, or a folder with one table per file. Each also becomes a view."""
     if isinstance(tables, str):
-        folder = pathlib.Path(tables)
-        tables = {p.stem: str(p) for p in sorted(folder.iterdir()) if p.suffix in FORMATS}
+        tables = {pathlib.PurePath(p).stem: p for p in listed(spark, tables) if pathlib.PurePath(p).suffix in FORMATS}
     book = {name: read_table(spark, path) for name, path in tables.items()}
     if register:
         for name, df in book.items():
@@ -39,6 +49,13 @@ def read_workbook(spark: SparkSession, tables: Mapping[str, str] | str, register
     return book
 
 
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """What lies in a folder of any file system that Spark reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(f.getPath().toString() for f in found)
+
+
 def table_summary(book: Mapping[str, DataFrame]) -> DataFrame:
     """Rows and columns of every table."""
     out = None

@@ -1,15 +1,18 @@
 """Empty tables, single rows, constants, NaN, null keys and odd names."""
 
 import datetime as dt
+import math
 
 import numpy as np
 import pandas as pd
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from tallyglass.functions.numeric import normalize_nan
-from tallyglass.operators import charts, computed, dashboard, distributions, profile, roles, segments, timeseries
-from tallyglass.operators.filters import Filter, apply_filters, filter_metrics
+from tallyglass.operators import alerts, charts, computed, dashboard, distributions, profile, roles, segments, timeseries, vectors
+from tallyglass.operators.filters import Filter, active_labels, apply_filters, filter_metrics
+from tallyglass.plans.quantiles import exact_quantiles
 from tallyglass.sources import exports, tables
 
 SCHEMA = "id long, x double, y double, g string, d date"
@@ -121,10 +124,72 @@ def test_filters(spark):
     assert filter_metrics(df, [Filter.isin("n", range(2, 3000))]).first().filtered_out == 1
 
 
-def test_date_filter_reaches_the_scan(table):
-    kept = apply_filters(table("lineitem"), [Filter.num("l_quantity", 10, 20)]).select("l_quantity")
+def test_filters_reach_the_scan(spark):
+    chosen = [Filter.num("l_quantity", 10, 20), Filter.isin("l_returnflag", ["A", "N"])]
+    kept = tables.read_table(spark, f"{SMALL}/lineitem.parquet", where=[f.condition for f in chosen]).select("l_quantity")
     plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(l_quantity,10.0)" in plan and "ReadSchema: struct<l_quantity:double>" in plan
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "GreaterThanOrEqual(l_quantity,10.0), LessThanOrEqual(l_quantity,20.0), In" in pushed  # the list itself is cut short in print
+    assert "ReadSchema: struct<l_quantity:double,l_returnflag:string>" in plan
+
+
+def test_labels_of_filters():
+    assert active_labels([Filter.num("x", 1, 2), Filter.isin("g", "ab")]) == ["x: 1 to 2", "g: 2 selected"]
+
+
+@pytest.mark.parametrize("odd", [math.inf, -math.inf, math.nan])
+def test_infinite_values_and_nan_end_the_search(spark, odd):
+    values = [float(i) for i in range(5000)] + [odd] * 3
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+    known = sorted(v for v in values if not math.isnan(v))
+    found = exact_quantiles(df, {"x": [0.0, 0.25, 0.5, 1.0]})["x"]
+    assert found == [known[int(p * (len(known) - 1))] if p in (0.0, 1.0) else pytest.approx(np.quantile(known, p)) for p in (0.0, 0.25, 0.5, 1.0)]
+    bins = distributions.histogram(df, "x", 10).collect()
+    assert sum(r["count"] for r in bins) == 5000 and max(r.high for r in bins) == 4999.0
+
+
+def test_a_constant_column_is_no_category(spark):
+    df = spark.range(1600).select(F.lit("one").alias("c"), F.col("id").cast("string").alias("g"), F.col("id").cast("double").alias("x"))
+    assert dashboard.auto_top_categories(df).first().category == "g"
+
+
+def test_every_number_can_raise_a_trend_alert(spark):
+    df = spark.range(60).selectExpr("date_add(date'2024-01-01', int(id)) AS d", *[f"rand({i}) AS n{i}" for i in range(4)], "id * 1.0D AS rising")
+    assert [r.column for r in alerts.alert_trend(df).collect()] == ["rising"]
+
+
+def test_all_insights_are_kept(spark):
+    one_off = [f"IF(id % 5 = 0, id * id * id, 0) * 1.0D AS v{i}" for i in range(12)]
+    assert profile.profile_insights(spark.range(400).selectExpr("id", *one_off), normality=False).count() > 12
+
+
+def test_unknown_keys_are_named(table):
+    with pytest.raises(KeyError, match="vec_id -1 does not occur"):
+        vectors.vector_of(table("embeddings"), "vec_id", -1, "embedding")
+
+
+def test_words_of_any_script(spark):
+    df = spark.createDataFrame([(1, "Iechä слово"), (2, "iechÄ, СЛОВО!"), (3, "iech")], "id long, text string")
+    a, b, c = (r.embedding for r in vectors.embed_text(df, "text").orderBy("id").collect())
+    assert a == b != c
+
+
+def test_an_encoder_of_the_caller(spark):
+    def encoder():
+        return lambda texts: np.array([[len(t), 1.0] for t in texts])
+
+    (row,) = vectors.embed_text(spark.createDataFrame([("abc",), (None,)], "text string"), "text", encoder=encoder).collect()
+    assert row.embedding == pytest.approx([3 / math.sqrt(10), 1 / math.sqrt(10)])
+
+
+def test_open_and_close_of_equal_times(spark):
+    rows = [(i, dt.datetime(2024, 1, 1), float((i * 7) % 11)) for i in range(11)]
+    found = {tuple(timeseries.ohlc(spark.createDataFrame(rows, "id long, t timestamp, v double").repartition(n), "t", "v", "D", ["id"]).first()) for n in (1, 4)}
+    assert found == {(dt.date(2024, 1, 1), 0.0, 10.0, 0.0, 4.0)}
+
+
+def test_a_workbook_by_address(spark):
+    assert tables.read_workbook(spark, "file:///root/testdata/sf0.001", register=False).keys() >= {"orders", "part"}
 
 
 def test_exports(spark, table, tmp_path):
@@ -144,4 +209,4 @@ def test_single_file_folder_is_a_workbook(spark):
 def test_dashboard_without_much_data(spark):
     df = spark.createDataFrame([("a", "u", 1.0, dt.date(2024, 1, 1)), ("b", "u", 2.0, dt.date(2024, 1, 2))], "g string, h string, x double, d date")
     assert {r.label for r in dashboard.auto_top_categories(df).collect()} == {"a", "b"}
-    assert dashboard.auto_trend(df).columns == ["d", "x"]
+    assert dashboard.auto_trend(df, None).columns == ["d", "x"] and dashboard.auto_trend(df).first().x == 3.0

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyglass.functions.probability import f_upper, incomplete_beta, pearson_p, t_two_sided
-from tallyglass.functions.shapiro import shapiro
 from tallyglass.operators import alerts, forest, profile, relations, segments, vectors
 
 
@@ -19,15 +18,6 @@ def test_tail_probabilities():
     assert pearson_p(1.0, 5) == 0.0
 
 
-def test_shapiro_on_published_sample():
-    w, p = shapiro(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236.0]))
-    assert w == pytest.approx(0.79, abs=5e-3)
-    assert p == pytest.approx(0.0067, abs=5e-4)
-    assert shapiro(np.ones(10)) is None
-    rng = np.random.default_rng(0)
-    assert shapiro(rng.normal(size=2000))[1] > 0.01 > shapiro(rng.uniform(size=2000))[1]
-
-
 @pytest.fixture(scope="module")
 def numbers(spark):
     rng = np.random.default_rng(4)
