@@ -27,7 +27,6 @@ CONTAMINATION = 0.05
 SEED = 42
 EULER = 0.5772156649015329
 
-SPREAD_BELOW = 10_000_000
 
 
 def average_path(n: np.ndarray | float) -> np.ndarray:
@@ -135,7 +134,8 @@ def isolation_forest(
 ) -> DataFrame:
     """Complete rows with ``anomaly_score`` (lower is stranger, below 0 is flagged) and ``is_anomaly``.
 
-    Scores are written once to the checkpoint folder, since finding the flagging limit reads them several times.
+    The scores alone are checkpointed to find the flagging limit, which reads them several times; the rows are scored
+    again where the result is used.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -154,13 +154,10 @@ def isolation_forest(
         return pd.Series(-np.exp2(-lengths / depth))
 
     ensure_checkpoint_dir(spark)
-    if total <= SPREAD_BELOW:
-        # A small table often sits in one file and so in one task; scoring is worth all cores.
-        rows = rows.repartition(spark.sparkContext.defaultParallelism, *id_cols)
-    scored = rows.withColumn("_s", score(F.struct(*z))).drop(*z).checkpoint()
-    limit = exact_quantiles(scored, {"_s": [contamination]})["_s"][0]
+    scores = score(F.struct(*z)).alias("_s")
+    limit = exact_quantiles(rows.select(scores).checkpoint(), {"_s": [contamination]})["_s"][0]
     offset = F.lit(limit).cast("double")
-    return scored.select(
+    return rows.select(*df.columns, scores).select(
         *df.columns, (F.col("_s") - offset).alias("anomaly_score"), (F.col("_s") - offset < 0).alias("is_anomaly")
     )
 

@@ -68,12 +68,16 @@ def _family(kind: T.DataType) -> str:
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows that repeat an earlier row (nulls equal). Copies are counted before the shuffle."""
-    groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).count()
-    totals = groups.agg(
-        F.coalesce(F.sum("count"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicates"),
-    )
+    """Rows that repeat an earlier row (nulls equal).
+
+    Two hashes of the row stand for it in the first count. Whole rows are grouped only where hashes repeat.
+    """
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    hashed = df.withColumns({"_h1": F.xxhash64(*cols), "_h2": F.xxhash64(F.lit(1), *cols)})
+    sizes = hashed.groupBy("_h1", "_h2").agg(F.count("*").alias("_n"))
+    repeated = hashed.join(sizes.filter("_n > 1").drop("_n"), ["_h1", "_h2"], "left_semi")
+    surplus = repeated.groupBy(*cols).agg((F.count("*") - 1).alias("_n")).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("duplicates"))
+    totals = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).withColumn("duplicates", surplus.scalar())
     return totals.select("rows", "duplicates", percent_of(F.col("duplicates"), F.col("rows")).alias("duplicate_pct"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +32,22 @@ def _doubles(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Unrounded r of every column pair (a before b), each over the rows where both are present.
 
-    A first pass finds the means; the second adds up products of centred values. Each task multiplies its Arrow
-    batches as matrices and emits one row per pair, so cost and output follow the number of columns squared and
-    never the number of rows. r is null where either side is constant.
+    One pass adds up products of values, shifted by the mean of some rows lest large numbers cancel. Each task
+    multiplies its Arrow batches as matrices and emits one row per pair, so cost and output follow the number of
+    columns squared and never the number of rows. r is null where either side is constant.
     """
     cols = list(cols if cols is not None else column_roles(df).numeric)
+    pairs = _pair_table(df, cols).filter("i < j")
+    return pairs.select("i", "j", "a", "b", "r", "n")
+
+
+SHIFT_ROWS = 1000
+
+
+def _pair_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(i, j, a, b, r, n) of every pair i <= j; a column with itself has r = 1 if it varies."""
     numbers = _doubles(df, cols)
-    means = numbers.agg(*[F.avg(f"`{c}`") for c in cols]).first()
+    means = numbers.limit(SHIFT_ROWS).agg(*[F.avg(F.when(F.abs(f"`{c}`") < math.inf, F.col(f"`{c}`"))) for c in cols]).first()
     ship_package(df.sparkSession)
     centre = np.array([0.0 if m is None else float(m) for m in means])
     parts = numbers.mapInArrow(_pair_sums(centre), f"i int, j int, {', '.join(f'{s} double' for s in PAIR_SUMS)}, {', '.join(f'{e} double' for e in PAIR_ENDS)}")
@@ -46,13 +55,14 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
         *[F.sum(s).alias(s) for s in PAIR_SUMS],
         *[(F.min(e) if e.endswith("min") else F.max(e)).alias(e) for e in PAIR_ENDS],
     )
-    pairs = [(i, j, cols[i], cols[j]) for i, j in combinations(range(len(cols)), 2)]
+    pairs = [(i, j, cols[i], cols[j]) for i, j in combinations_with_replacement(range(len(cols)), 2)]
     listed = df.sparkSession.createDataFrame(pairs, "i int, j int, a string, b string")
     n = F.nullif(F.col("n"), F.lit(0.0))
     xx, yy = F.col("xx") - F.col("x") * F.col("x") / n, F.col("yy") - F.col("y") * F.col("y") / n
     r = F.try_divide(F.col("xy") - F.col("x") * F.col("y") / n, F.sqrt(xx) * F.sqrt(yy))
     varied = (F.col("xmin") < F.col("xmax")) & (F.col("ymin") < F.col("ymax"))
     joined = listed.join(sums, ["i", "j"], "left")
+    r = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(r)
     return joined.select("i", "j", "a", "b", F.when(varied, r).alias("r"), F.coalesce("n", F.lit(0.0)).cast("long").alias("n"))
 
 
@@ -83,7 +93,7 @@ def _pair_sums(centre: np.ndarray):
                 both = present[:, b][:, None] & present
                 low[:, b] = np.minimum(low[:, b], np.where(both, v, np.inf).min(axis=0))
                 high[:, b] = np.maximum(high[:, b], np.where(both, v, -np.inf).max(axis=0))
-        i, j = np.triu_indices(m, 1)
+        i, j = np.triu_indices(m)
         if not total["n"].any():
             return
         found = {
@@ -99,13 +109,10 @@ def _pair_sums(centre: np.ndarray):
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Long form of the full symmetric matrix, rounded to two digits."""
     cols = list(cols if cols is not None else column_roles(df).numeric)
-    numbers = _doubles(df, cols)
-    pairs = correlation_pairs(df, cols).select("a", "b", "r")
+    cell, mirrored = F.struct("a", "b", "r"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r")
     # One row per pair becomes two cells, so the pairs are computed once.
-    both = pairs.select(F.inline(F.array(F.struct("a", "b", "r"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r"))))
-    varied = numbers.agg(*[(F.min(f"`{c}`") < F.max(f"`{c}`")) for c in cols]).first()
-    own = df.sparkSession.createDataFrame([(c, c, 1.0 if v else None) for c, v in zip(cols, varied)], "a string, b string, r double")
-    return both.unionByName(own).select("a", "b", F.round("r", 2).alias("r"))
+    cells = F.when(F.col("i") == F.col("j"), F.array(cell)).otherwise(F.array(cell, mirrored))
+    return _pair_table(df, cols).select(F.inline(cells)).select("a", "b", F.round("r", 2).alias("r"))
 
 
 def top_correlations(df: DataFrame, n: int = 6, cols: Sequence[str] | None = None) -> DataFrame:
