@@ -100,9 +100,15 @@ def _(t):
     return rounded(scored.select("o_orderkey", "actual", "predicted", "residual"), 3, "predicted", "residual")
 
 
-@query("residual_histogram")
+@query(
+    "residual_histogram",
+    """WITH k AS (SELECT regr_slope(o_totalprice, o_custkey) AS s, regr_intercept(o_totalprice, o_custkey) AS i FROM orders),
+    r AS (SELECT o_totalprice - i - s * o_custkey AS x FROM orders, k), e AS (SELECT min(x) AS a, max(x) AS b FROM r),
+    c AS (SELECT least(29, floor((x - a) / (b - a) * 30))::BIGINT AS bin, count(*) AS n FROM r, e GROUP BY 1)
+    SELECT g AS bin, coalesce(n, 0)::BIGINT AS count, round(a + g * ((b - a) / 30), 2) AS low, round(a + (g + 1) * ((b - a) / 30), 2) AS high FROM range(30) r(g) LEFT JOIN c ON bin = g, e""",
+)
 def _(t):
-    return relations.residual_histogram(t.orders, "o_totalprice", ["o_custkey"])
+    return rounded(relations.residual_histogram(t.orders, "o_totalprice", ["o_custkey"]).select("bin", "count", "low", "high"), 2, "low", "high")
 
 
 @query(
@@ -138,9 +144,18 @@ def _(t):
     return rounded(relations.anova(t.part, "p_retailprice", "p_brand", 8).select("f", "df_between", "df_within"), 6, "f")
 
 
-@query("anova_p")
+@query(
+    "anova_p",
+    """WITH g AS (SELECT o_orderstatus AS k, o_totalprice + CASE o_orderstatus WHEN 'F' THEN 3000 ELSE 0 END AS y FROM orders),
+    s AS (SELECT count(*) AS n, avg(y) AS m, var_pop(y) AS v FROM g GROUP BY k),
+    a AS (SELECT count(*) AS k, sum(n)::BIGINT AS n, sum(n * m) / sum(n) AS grand, sum(n * v) AS within FROM s),
+    f AS (SELECT k, n, (sum_between / (k - 1)) / (within / (n - k)) AS f FROM a, (SELECT sum(s.n * (m - grand) ** 2) AS sum_between FROM s, a))
+    SELECT round(f, 6) AS f, k - 1 AS df_between, n - k AS df_within, round((1 + 2 * f / (n - k)) ** (-(n - k) / 2.0), 8) AS p FROM f""",
+)
 def _(t):
-    return relations.anova(t.events, "value", "event_type", 8)
+    """Three groups: the upper tail of F with two degrees of freedom has a closed form."""
+    rows = t.orders.selectExpr("o_orderstatus", "o_totalprice + IF(o_orderstatus = 'F', 3000, 0) AS y")
+    return rounded(rounded(relations.anova(rows, "y", "o_orderstatus", 8).select("f", "df_between", "df_within", "p"), 6, "f"), 8, "p")
 
 
 @query(
@@ -153,9 +168,18 @@ def _(t):
     return rounded(rounded(result.select("n", "raw_r", "partial_r"), 6, "raw_r"), 5, "partial_r")
 
 
-@query("partial_correlation_many")
+@query(
+    "partial_correlation_many",
+    """WITH m AS (SELECT l_extendedprice AS x, l_extendedprice * (1 - l_discount) + 900 * l_quantity AS y, l_quantity AS u, l_tax * 1000 + l_quantity AS v FROM lineitem),
+    r AS (SELECT count(*) AS n, corr(x, y) AS xy, corr(x, u) AS xu, corr(y, u) AS yu, corr(x, v) AS xv, corr(y, v) AS yv, corr(u, v) AS uv FROM m),
+    s AS (SELECT n, xy, (xy - xu * yu) / sqrt((1 - xu * xu) * (1 - yu * yu)) AS a, (xv - xu * uv) / sqrt((1 - xu * xu) * (1 - uv * uv)) AS b,
+      (yv - yu * uv) / sqrt((1 - yu * yu) * (1 - uv * uv)) AS c FROM r)
+    SELECT n, round(xy, 6) AS raw_r, round((a - b * c) / sqrt((1 - b * b) * (1 - c * c)), 5) AS partial_r FROM s""",
+)
 def _(t):
-    return relations.partial_correlation(t.lineitem, "l_extendedprice", "l_quantity", ["l_tax", "l_discount"])
+    rows = t.lineitem.selectExpr("l_extendedprice AS x", "l_extendedprice * (1 - l_discount) + 900 * l_quantity AS y", "l_quantity AS u", "l_tax * 1000 + l_quantity AS v")
+    result = relations.partial_correlation(rows, "x", "y", ["u", "v"])
+    return rounded(rounded(result.select("n", "raw_r", "partial_r"), 6, "raw_r"), 5, "partial_r")
 
 
 @query(

@@ -197,7 +197,11 @@ def _(t):
     return _scored(t).select("o_orderkey", "anomaly_score", "is_anomaly")
 
 
-@query("anomaly_summary")
+@query(
+    "anomaly_summary",
+    """WITH n AS (SELECT count(*) AS n, floor(0.05 * (count(*) - 1))::BIGINT + 1 AS flagged FROM orders)
+    SELECT flagged, round(flagged * 100.0 / n, 1)::DOUBLE AS pct, n - flagged AS normal FROM n""",
+)
 def _(t):
     return forest.anomaly_summary(_scored(t))
 
