@@ -65,7 +65,7 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def links_in(group: pa.Table, threshold: float, bits: int, size: int) -> pa.Table:
+def links_in(group: pa.Table, threshold: float, bits: int, size: int, turn: np.ndarray) -> pa.Table:
     """Per vector of two blocks (or of one): the weight of its links found here first, and a spanning link."""
     table, i, j = (group.column(c)[0].as_py() for c in ("table", "i", "j"))
     g, node, copies = (group.column(c).to_numpy() for c in ("g", "node", "copies"))
@@ -74,8 +74,7 @@ def links_in(group: pa.Table, threshold: float, bits: int, size: int) -> pa.Tabl
     factor = group.column("factor").to_numpy()
     left, right = np.flatnonzero(g == i), np.flatnonzero(g == j)
     d = unit.shape[1]
-    turned = group.column("turned")
-    estimate = (np.where(signs[left, :d], 1.0, -1.0) @ matrix(turned)[right].T) / math.sqrt(d) / factor[left, None]
+    estimate = (np.where(signs[left, :d], 1.0, -1.0) @ (unit[right] @ turn).T) / math.sqrt(d) / factor[left, None]
     spread = math.sqrt(1 - threshold**2) * np.sqrt(np.maximum(0, 1 - factor**2)) / factor / math.sqrt(max(1, d - 1))
     x, y = np.nonzero(estimate >= threshold - DEVIATIONS * spread[left, None] - 1e-9)
     x, y = left[x], right[y]
@@ -125,21 +124,21 @@ def near_vectors(
             unit = v / np.linalg.norm(v, axis=1, keepdims=True)
             signs, factor = codes(unit, turns)
             raw = np.packbits(signs, axis=1)
-            fixed = [batch.column("node"), batch.column("copies"), as_lists(unit), as_lists(unit @ turns[0]), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(factor)]
+            fixed = [batch.column("node"), batch.column("copies"), as_lists(unit), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(factor)]
             for table in range(tables):
                 own = [pa.array(np.full(len(v), table, np.int32)), pa.array(bucket_of(signs, table, bits), pa.int64())]
-                yield pa.RecordBatch.from_arrays(own + fixed, ["table", "bucket", "node", "copies", "unit", "turned", "signs", "factor"])
+                yield pa.RecordBatch.from_arrays(own + fixed, ["table", "bucket", "node", "copies", "unit", "signs", "factor"])
 
-    kinds = "table int, bucket long, node long, copies long, unit array<double>, turned array<double>, signs binary, factor double"
+    kinds = "table int, bucket long, node long, copies long, unit array<double>, signs binary, factor double"
     if n:
         in_tables = materialize(nodes.select("node", "copies", "v").mapInArrow(coded, kinds), "codes")
         sizes = materialize(in_tables.groupBy("table", "bucket").agg(F.count("*").alias("m")).filter("m > 1"), "buckets")
         blocks = F.ceil(F.col("m") / BLOCK).cast("int")
         cut = in_tables.join(sizes, ["table", "bucket"]).withColumn("g", F.pmod(F.col("node"), blocks).cast("int"))
         cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"i": F.least("g", "o"), "j": F.greatest("g", "o")})
-        width = -(-size // d) * d
+        width, turn = -(-size // d) * d, rotation(d, seed)
         found = cut.drop("o", "m").groupBy("table", "bucket", "i", "j").applyInArrow(
-            lambda t: links_in(t, threshold, bits, width), "node long, links long, root long"
+            lambda t: links_in(t, threshold, bits, width, turn), "node long, links long, root long"
         )
         found = materialize(found, "found")
         links = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -156,3 +155,16 @@ def near_vectors(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"),
         F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"),
     )
+
+
+#: What :func:`near_vectors` gives for ``embeddings`` if no link is missed, for DuckDB.
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)
+    AND list_sum(list_transform(embedding, lambda x: abs(x)::DOUBLE)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
+SELECT id AS vec_id, (SELECT count(*) FROM l WHERE l.a = c.id) AS n_links, component_id, id = component_id AS kept FROM c
+"""
