@@ -43,7 +43,7 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query("op7_bit_codes")
+@query("op7_bit_codes", bit_codes.SQL)
 def op7_bit_codes(spark: SparkSession, folder: str) -> DataFrame:
     return bit_codes.near_vectors(table(spark, folder, "embeddings"))
 
