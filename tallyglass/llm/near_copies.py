@@ -6,9 +6,10 @@ probability Jaccard of their bags (Moulton and Jiang, 2018). A shingle stops whe
 register's first, so long documents cost little more than their number of shingles (Ertl, 2020).
 
 Documents that agree in all registers of a band share a bucket. Exact copies are one node from the start. In a bucket
-every node is verified against one centre; where the linked nodes of a bucket then still form several components, all
-pairs across components are tried, in blocks of bounded size. So a bucket of n near copies costs n verifications, and
-no link between nodes that share a bucket is lost.
+every node is verified against one centre, drawn anew in every band. Where the nodes of a bucket then still belong to
+several components, the pairs across components are tried, in blocks of bounded size and within the tasks, which hand
+on spanning links only. So a bucket of n near copies costs about n verifications, and no two components stay apart that
+a link between nodes of one bucket joins.
 """
 
 from __future__ import annotations
@@ -24,15 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .base import id_and_text, in_workers, materialize, pick, pieces
+from .base import id_and_text, in_workers, likely, materialize, pick, pieces
 from .components import components
 
 SHINGLE = 5
 #: Registers in bands: nodes of similarity 0.8 share one of 24 bands of 5 with probability 0.99993.
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-#: A pair is verified if its share of equal registers is within this of the threshold: 5.5 standard deviations at 0.8.
-SLACK = 0.2
+#: A pair is verified if its share of equal registers is within this of the threshold: 4.1 standard deviations at 0.8.
+SLACK = 0.15
 #: Rows of a bucket in one block of the search across components.
 BLOCK = 400
 REMEMBERED = 400_000
@@ -148,63 +149,135 @@ def equal_registers(a: pa.Array, b: pa.Array) -> np.ndarray:
     return (x == y).sum(axis=1)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """The written (a, b, similarity) of the pairs (a, b) of nodes whose probability Jaccard reaches the threshold."""
+def bags_of(wanted: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The written (node, h, w) of the wanted nodes: shingle hashes and how often each occurs.
 
-    def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            close = equal_registers(batch.column("x"), batch.column("y")) >= (threshold - SLACK) * REGISTERS
-            yield batch.select(["a", "b"]).filter(pa.array(close))
+    The text of a node is read from the row with its smallest id, so hot groups of copies are not moved, and a bitmap of
+    the ids keeps most other texts where they are.
+    """
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in pieces(whole)):
             found = [shingles(t) for t in batch.column("text").to_pylist()]
             columns = [pa.array([x.astype(kind).tobytes() for x in part], pa.binary()) for part, kind in zip(zip(*found), (np.uint64, np.uint32))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), *columns], ["node", "h", "w"])
+            yield pa.RecordBatch.from_arrays([batch.column("wanted"), *columns], ["node", "h", "w"])
+
+    wanted = materialize(wanted.join(nodes.select("node", "id"), "node"), "wanted").withColumnsRenamed({"id": "of", "node": "wanted"})
+    texts = likely(rows, "id", wanted, "of").join(wanted, F.col("id").eqNullSafe(F.col("of"))).filter(node_of(F.col("text")) == F.col("wanted"))
+    found = in_workers(texts.select("wanted", "text"), bags, "node binary, h binary, w binary")
+    return materialize(found.dropDuplicates(["node"]), "bags")
+
+
+def bag(h: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(h, np.uint64), np.frombuffer(w, np.uint32)
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs (a, b) of nodes whose probability Jaccard reaches the threshold."""
+
+    def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            close = equal_registers(batch.column("x"), batch.column("y")) >= (threshold - SLACK) * REGISTERS
+            yield batch.select(["a", "b"]).filter(pa.array(close))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bag = lambda h, w: (np.frombuffer(h, np.uint64), np.frombuffer(w, np.uint32))
             columns = [batch.column(c) for c in ("ha", "wa", "hb", "wb")]
             s = np.array([probability_jaccard(bag(*r[:2]), bag(*r[2:])) for r in zip(*([v.as_buffer() for v in c] for c in columns))])
             kept = batch.select(["a", "b"]).append_column("similarity", pa.array(s, pa.float64()))
             yield kept.filter(pa.array(s >= threshold, pa.bool_()))
 
     signed = nodes.select("node", "signature")
-    pairs = materialize(pairs, "candidates")
     both = pairs.join(signed.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a")
     both = both.join(signed.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b")
     close = materialize(in_workers(both, promising, "a binary, b binary"), "promising")
-    wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
-    # the text of a node is read from the row with its smallest id, so hot groups of copies are not moved
-    wanted = materialize(wanted.join(nodes.select("node", "id"), "node"), "wanted").withColumnsRenamed({"id": "of", "node": "wanted"})
-    texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["of"])).filter(node_of(F.col("text")) == F.col("wanted"))
-    found = in_workers(texts.select(F.col("wanted").alias("node"), "text"), bags, "node binary, h binary, w binary")
-    found = materialize(found.dropDuplicates(["node"]), "bags")
+    found = bags_of(close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct(), nodes, rows)
     side = lambda s: found.select(F.col("node").alias(s), F.col("h").alias("h" + s), F.col("w").alias("w" + s))
-    return materialize(in_workers(close.join(side("b"), "b").join(side("a"), "a"), exact, "b binary, a binary, similarity double").select("a", "b", "similarity"), "verified")
+    return in_workers(close.join(side("b"), "b").join(side("a"), "a"), exact, "b binary, a binary, similarity double").select("a", "b", "similarity")
+
 
+def similarities(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> np.ndarray:
+    """Probability Jaccard of one bag with each of the others, or 0 where a bound shows that it is below the threshold.
 
-def across(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Promising pairs (a, b) of different components within the buckets of ``members`` (band, bucket, node, root, n)."""
+    No summand exceeds the smaller share of the element in either bag, so their sum over common elements is a bound. Where
+    no element repeats the similarity is the share of common elements.
+    """
+    sizes = np.array([len(h) for h, _ in others])
+    h, w = (np.concatenate([o[k] for o in others]) for k in (0, 1))
+    of = np.repeat(np.arange(len(others)), sizes)
+    at = np.minimum(np.searchsorted(one[0], h), len(one[0]) - 1)
+    common = one[0][at] == h
+    at, of, w = at[common], of[common], w[common]
+    totals = np.array([o[1].sum() for o in others])
+    bound = np.bincount(of, np.minimum(w / totals[of], one[1][at] / one[1].sum()), len(others))
+    shared = np.bincount(of, minlength=len(others))
+    out = shared / (sizes + len(one[0]) - shared)
+    single = (totals == sizes) & (one[1].sum() == len(one[0]))
+    for i in np.flatnonzero(~single):
+        out[i] = probability_jaccard(one, others[i]) if bound[i] >= threshold - 1e-9 else 0.0
+    return out
+
+
+def block_pairs(members: DataFrame) -> DataFrame:
+    """``members`` (band, bucket, n, ...), cut into blocks and repeated for each pair of blocks (i, j) of their bucket."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = members.join(nodes.select("node", "signature"), "node").withColumn("g", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    rows = members.withColumn("g", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("band", "bucket", F.least("g", "other").alias("i"), F.greatest("g", "other").alias("j"), "g", "node", "root", "signature")
-
-    def pairs(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        _, _, i, j = key
-        left, right = group[group["g"] == i], group[group["g"] == j]
-        read = lambda side: np.frombuffer(b"".join(side["signature"]), np.uint32).reshape(-1, REGISTERS)
-        x, y = read(left), read(right)
-        out = []
-        for k, (node, root) in enumerate(zip(left["node"], left["root"])):
-            near = (y == x[k]).sum(axis=1) >= (threshold - SLACK) * REGISTERS
-            out += [(node, other) for other, r in zip(right["node"][near], right["root"][near]) if r != root and (i != j or node < other)]
-        return pd.DataFrame([(min(p), max(p)) for p in out], columns=["a", "b"])
+    return rows.withColumns({"i": F.least("g", "other"), "j": F.greatest("g", "other")}).drop("n", "other")
+
+
+def close_across(x: np.ndarray, rest: np.ndarray, band: int, threshold: float) -> np.ndarray:
+    """Registers in common with each of the rest, or 0 if too few for the threshold or if an earlier band has the pair."""
+    same = rest == x
+    common = same.sum(axis=1)
+    earlier = same[:, : band * ROWS].reshape(len(rest), band, ROWS).all(axis=2).any(axis=1)
+    return np.where(earlier | (common < (threshold - SLACK) * REGISTERS), 0, common)
+
+
+def sides(group: pd.DataFrame, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of block i and of block j, and the registers of all."""
+    signs = np.frombuffer(b"".join(group["signature"]), np.uint32).reshape(-1, REGISTERS)
+    return np.flatnonzero(group["g"] == i), np.flatnonzero(group["g"] == j), signs
+
+
+def across(members: DataFrame, nodes: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """Spanning links (a, b) between components within the buckets of ``members`` (band, bucket, node, root, n)."""
+
+    def suspects(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        band, bucket, i, j = key
+        left, right, signs = sides(group, i, j)
+        root = pd.factorize(group["root"])[0]
+        found = np.zeros(len(group), dtype=bool)
+        for k in left:
+            near = right[(close_across(signs[k], signs[right], band, threshold) > 0) & (root[right] != root[k])]
+            found[near] = True
+            found[k] |= len(near) > 0
+        return pd.DataFrame({"band": band, "bucket": bucket, "node": group["node"][found]})
+
+    def links(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        band, _, i, j = key
+        left, right, signs = sides(group, i, j)
+        root = pd.factorize(group["root"])[0]
+        bags = [bag(h, w) for h, w in zip(group["h"], group["w"])]
+        node, out = group["node"].to_numpy(), []
+        for k in left:
+            near = right[(close_across(signs[k], signs[right], band, threshold) > 0) & (root[right] != root[k])]
+            if len(near):
+                near = near[similarities(bags[k], [bags[x] for x in near], threshold) >= threshold]
+            for other in near:
+                if root[other] != root[k]:
+                    out.append((node[k], node[other]))
+                    root[root == root[other]] = root[k]
+        return pd.DataFrame(out, columns=["a", "b"])
 
     ship_package(members.sparkSession)
-    return rows.groupBy("band", "bucket", "i", "j").applyInPandas(pairs, "a binary, b binary").distinct()
+    keys = ["band", "bucket", "i", "j"]
+    signed = members.join(nodes.select("node", "signature"), "node")
+    found = block_pairs(signed).groupBy(*keys).applyInPandas(suspects, "band int, bucket long, node binary")
+    found = materialize(found.distinct(), "suspects")
+    again = members.join(found, ["band", "bucket", "node"])
+    again = again.join(nodes.select("node", "signature"), "node").join(bags_of(found.select("node").distinct(), nodes, rows), "node")
+    return materialize(block_pairs(again).groupBy(*keys).applyInPandas(links, "a binary, b binary"), "across")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -214,22 +287,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     banded = nodes.filter("signature IS NOT NULL").select("node", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "signature")
     start = (F.col("band") * (4 * ROWS) + 1).cast("int")
     banded = banded.select("node", "band", F.xxhash64(F.substring("signature", start, F.lit(4 * ROWS))).alias("bucket"))
-    buckets = banded.groupBy("band", "bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1")
+    drawn = F.min(F.struct(F.xxhash64("band", "node"), "node"))["node"]
+    buckets = banded.groupBy("band", "bucket").agg(drawn.alias("centre"), F.count("*").alias("n")).filter("n > 1")
     members = materialize(banded.join(materialize(buckets, "buckets"), ["band", "bucket"]), "members")
-    near = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = verified(near, nodes, rows, threshold).select("a", "b")
-    roots = materialize(components(links), "roots").withColumnRenamed("id", "node")
+    near = members.filter("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+    roots = components(verified(near, nodes, rows, threshold)).withColumnRenamed("id", "node")
 
     # a bucket of two has been decided; a larger one may hold links that do not touch its centre
     rest = members.filter("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("centre")
     rest = materialize(rest, "rooted")
     split = rest.groupBy("band", "bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("band", "bucket")
     rest = rest.join(materialize(split, "split"), ["band", "bucket"])
-    more = verified(across(rest, nodes, threshold), nodes, rows, threshold).select("a", "b")
-    if not more.isEmpty():
-        roots = materialize(components(links.unionByName(more)), "roots").withColumnRenamed("id", "node")
-
+    more = across(rest, nodes, rows, threshold)
     rooted = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if not more.isEmpty():  # links between roots join their components
+        for end in ("a", "b"):
+            more = more.join(roots.select(F.col("node").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        joined = components(more).select(F.col("id").alias("root"), F.col("root").alias("further"))
+        rooted = rooted.join(joined, "root", "left").select("node", "id", F.coalesce("further", "root").alias("root"))
     rooted = materialize(rooted, "classes")
     least = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first"))
     least = materialize(least.select("root", F.col("first.id").alias("class_id"), F.col("first.node").alias("class_node")), "first")

@@ -67,6 +67,15 @@ def test_probability_jaccard_equals_its_definition():
         assert nc.probability_jaccard(a, b) == pytest.approx(brute_jaccard(a, b))
 
 
+def test_many_similarities_at_once():
+    r = np.random.default_rng(5)
+    for _ in range(40):
+        bags = [(h, r.integers(1, 1 + r.integers(1, 4), len(h))) for h in (np.unique(r.integers(0, 25, 22).astype(np.uint64)) for _ in range(9))]
+        exact = [nc.probability_jaccard(bags[0], b) for b in bags[1:]]
+        for found, want in zip(nc.similarities(bags[0], bags[1:], 0.6), exact):
+            assert found == pytest.approx(want) or (found == 0 and want < 0.6)
+
+
 def test_registers_estimate_probability_jaccard():
     r = np.random.default_rng(1)
     errors = []
@@ -146,5 +155,5 @@ def test_components(spark):
     for a, b in links:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    want = {x: find(x) for a, b in links for x in (a, b) if a != b}
+    want = {x: find(x) for a, b in links for x in (a, b) if a != b and x != find(x)}
     assert {r.id: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()} == want
