@@ -9,6 +9,7 @@ of all those positions run through it; they are then given out and forgotten.
 
 from __future__ import annotations
 
+import array
 import functools
 import itertools
 import re
@@ -62,7 +63,7 @@ class PieceCodec:
         # where no piece holds a blank after another character, paths always meet before a blank
         cut = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall if cut else lambda text: [text] if text else []
-        self.kinds = {p[:n]: False for p in self.ids for n in range(1, len(p))} | dict.fromkeys(self.ids, True)
+        self.kinds = {p[n:]: False for p in self.ids for n in range(1, len(p))} | dict.fromkeys(self.ids, True)
         self.follows = _Follows(self)
         self.known = _Words(self)
 
@@ -116,14 +117,14 @@ class PieceCodec:
         kinds, follows = self.kinds, self.follows
         last: list[str | None] = [None] * (len(word) + 1)
         start = [0] * (len(word) + 1)
-        for at in range(len(word)):
-            follow = follows[last[at]]
-            for end in range(at + 1, len(word) + 1):
+        for end in range(1, len(word) + 1):
+            for at in range(end - 1, -1, -1):
                 piece = word[at:end]
                 whole = kinds.get(piece)
-                if (whole or end == at + 1) and last[end] is None and follow[piece]:
+                if (whole or at == end - 1) and follows[last[at]][piece]:
                     last[end], start[end] = piece, at
-                if whole is None:  # no piece begins so
+                    break
+                if whole is None and at < end - 1:  # no piece ends so
                     break
         return self.path(last, start, len(word))
 
@@ -149,11 +150,11 @@ class PieceCodec:
             return [i]
         return [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         words = self.words(self.library.normalize(text))
-        ids = list(itertools.chain.from_iterable(map(self.known.__getitem__, words)))
-        if not self.bytes and self.unknown in ids:  # unknown characters in a row are one unknown piece
-            ids = [i for k, i in enumerate(ids) if i != self.unknown or not k or ids[k - 1] != self.unknown]
+        ids = np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype=np.int32)
+        if not self.bytes:  # unknown characters in a row are one unknown piece
+            ids = ids[~((ids == self.unknown) & (np.r_[-1, ids[:-1]] == self.unknown))]
         return ids
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -216,18 +217,18 @@ class _Follow(dict):
 
 
 class _Words(dict):
-    """Ids by word: those of late, and those of the generation before, from which a word in use is taken over."""
+    """Ids by word, as the bytes of 32-bit integers: those of late, and those of the generation before, from which a word in use is taken over."""
 
     def __init__(self, codec: PieceCodec):
         super().__init__()
         self.codec, self.old = codec, {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         codec = self.codec
         ids = self.old.get(word)
         if ids is None:
             found = codec.short_word(word) if codec.bpe and len(word) < 2 * codec.longest else codec.stream([word])
-            ids = tuple(itertools.chain.from_iterable(map(codec.ids_of, found)))
+            ids = array.array("i", itertools.chain.from_iterable(map(codec.ids_of, found))).tobytes()
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()
@@ -253,11 +254,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in (part for whole in batches for part in pieces(whole, most=4 << 20)):
             ids = [c.encode(t) for t in batch.column("text").to_pylist()]
             sizes = np.array([len(x) for x in ids], dtype=np.int32)
-            values = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum()))
+            values = np.concatenate(ids)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values))
             columns = {"id": batch.column("id"), "ids": lists, "n_tokens": pa.array(sizes)}
             if decoded:
-                columns["decoded"] = pa.array([c.decode(x) for x in ids], pa.string())
+                columns["decoded"] = pa.array([c.decode(x.tolist()) for x in ids], pa.string())
             yield pa.RecordBatch.from_pydict(columns)
 
     rows = id_and_text(docs, id_col, text_col)
