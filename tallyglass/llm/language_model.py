@@ -25,9 +25,9 @@ from .base import id_and_text, materialize
 from .quality import fold
 
 #: Bytes of text in a chunk, and of text whose n-grams share a range of hashes. Both bound the memory of a task.
-CHUNK_BYTES = 8 << 20
-RANGE_BYTES = 16 << 20
-REMEMBERED = 400_000
+CHUNK_BYTES = 4 << 20
+RANGE_BYTES = 8 << 20
+REMEMBERED = 300_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -87,7 +87,7 @@ class Chunk:
                 gram = spread(gram * M2 + before)
             grams.append(gram & ~np.uint64(7) | np.uint64(n))
         self.distinct, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-        self.index = inverse.reshape(order, -1)
+        self.index = inverse.reshape(order, -1).astype(np.int32)
 
     def counts(self, chosen: np.ndarray) -> np.ndarray:
         """Occurrences of every distinct n-gram in the chosen texts."""
