@@ -74,7 +74,7 @@ def in_workers(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(fn, schema)
 
 
-def pieces(batch: pa.RecordBatch, text: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in slices of about ``most`` bytes of text, or of one row where that is longer."""
     start = 0
     offsets = pc.binary_length(batch.column(text)).to_pylist()
