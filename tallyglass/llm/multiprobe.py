@@ -7,8 +7,12 @@ cells. A neighbour at cosine c to the query has projections around c times the q
 bucket has a known probability to hold it. A query visits buckets in the order of that probability, by perturbing one
 cell after the other, until the probability left is small enough (Lv et al., 2007).
 
-How small is fitted on a documented sample of queries with exact neighbours: their cosines give c, and the share of
-probability to visit is the one that reaches all but the missing part of these neighbours. Every row is indexed.
+How small is fitted on a documented sample of queries with exact neighbours. c is a low quantile of the cosines of their
+farthest neighbours; nearer ones are sought at cosines from there to one as well. The share of probability to visit is
+the one that reaches all but the missing part of these neighbours. Every row is indexed.
+
+The fit need not hold for every query. One that ends with too few rows, or whose farthest is beyond c, is compared with
+all rows; and so are all queries if no share of probability reaches enough neighbours.
 """
 
 from __future__ import annotations
@@ -35,6 +39,10 @@ SAMPLE = 128
 BLOCK, PARTS, PART = 256, 32, 8192
 #: Queries scored at once.
 QUERIES = 512
+#: Queries compared with the same part of all rows in one task.
+SCANNED = 8192
+#: Cosines from c towards one at which neighbours are sought, each half as far from one as that before.
+LEVELS = 4
 #: Buckets a query may still visit when the probability left is that of cells this far out.
 EXHAUSTED = 1e-9
 
@@ -75,6 +83,16 @@ class Tables:
                 if i < len(choices[j][0]) and choices[j][0][at[j]] > 0:
                     heapq.heappush(heap, (p / choices[j][0][at[j]] * choices[j][0][i], (*at[:j], i, *at[j + 1 :]), j))
 
+    def visits(self, query: np.ndarray, table: int, c: float, reach: float) -> dict[tuple[int, ...], float]:
+        """Buckets to visit for neighbours at cosine c and nearer, each with the least share of probability that leads to it."""
+        out: dict[tuple[int, ...], float] = {}
+        for level in range(LEVELS):
+            for cell, before in self.probes(query, table, 1 - (1 - c) / 2**level):
+                if before > min(reach, 1 - EXHAUSTED):
+                    break
+                out[cell] = min(before, out.get(cell, 1.0))
+        return out
+
 
 def bucket_ids(cells: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each row of cells."""
@@ -131,33 +149,63 @@ def exact(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> list
 
 
 def fit(found: list[tuple], queries: np.ndarray, tables: Tables, largest: float, missing: float) -> tuple[float, float]:
-    """The cosine of a farthest wanted neighbour, and the probability to visit in every table."""
+    """The cosine beyond which few farthest neighbours are, and the probability to visit in every table.
+
+    The latter is one if no visits reach enough neighbours.
+    """
     if not found:
         return 0.5, 1.0
     turned = directions(queries)
     near = points(np.array([x[3] for x in found]), largest)
     q = np.array([x[0] for x in found])
     cosine = np.einsum("nd,nd->n", turned[q], near)
-    farthest = np.array([cosine[q == i].min() for i in np.unique(q)])
-    c = float(np.clip(np.median(farthest), 0.0, 0.999))
+    farthest = {i: cosine[q == i].min() for i in np.unique(q)}
+    c = float(np.clip(np.quantile(list(farthest.values()), missing, method="lower"), 0.0, 0.999))
     needed = np.ones(len(found))
     for table in range(TABLES):
         cells = tables.cells(near, table)
-        for i in np.unique(q):
-            own = np.flatnonzero(q == i)
-            left = {tuple(x) for x in cells[own].tolist()}
-            reached = {}
-            for cell, before in tables.probes(turned[i], table, c):
-                if cell in left:
-                    reached[cell] = before
-                    left.remove(cell)
-                if not left or before > 1 - EXHAUSTED:
-                    break
-            for k in own:
+        for i in farthest:
+            reached = tables.visits(turned[i], table, c, 1.0)
+            for k in np.flatnonzero(q == i):
                 needed[k] = min(needed[k], reached.get(tuple(cells[k].tolist()), 1.0))
+    needed[[farthest[i] < c for i in q]] = 0.0  # such queries are compared with all rows
     return c, float(np.quantile(needed, 1 - missing, method="higher"))
 
 
+def scan(rows: DataFrame, asked: DataFrame, n: int, m: int, k: int) -> DataFrame:
+    """(query_id, id, score): the k best of every part of all n rows for the m rows of ``asked``, in blocks bounded on both sides."""
+    parts, blocks = max(PARTS, n // PART), max(1, -(-m // SCANNED))
+
+    def rank(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            v, ids = matrix(left.column("v")), left.column("id").to_numpy()
+            for start in range(0, right.num_rows, QUERIES):
+                some = right.slice(start, QUERIES)
+                own = some.column("id").to_numpy()
+                for q, s in zip(own, matrix(some.column("v")) @ v.T):
+                    s[ids == q] = -np.inf
+                    out += [(q, ids[i], s[i]) for i in best(s, ids, k)]
+        return as_table(out)
+
+    hashed = lambda count, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(count)).cast("int")
+    numbers = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = rows.select("id", "v", hashed(parts, 1).alias("part"), numbers(blocks).alias("block")).groupBy("part", "block")
+    right = asked.select("id", "v", hashed(blocks, 2).alias("block"), numbers(parts).alias("part")).groupBy("part", "block")
+    return left.cogroup(right).applyInArrow(rank, "query_id long, id long, score double")
+
+
+def as_table(out: list[tuple]) -> pa.Table:
+    columns = list(zip(*out)) or [(), (), ()]
+    kinds = pa.int64(), pa.int64(), pa.float64()
+    return pa.table({name: pa.array(x, t) for name, x, t in zip(("query_id", "id", "score"), columns, kinds)})
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
 def nearest(
     rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, missing: float = 0.03, seed: int = 0
 ) -> DataFrame:
@@ -181,6 +229,8 @@ def nearest(
     queries = np.array([r["v"] for r in sample]).reshape(-1, d)
     c, reach = fit(exact(valid, np.array([r["id"] for r in sample]), queries, k), queries, tables, largest, missing)
     ship_package(rows.sparkSession)
+    if reach >= 1:
+        return ranked(scan(valid, asked, n, asked.count(), k), k).withColumnRenamed("id", id_col)
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,11 +244,7 @@ def nearest(
             turned = directions(matrix(batch.column("v"))) if batch.num_rows else ()
             for i, query in zip(batch.column("id").to_pylist(), turned):
                 for table in range(TABLES):
-                    visited = []
-                    for cell, before in tables.probes(query, table, c):
-                        if before > min(reach, 1 - EXHAUSTED):
-                            break
-                        visited.append(cell)
+                    visited = list(tables.visits(query, table, c, reach))
                     size = len(visited)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(size, table, np.int32)), pa.array(bucket_ids(np.array(visited, np.int64))), pa.array(np.full(size, i, np.int64))],
@@ -234,14 +280,18 @@ def nearest(
                 for q in range(len(own)):
                     s = np.where(seen[q][where] & (ids != own[q]), scores[q], -np.inf)
                     out += [(own[q], ids[i], s[i]) for i in best(s, ids, k)]
-        columns = list(zip(*out)) or [(), (), ()]
-        kinds = pa.int64(), pa.int64(), pa.float64()
-        return pa.table({name: pa.array(x, t) for name, x, t in zip(("query_id", "id", "score"), columns, kinds)})
+        return as_table(out)
 
     # both tables of a bucket meet in one number, so that a part can hold buckets of either
     left = dealt.select("part", F.xxhash64("table", "bucket").alias("bucket"), "id", "v").groupBy("part")
     found = left.cogroup(visits.select("part", "query", "buckets", "q").groupBy("part")).applyInArrow(rank, "query_id long, id long, score double")
-    merged = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
+    settled = materialize(ranked(found.groupBy("query_id", "id").agg(F.max("score").alias("score")), k), "found")
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    worst = settled.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"), F.min("score").alias("worst"))
+    # NaN compares as the largest number
+    close = (F.col("n") >= min(k, n - 1)) & ~F.isnan("worst") & (F.col("worst") >= (c - 1e-9) * largest * length)
+    unsettled = materialize(asked.join(worst, "id", "left").filter(~F.coalesce(close, F.lit(False))).select("id", "v"), "open")
+    if m := unsettled.count():
+        settled = settled.join(unsettled.select(F.col("id").alias("query_id")), "query_id", "left_anti")
+        settled = settled.unionByName(ranked(scan(valid, unsettled, n, m, k), k))
+    return settled.withColumnRenamed("id", id_col)

@@ -140,3 +140,29 @@ def test_search_edges(spark):
     assert out == [(20, 1, 40, 2.0), (20, 2, 41, 2.0), (20, 3, 43, -1.0), (40, 1, 41, 4.0), (40, 2, 20, 2.0), (40, 3, 43, -2.0)]
     assert mp.nearest(spark.createDataFrame([], schema)).count() == 0
     assert mp.nearest(spark.createDataFrame([(7, [1.0])], "vec_id long, embedding array<float>")).count() == 0
+
+
+def recall(spark, ids, x, k=20):
+    got = defaultdict(set)
+    for r in mp.nearest(spark.createDataFrame(list(zip(ids, x.tolist())), "vec_id long, embedding array<double>"), k=k).collect():
+        got[r.query_id].add(r.vec_id)
+    want = {q: {i for i, _ in best} for q, best in brute_nearest(ids, x, 20, k).items()}
+    assert all(len(got[q]) == len(best) for q, best in want.items())
+    return {q: len(got[q] & best) / len(best) for q, best in want.items()}
+
+
+def test_few_candidates_are_all_found(spark):
+    for seed in range(3):
+        x = np.random.default_rng(seed).normal(1, 0.5, size=(20, 8))
+        assert set(recall(spark, list(range(0, 400, 20)), x).values()) == {1.0}
+
+
+def test_recall_of_skewed_tables(spark):
+    r = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    dense = np.repeat(unit(r.normal(size=(24, 32))), 50, axis=0)
+    x = np.concatenate([unit(dense + r.normal(size=dense.shape) * 0.01), unit(r.normal(size=(800, 32)))])
+    ids = list(range(0, 5 * len(x), 5))
+    per_query = recall(spark, ids, x)
+    sparse = [v for q, v in per_query.items() if q >= 5 * len(dense)]
+    assert np.mean(list(per_query.values())) >= 0.95 and np.mean(sparse) >= 0.9
