@@ -178,8 +178,22 @@ def _register_pairs(name: str, largest: bool):
         return rounded(vectors.similar_pairs(matrix, 10, largest), 4, "similarity")
 
 
+ALL_PAIRS = f"""z AS (SELECT p_partkey AS id, p_brand AS label, [{', '.join('z_' + f for f in FEATURES)}] AS z FROM ({z_sql('part', FEATURES)})),
+m AS (SELECT a.id AS id_a, a.label AS label_a, b.id AS id_b, b.label AS label_b, list_cosine_similarity(a.z, b.z) AS similarity FROM z a JOIN z b ON a.id < b.id)"""
+
+
+def _register_pairs_of_all(name: str, largest: bool):
+    order = "DESC" if largest else "ASC"
+
+    @query(name, f"WITH {ALL_PAIRS} SELECT * REPLACE (round(similarity, 4) AS similarity) FROM m ORDER BY m.similarity {order}, id_a, id_b LIMIT 10")
+    def _(t):
+        return rounded(vectors.similar_pairs_of_all(t.part, "p_partkey", FEATURES, 10, largest, "p_brand"), 4, "similarity")
+
+
 _register_pairs("most_similar_pairs", True)
 _register_pairs("least_similar_pairs", False)
+_register_pairs_of_all("most_similar_pairs_of_all", True)
+_register_pairs_of_all("least_similar_pairs_of_all", False)
 
 
 # --- anomalies ---------------------------------------------------------------------------------------------------

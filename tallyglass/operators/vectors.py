@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.binning import equal_width_bin
 from ..functions.numeric import cosine, euclidean, norm
 from ..plans.joins import salted_join, with_summary
-from ..plans.pairs import BLOCK_ROWS, copy_links, fold_copies, similar_representatives
+from ..plans.pairs import BLOCK_ROWS, copy_links, extreme_pairs, fold_copies, similar_representatives
 from ..session import ensure_checkpoint_dir, ship_package
 from .segments import RESTARTS, SEED, array_vectors, best_kmeans, pca_project, project, relabelled
 
@@ -219,15 +219,17 @@ def numeric_projection(df: DataFrame, feats: Sequence[str], n: int = 2) -> DataF
 
 
 def similarity_matrix(
-    df: DataFrame, id_col: str, feats: Sequence[str], m: int = 50, label: str | None = None
+    df: DataFrame, id_col: str, feats: Sequence[str], m: int = 50, label: str | None = None, ids: Sequence | None = None
 ) -> DataFrame:
-    """Cosine of every two of the first ``m`` rows (at most ``MATRIX_LIMIT``) in the standardised features."""
-    if not 2 <= m <= MATRIX_LIMIT:
+    """Cosine of every two of the rows with the given ids in the standardised features; without ids, of the first ``m`` (at most ``MATRIX_LIMIT``)."""
+    if ids is None and not 2 <= m <= MATRIX_LIMIT:
         raise ValueError(f"m must be between 2 and {MATRIX_LIMIT}")
     name = F.col(label).cast("string") if label else F.col(id_col).cast("string")
     z = F.array(*[F.col(f"z_{f}") for f in feats])
-    first = standardize(df, feats).orderBy(id_col).limit(m).select(F.col(id_col).alias("id"), name.alias("label"), z.alias("z"))
-    # At most MATRIX_LIMIT rows, folded into one and unfolded twice.
+    scaled = standardize(df, feats)
+    named = scaled.orderBy(id_col).limit(m) if ids is None else scaled.filter(F.col(id_col).isin(list(ids)))
+    first = named.select(F.col(id_col).alias("id"), name.alias("label"), z.alias("z"))
+    # At most MATRIX_LIMIT rows or those named, folded into one and unfolded twice.
     folded = first.agg(F.collect_list(F.struct("id", "label", "z")).alias("rows"))
     rows = folded.select("rows", F.explode("rows").alias("a"))
     cells = rows.select(F.col("a.id").alias("id_a"), F.col("a.label").alias("label_a"), F.col("a.z").alias("z"), F.explode("rows").alias("o"))
@@ -241,3 +243,19 @@ def similar_pairs(matrix: DataFrame, n: int = 10, largest: bool = True) -> DataF
     """The ``n`` most or least similar pairs of a similarity matrix, each once."""
     order = F.desc("similarity") if largest else F.asc("similarity")
     return matrix.filter("id_a < id_b").orderBy(order, "id_a", "id_b").limit(n)
+
+
+def similar_pairs_of_all(
+    df: DataFrame, id_col: str, feats: Sequence[str], n: int = 10, largest: bool = True, label: str | None = None
+) -> DataFrame:
+    """The ``n`` most or least similar pairs of all complete rows in the standardised features, each once. Ids are unique."""
+    ensure_checkpoint_dir(df.sparkSession)
+    name = F.col(label).cast("string") if label else F.col(id_col).cast("string")
+    z = F.array(*[F.col(f"z_{f}") for f in feats])
+    length = F.sqrt(balanced_sum([F.col(f"z_{f}") * F.col(f"z_{f}") for f in feats]))
+    unit = F.transform(z, lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0)))
+    rows = standardize(df, feats).select(F.col(id_col).alias("id"), name.alias("label"), unit.alias("vec")).checkpoint()
+    found = extreme_pairs(rows.select("id", "vec"), n, largest)
+    for side in ("a", "b"):
+        found = rows.select(F.col("id").alias(f"id_{side}"), F.col("label").alias(f"label_{side}")).join(F.broadcast(found), f"id_{side}")  # n rows
+    return found.select("id_a", "label_a", "id_b", "label_b", "similarity")

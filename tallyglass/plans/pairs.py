@@ -143,3 +143,41 @@ def _matcher(threshold: float):
         )
 
     return match
+
+
+def extreme_pairs(rows: DataFrame, n: int, largest: bool = True, block_rows: int = 8192, at_once: int = 512) -> DataFrame:
+    """(id_a, id_b, similarity) of the n most or least similar pairs of all rows (id, vec), id_a < id_b.
+
+    Every two blocks of rows meet in one task, which hands on its n best pairs only: the work is quadratic, the tasks are
+    bounded. Cosines are compared to 12 digits, since equal ones may differ behind these; ties are ordered by id.
+    """
+    ship_package(rows.sparkSession)
+    blocks = max(1, math.ceil(rows.count() / block_rows))
+    block = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    sent = rows.select("id", "vec", block.alias("block")).select("*", other.alias("other"))
+    sent = sent.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def first(found: pd.DataFrame) -> pd.DataFrame:
+        return found.sort_values(["similarity", "id_a", "id_b"], ascending=[not largest, True, True]).head(n)
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        ids, x, own = pdf["id"].to_numpy(), np.vstack(pdf["vec"].to_numpy()), pdf["block"].to_numpy()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        out = pd.DataFrame({"id_a": ids[:0], "id_b": ids[:0], "similarity": np.zeros(0)})
+        for start in range(0, len(left) if len(right) else 0, at_once):
+            some = left[start : start + at_once]
+            score = np.round(x[some] @ x[right].T, 12) * (1 if largest else -1)
+            if i == j:
+                score[ids[some][:, None] >= ids[right][None, :]] = -np.inf
+            least = np.partition(score.ravel(), -n)[-n] if score.size > n else -np.inf
+            a, b = np.nonzero((score >= least) & (score > -np.inf))
+            u, v = ids[some[a]], ids[right[b]]
+            found = pd.DataFrame({"id_a": np.where(u < v, u, v), "id_b": np.where(u < v, v, u), "similarity": score[a, b] * (1 if largest else -1)})
+            out = first(pd.concat([out, first(found)])) if len(out) else first(found)
+        return out
+
+    found = sent.groupBy("i", "j").applyInPandas(match, f"id_a {id_type}, id_b {id_type}, similarity double")
+    return found.orderBy(F.desc("similarity") if largest else F.asc("similarity"), "id_a", "id_b").limit(n)

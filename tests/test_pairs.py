@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from tallyglass.operators.vectors import near_duplicates, pair_weight, similarity_histogram
+from tallyglass.operators.vectors import near_duplicates, pair_weight, similarity_histogram, similarity_matrix
+from tallyglass.plans.pairs import extreme_pairs
 
 
 def brute(x, threshold):
@@ -51,3 +52,24 @@ def test_weights_count_row_pairs(clustered):
     total = lines.selectExpr("*").withColumn("w", pair_weight()).agg({"w": "sum"}).first()[0]
     assert total == len(brute(x, 0.8))
     assert sum(r["count"] for r in similarity_histogram(lines).collect()) == len(brute(x, 0.8))
+
+
+@pytest.mark.parametrize("largest", [True, False])
+def test_extreme_pairs_of_all_rows(spark, largest):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(300, 4))
+    x[[290, 295]] = x[280]
+    x[299] = -x[285]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = extreme_pairs(spark.createDataFrame(list(zip(range(300), x.tolist())), "id long, vec array<double>"), 7, largest, block_rows=90, at_once=32).collect()
+    a, b = np.triu_indices(300, 1)
+    score = np.round((x @ x.T)[a, b], 12)
+    want = np.lexsort((b, a, -score if largest else score))[:7]
+    assert [(p.id_a, p.id_b) for p in got] == list(zip(a[want], b[want]))
+    assert np.allclose([p.similarity for p in got], score[want])
+
+
+def test_matrix_of_named_ids(spark):
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 11)) for i in range(500)], "id long, u double, v double")
+    got = similarity_matrix(df, "id", ["u", "v"], ids=[3, 250, 499]).collect()
+    assert {(p.id_a, p.id_b) for p in got} == {(i, j) for i in (3, 250, 499) for j in (3, 250, 499)}
