@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bit_codes, language_model, mixing, multiprobe, near_copies, piece_codec, pii, quality, token_counts, warc
+from . import bit_codes, byte_codec, language_model, mixing, multiprobe, near_copies, piece_codec, pii, quality, token_counts, warc
 from .base import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -61,3 +61,8 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_mixing", mixing.SQL)
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
+
+
+@query("op12_byte_codec")
+def op12_byte_codec(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_codec.digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
