@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bit_codes, byte_codec, language_model, mixing, multiprobe, near_copies, piece_codec, pii, quality, token_counts, warc
+from . import bit_codes, byte_codec, language_model, mixing, multiprobe, near_copies, piece_codec, pii, quality, token_counts, turn_repair, warc
 from .base import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -66,3 +66,8 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_byte_codec")
 def op12_byte_codec(spark: SparkSession, folder: str) -> DataFrame:
     return byte_codec.digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op13_turn_repair")
+def op13_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_repair.damaged_and_repaired(table(spark, folder, "conversations"))
