@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bit_codes, byte_codec, language_model, mixing, multiprobe, near_copies, piece_codec, pii, quality, token_counts, turn_repair, warc
+from . import angle_negatives, bit_codes, byte_codec, language_model, mixing, multiprobe, near_copies, piece_codec, pii, quality, token_counts, turn_repair, warc
 from .base import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -63,6 +63,11 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+@query("op11_angle_negatives", angle_negatives.SQL)
+def op11_angle_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return angle_negatives.mine(angle_negatives.relabelled(table(spark, folder, "embeddings")))
+
+
 @query("op12_byte_codec")
 def op12_byte_codec(spark: SparkSession, folder: str) -> DataFrame:
     return byte_codec.digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -16,6 +16,11 @@ CONTRACT = {
         "doc_id": "bigint", "held_out": "boolean", **dict.fromkeys(["n_tokens", "n_known", "train_tokens"], "bigint"), "base_score": "double", "score": "double",
     },
     "op9_warc": {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"},
+    "op11_angle_negatives": {"anchor_id": "bigint", "positive_id": "bigint", "rank": "int", "negative_id": "bigint", "positive_score": "bigint", "negative_score": "bigint"},
+    "op12_byte_codec": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+    "op13_turn_repair": {
+        "conv_id": "bigint", **dict.fromkeys(["gaps", "blank", "duplicate", "truncated", "illegal", "cost"], "bigint"), "audit": "string", "repaired_sha256": "string",
+    },
 }
 
 
