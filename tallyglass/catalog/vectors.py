@@ -62,9 +62,69 @@ def _(t):
     return rounded(vectors.near_duplicates(t.embeddings, "vec_id", "embedding", 0.4), 6, "similarity")
 
 
+# Every fifth vector has a near copy with each component changed by a tenth at most, every seventh an exact one, and every
+# eleventh near copy another copy of its own, so that some classes have several members.
+_CHANGE = "(1 + 0.1 * (((vec_id + i * 7) % 3) - 1))"
+PLANTED = f"""p AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+UNION ALL SELECT vec_id + 1000000, [v * {_CHANGE} FOR v, i IN embedding::DOUBLE[]] FROM embeddings WHERE vec_id % 5 = 0
+UNION ALL SELECT vec_id + 2000000, embedding::DOUBLE[] FROM embeddings WHERE vec_id % 7 = 0
+UNION ALL SELECT vec_id + 3000000, [v * {_CHANGE.replace('i * 7', 'i * 7 + 1')} FOR v, i IN embedding::DOUBLE[]] FROM embeddings WHERE vec_id % 55 = 0),
+u AS (SELECT v, min(vec_id) AS id, count(*) AS copies FROM p GROUP BY v),
+k AS (SELECT a.id AS id_a, b.id AS id_b, {COSINE.format('a.v', 'b.v')} AS similarity, 'similar' AS kind, a.copies AS copies_a, b.copies AS copies_b
+      FROM u a JOIN u b ON a.id < b.id WHERE {COSINE.format('a.v', 'b.v')} >= 0.92
+UNION ALL SELECT u.id, p.vec_id, 1.0, 'copy', u.copies, u.copies FROM p JOIN u ON u.v = p.v AND p.vec_id <> u.id)"""
+
+
+def _planted(t):
+    rows = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def changed(shift: int):
+        return F.transform("embedding", lambda v, i: v * (1 + 0.1 * ((F.col("vec_id") + (i + 1) * 7 + shift) % 3 - 1)))
+
+    parts = [rows]
+    for step, number, vector in ((5, 1, changed(0)), (7, 2, F.col("embedding")), (55, 3, changed(1))):
+        # two steps, as a function over an array would see the new vec_id of the same selection
+        made = rows.filter(F.col("vec_id") % step == 0).withColumn("embedding", vector)
+        parts.append(made.withColumn("vec_id", F.col("vec_id") + number * 1_000_000))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("near_duplicate_candidates", f"WITH {PLANTED} SELECT id_a, id_b, round(similarity, 6) AS similarity, kind, copies_a, copies_b FROM k")
+def _(t):
+    return rounded(vectors.near_duplicate_candidates(_planted(t), "vec_id", "embedding", 0.92), 6, "similarity")
+
+
+@query(
+    "near_duplicate_classes",
+    f"""WITH RECURSIVE {PLANTED}, e AS (SELECT id_a AS a, id_b AS b, copies_b AS n FROM k WHERE kind = 'similar' UNION ALL SELECT id_b, id_a, copies_a FROM k WHERE kind = 'similar'),
+    r AS (SELECT id, id AS other FROM u UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other),
+    c AS (SELECT id, min(other) AS class_id FROM r GROUP BY 1), n AS (SELECT a, count(*) AS links, sum(n) AS partners FROM e GROUP BY 1)
+    SELECT p.vec_id, u.id AS rep, u.copies, coalesce(n.links, 0) AS links, CAST(coalesce(n.partners, 0) + u.copies - 1 AS BIGINT) AS partners, c.class_id
+    FROM p JOIN u ON u.v = p.v JOIN c ON c.id = u.id LEFT JOIN n ON n.a = u.id""",
+)
+def _(t):
+    return vectors.near_duplicate_classes(_planted(t), "vec_id", "embedding", 0.92)
+
+
+@query(
+    "candidate_similarity_histogram",
+    f"""WITH {PLANTED}, q AS (SELECT * REPLACE (round(similarity, 9) AS similarity) FROM k), e AS (SELECT min(similarity) AS a, max(similarity) AS b FROM q),
+    h AS (SELECT least(19, floor((similarity - a) / (b - a) * 20))::BIGINT AS bin, sum(CASE WHEN kind = 'similar' THEN copies_a * copies_b ELSE copies_a / 2.0 END) AS n FROM q, e GROUP BY 1)
+    SELECT i::BIGINT AS bin, coalesce(n, 0)::BIGINT AS count FROM range(20) r(i) LEFT JOIN h ON h.bin = i""",
+)
+def _(t):
+    found = vectors.near_duplicate_candidates(_planted(t), "vec_id", "embedding", 0.92)
+    return vectors.similarity_histogram(rounded(found, 9, "similarity"))
+
+
 @query("near_duplicate_texts")
 def _(t):
-    return vectors.near_duplicates(_texts(t), "doc_id", "embedding", 0.92, "text")
+    return vectors.near_duplicate_candidates(_texts(t), "doc_id", "embedding", 0.92, "text")
+
+
+@query("near_duplicate_text_classes")
+def _(t):
+    return vectors.near_duplicate_classes(_texts(t), "doc_id", "embedding", 0.92)
 
 
 @query(

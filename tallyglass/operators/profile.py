@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import percent_of, sample_kurtosis, sample_skewness
-from ..plans.quantiles import exact_quantiles
+from ..plans.quantiles import summarize
 from ..plans.sampling import sample_rows
 from .roles import column_roles
 
@@ -92,49 +92,38 @@ def quality_score(df: DataFrame) -> DataFrame:
     return base.select("rows", "null_cells", "duplicates", F.round(score, 1).alias("score"))
 
 
+#: Aggregates of a numeric column, taken in the scan that also sketches its quantiles.
+MOMENTS = {
+    "min": F.min,
+    "max": F.max,
+    "mean": F.avg,
+    "std": F.stddev_samp,
+    "sum": lambda x: F.coalesce(F.sum(x), F.lit(0.0)),
+    "skew": sample_skewness,
+    "kurt": sample_kurtosis,
+}
+PROFILE_QUANTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+
+
 def numeric_stats(
-    df: DataFrame, cols: Sequence[str] | None = None, fences: Sequence[float] = (1.5,)
+    df: DataFrame, cols: Sequence[str] | None = None, fences: Sequence[float] = (1.5,), given: Mapping[str, Mapping] | None = None
 ) -> DataFrame:
-    """Unrounded statistics per numeric column with values outside each IQR fence counted.
+    """Unrounded statistics per numeric column with values outside each IQR fence counted, from two scans as a rule.
 
-    The quartiles are found first and enter the second pass as literals, so counting outliers shares the scan
-    that computes the moments. That scan unpivots the columns and groups by column: one small
-    aggregate compiles well however many columns there are, and partial aggregation leaves a row per column and task.
+    The first scan takes moments and a quantile sketch of all columns, the second counts the values near the quartiles and
+    fences: see ``plans.quantiles``. ``given`` has the values of the first scan where another query has gathered them.
     """
     cols = list(cols if cols is not None else column_roles(df).numeric)
-    quantiles = exact_quantiles(df, {c: (0.25, 0.5, 0.75, 0.95) for c in cols})
+    found = summarize(df, {c: list(PROFILE_QUANTILES.values()) for c in cols}, fences, MOMENTS, given=given) if cols else {}
     outliers = ["outliers" if i == 0 else f"outliers_{i}" for i in range(len(fences))]
-    cells = []
-    for number, c in enumerate(cols):
-        x = F.col(f"`{c}`").cast("double")
-        q1, _, q3, _ = quantiles[c]
-        outside = [
-            F.lit(0) if q1 is None else ((x < q1 - k * (q3 - q1)) | (x > q3 + k * (q3 - q1))).cast("int") for k in fences
-        ]
-        cells += [F.lit(number), x, *outside]
-    long = df.select(F.stack(F.lit(len(cols)), *cells).alias("_c", "_x", *outliers))
-    x = F.col("_x")
-    found = long.groupBy("_c").agg(
-        F.count(x).alias("non_null"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
-        F.avg(x).alias("mean"),
-        F.stddev_samp(x).alias("std"),
-        F.coalesce(F.sum(x), F.lit(0.0)).alias("sum"),
-        sample_skewness(x).alias("skew"),
-        sample_kurtosis(x).alias("kurt"),
-        *[F.coalesce(F.sum(o), F.lit(0)).alias(o) for o in outliers],
-    )
-    known = [(i, c, *quantiles[c]) for i, c in enumerate(cols)]
-    listed = df.sparkSession.createDataFrame(known, "_c int, column string, p25 double, median double, p75 double, p95 double")
-    counted = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("non_null", *outliers)}
-    stats = listed.join(found, "_c", "left").withColumns({**counted, "sum": F.coalesce("sum", F.lit(0.0))})
-    shown = ["column", "non_null", "min", "max", "mean", "median", "std", "sum", "skew", "kurt", "p25", "p75", "p95"]
-    return stats.select(*shown, *outliers)
-
-
-def _double(v: float | None) -> Column:
-    return F.lit(v).cast("double")
+    rows = []
+    for c in cols:
+        s = found[c]
+        own = s.values | dict(zip(PROFILE_QUANTILES, s.quantiles)) | {"sum": s.values["sum"] or 0.0}
+        rows.append((c, s.n, *[own[k] for k in ("min", "max", "mean", "median", "std", "sum", "skew", "kurt", "p25", "p75", "p95")], *s.outside))
+    doubles = ", ".join(f"{k} double" for k in ("min", "max", "mean", "median", "std", "sum", "skew", "kurt", "p25", "p75", "p95"))
+    counts = "".join(f", {o} long" for o in outliers)
+    return df.sparkSession.createDataFrame(rows, f"column string, non_null long, {doubles}{counts}")
 
 
 def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -155,15 +144,14 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 def iqr_outliers(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5) -> DataFrame:
     """Values strictly outside the quartiles by more than ``k`` times their distance."""
     cols = list(cols if cols is not None else column_roles(df).numeric)
-    quartiles = exact_quantiles(df, {c: (0.25, 0.75) for c in cols})
-    fields = {}
+    found = summarize(df, {c: (0.25, 0.75) for c in cols}, (k,)) if cols else {}
+    rows = []
     for c in cols:
-        x = F.col(f"`{c}`").cast("double")
-        q1, q3 = quartiles[c]
-        low, high = (None, None) if q1 is None else (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
-        outside = F.lit(False) if q1 is None else (x < low) | (x > high)
-        fields[c] = {"non_null": F.count(x), "low": _double(low), "high": _double(high), "outliers": F.count_if(outside)}
-    stats = per_column(df, fields)
+        s = found[c]
+        q1, q3 = s.quantiles
+        known = q1 is not None and q3 is not None
+        rows.append((c, s.n, q1 - k * (q3 - q1) if known else None, q3 + k * (q3 - q1) if known else None, s.outside[0]))
+    stats = df.sparkSession.createDataFrame(rows, "column string, non_null long, low double, high double, outliers long")
     return stats.withColumn("outlier_pct", F.round(percent_of(F.col("outliers"), F.col("non_null")), 1))
 
 

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.binning import equal_width_bin
 from ..functions.numeric import cosine, euclidean, norm
+from ..plans.bands import RECALL, partners_and_forest
+from ..plans.bands import similar_pairs as pairs_by_bands
+from ..plans.components import components
 from ..plans.joins import salted_join, with_summary
 from ..plans.pairs import BLOCK_ROWS, copy_links, extreme_pairs, fold_copies, similar_representatives
 from ..session import ensure_checkpoint_dir, ship_package
@@ -100,21 +103,45 @@ def embedding_projection(
     return points.select(id_col, *([label] if label else []), *extra, *[f"pc{i + 1}" for i in range(n)])
 
 
+def usable_vectors(df: DataFrame, id_col: str, vec: str) -> DataFrame:
+    """id and vector, scaled to length 1; null where it is null, of length 0, or has a null, NaN or infinite component."""
+    finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x) < float("inf")))
+    return unit_vectors(df.select(id_col, F.when(finite, F.col(vec)).alias(vec)), vec)
+
+
 def near_duplicates(
     df: DataFrame, id_col: str, vec: str, threshold: float = 0.92, text: str | None = None,
     block_rows: int = BLOCK_ROWS, pivots: int | None = None,
 ) -> DataFrame:
-    """Every pair with cosine at or above ``threshold``, exact copies folded.
+    """Every pair with cosine at or above ``threshold``, exact copies folded. The work may be quadratic in the rows.
 
     ``similar`` lines join the first rows of two different vectors; ``copies_a`` and ``copies_b`` say how
     many rows carry each, so a line stands for their product of row pairs. ``copy`` lines join the first row of a
-    vector to each later row with the same vector.
+    vector to each later row with the same vector. Rows without a direction are in no pair;
+    :func:`near_duplicate_classes` lists them.
     """
     ensure_checkpoint_dir(df.sparkSession)
     # Both are read several times, and the vectors may be costly to make.
     unit = unit_vectors(df.select(id_col, vec), vec).filter(F.col(vec).isNotNull()).checkpoint()
     folded = fold_copies(unit, id_col, vec).checkpoint()
-    pairs = similar_representatives(folded, threshold, block_rows, pivots)
+    return _lines(df, unit, folded, similar_representatives(folded, threshold, block_rows, pivots), id_col, vec, text)
+
+
+def near_duplicate_candidates(
+    df: DataFrame, id_col: str, vec: str, threshold: float = 0.92, text: str | None = None, recall: float = RECALL, seed: int = 0
+) -> DataFrame:
+    """The lines of :func:`near_duplicates` for pairs that share a band of sign bits, which is near-linear work.
+
+    All lines are right; a pair at the threshold is missing with probability 1 - ``recall``, closer ones less often, copies
+    never. Meant for thresholds of 0.8 and more: below, the number of bands grows quickly.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    unit = usable_vectors(df, id_col, vec).filter(F.col(vec).isNotNull()).checkpoint()
+    folded = fold_copies(unit, id_col, vec).checkpoint()
+    return _lines(df, unit, folded, pairs_by_bands(folded, threshold, recall, seed=seed), id_col, vec, text)
+
+
+def _lines(df: DataFrame, unit: DataFrame, folded: DataFrame, pairs: DataFrame, id_col: str, vec: str, text: str | None) -> DataFrame:
     similar = pairs.select("id_a", "id_b", F.least("similarity", F.lit(1.0)).alias("similarity"), F.lit("similar").alias("kind"), "copies_a", "copies_b")
     copies = copy_links(unit, folded, id_col, vec).select("id_a", "id_b", F.lit(1.0).alias("similarity"), F.lit("copy").alias("kind"), F.col("copies").alias("copies_a"), F.col("copies").alias("copies_b"))
     found = similar.unionByName(copies)
@@ -127,6 +154,37 @@ def near_duplicates(
     return found.orderBy(F.desc("similarity"), "id_a", "id_b")
 
 
+def near_duplicate_classes(
+    df: DataFrame, id_col: str, vec: str, threshold: float = 0.92, recall: float = RECALL, seed: int = 0
+) -> DataFrame:
+    """A line per row: id, rep, copies, links, partners, class_id. A group of n near copies gives n lines, not n² pairs.
+
+    ``rep`` is the first row with the same vector and ``copies`` the rows that carry it, ``links`` the different vectors at or
+    above ``threshold``, ``partners`` all other rows at or above it, and ``class_id`` the smallest id that links lead to.
+    A row without a direction (null or zero vector, null or infinite component) has no rep, no partners and itself as
+    class. Links are found as by :func:`near_duplicate_candidates`. Ids are unique and not null.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    unit = usable_vectors(df, id_col, vec).checkpoint()
+    folded = fold_copies(unit, id_col, vec).checkpoint()
+    found = partners_and_forest(folded, threshold, recall, seed=seed).checkpoint()
+    roots = components(found.filter("other IS NOT NULL"), "rep", "other")
+    counts = found.filter("other IS NULL").groupBy("rep").agg(F.sum("links").alias("links"), F.sum("partners").alias("partners"))
+    linked = counts.join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+    classes = folded.join(linked, "rep", "left").select("vec", "rep", "copies", "links", "partners", F.coalesce("root", "rep").alias("class_id"))
+    rows = unit.select(F.col(id_col).alias("_id"), F.col(vec).alias("vec"))
+    # only copies need their vector to find their class
+    alone, several = classes.filter("copies = 1").drop("vec"), classes.filter("copies > 1")
+    by_vector = salted_join(rows.filter("vec IS NOT NULL"), several, ["vec"], ["_id"]).drop("vec")
+    by_id = alone.withColumn("_id", F.col("rep"))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    with_vector = by_id.unionByName(by_vector, allowMissingColumns=True)
+    with_vector = with_vector.select("_id", "rep", "copies", count("links").alias("links"), (count("partners") + F.col("copies") - 1).alias("partners"), "class_id")
+    nothing = F.lit(0).cast("long")
+    without = rows.filter("vec IS NULL").select("_id", F.lit(None).cast(rows.schema["_id"].dataType).alias("rep"), F.lit(1).cast("long").alias("copies"), nothing.alias("links"), nothing.alias("partners"), F.col("_id").alias("class_id"))
+    return with_vector.unionByName(without).withColumnRenamed("_id", id_col)
+
+
 def pair_weight() -> Column:
     """Row pairs a line of :func:`near_duplicates` stands for; the copy lines of n copies share n(n-1)/2."""
     return F.when(F.col("kind") == "similar", F.col("copies_a") * F.col("copies_b")).otherwise(F.col("copies_a") / 2.0)

@@ -145,39 +145,133 @@ def _matcher(threshold: float):
     return match
 
 
-def extreme_pairs(rows: DataFrame, n: int, largest: bool = True, block_rows: int = 8192, at_once: int = 512) -> DataFrame:
-    """(id_a, id_b, similarity) of the n most or least similar pairs of all rows (id, vec), id_a < id_b.
+#: Cells of :func:`extreme_pairs` at most, rows a cell holds on average in smaller tables, and rows its centres are chosen from.
+MOST_CELLS, CELL_ROWS, CENTRE_SAMPLE = 1024, 256, 8192
+#: Cell pairs opened first; each further round opens four times as many.
+OPENED_FIRST = 64
 
-    Every two blocks of rows meet in one task, which hands on its n best pairs only: the work is quadratic, the tasks are
-    bounded. Cosines are compared to 12 digits, since equal ones may differ behind these; ties are ordered by id.
+
+def pair_bounds(centres: np.ndarray, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For all i <= j: i, j and bounds of the cosine of unit vectors within angle ``radii`` of the centres.
+
+    A centre of length 0 stands for vectors of zeros, whose cosine with anything is 0.
+    """
+    i, j = np.triu_indices(len(centres))
+    along = centres @ centres.T
+    between = np.arccos(np.clip(along[i, j], -1, 1))
+    spread = radii[i] + radii[j] + SLACK
+    upper = np.cos(np.maximum(0, between - spread)) + SLACK
+    lower = np.cos(np.minimum(math.pi, between + spread)) - SLACK
+    empty = ~centres.any(axis=1)
+    nothing = empty[i] | empty[j]
+    return i, j, np.where(nothing, 0, lower), np.where(nothing, 0, upper)
+
+
+def farthest_first(x: np.ndarray, wanted: int) -> np.ndarray:
+    """Rows of ``x`` chosen so that each is as far as can be from those before it."""
+    chosen, nearest = [0], x @ x[0]
+    while len(chosen) < min(wanted, len(x)) and nearest.min() < 1 - SLACK:
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, x @ x[chosen[-1]])
+    return x[chosen]
+
+
+def extreme_pairs(
+    rows: DataFrame, n: int, largest: bool = True, block_rows: int = 8192, at_once: int = 512, cells: int | None = None, opened: list | None = None
+) -> DataFrame:
+    """(id_a, id_b, similarity) of the n most or least similar pairs of all rows (id, vec), id_a < id_b. Vectors have length 1 or 0.
+
+    Every row goes to its nearest centre, and the angles to it bound the cosines between two cells. Pairs of cells are
+    opened in rounds, the best bound first, until the n-th best pair found beats the bounds of all others: clustered
+    data open a small part, data without any structure all of them. A cell is cut into blocks, every two blocks meet in one
+    task, and a task hands on its n best pairs only. Cosines are compared to 12 digits, since equal ones may differ behind
+    these; ties are ordered by id. ``opened``, if given, gets the number of cell pairs of each round and of all.
     """
-    ship_package(rows.sparkSession)
-    blocks = max(1, math.ceil(rows.count() / block_rows))
-    block = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(blocks)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    sent = rows.select("id", "vec", block.alias("block")).select("*", other.alias("other"))
-    sent = sent.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    spark = rows.sparkSession
+    ship_package(spark)
     id_type = rows.schema["id"].dataType.simpleString()
+    schema = f"id_a {id_type}, id_b {id_type}, similarity double"
+    total = rows.count()
+    wanted = cells or max(1, min(MOST_CELLS, math.ceil(total / CELL_ROWS)))
+    nonzero = F.exists("vec", lambda v: v != 0)
+    sample = rows.filter(nonzero).orderBy(key_hash(["id"]), "id").limit(min(CENTRE_SAMPLE, 16 * wanted)).select("vec").collect()
+    if total < 2:
+        return spark.createDataFrame([], schema)
+    width = len(sample[0].vec) if sample else 1
+    chosen = farthest_first(np.array([r.vec for r in sample], dtype=float), wanted) if sample else np.zeros((0, width))
+    # the last cell is for vectors of zeros
+    centres = np.vstack([chosen, np.zeros((1, width))])
+
+    def place(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = np.vstack(pdf["vec"].to_numpy())
+                along = np.where(x.any(axis=1)[:, None], x @ centres[:-1].T, -2.0) if len(centres) > 1 else np.full((len(x), 1), -2.0)
+                cell, best = along.argmax(axis=1), along.max(axis=1)
+                cell = np.where(best < -1.5, len(centres) - 1, cell)
+                yield pd.DataFrame({"id": pdf["id"], "vec": pdf["vec"], "cell": cell, "angle": np.where(best < -1.5, 0, np.arccos(np.clip(best, -1, 1)))})
+
+    placed = rows.select("id", "vec").mapInPandas(place, f"id {id_type}, vec array<double>, cell int, angle double").checkpoint()
+    # at most a row per cell
+    sizes = {r.cell: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}
+    own = sorted(sizes)
+    i, j, lower, upper = pair_bounds(centres[own], np.array([sizes[c].radius for c in own]))
+    i, j = np.array(own)[i], np.array(own)[j]
+    order = np.argsort(-upper if largest else lower, kind="stable")
+    order = np.array([k for k in order if i[k] != j[k] or sizes[i[k]].n > 1], dtype=int)
+    blocks = {c: math.ceil(sizes[c].n / block_rows) for c in own}
+    block_of = F.create_map(*[F.lit(x) for c in own for x in (c, blocks[c])])
 
     def first(found: pd.DataFrame) -> pd.DataFrame:
         return found.sort_values(["similarity", "id_a", "id_b"], ascending=[not largest, True, True]).head(n)
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        ids, x, own = pdf["id"].to_numpy(), np.vstack(pdf["vec"].to_numpy()), pdf["block"].to_numpy()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out = pd.DataFrame({"id_a": ids[:0], "id_b": ids[:0], "similarity": np.zeros(0)})
-        for start in range(0, len(left) if len(right) else 0, at_once):
-            some = left[start : start + at_once]
-            score = np.round(x[some] @ x[right].T, 12) * (1 if largest else -1)
-            if i == j:
-                score[ids[some][:, None] >= ids[right][None, :]] = -np.inf
+        home, guest = (pdf.loc[pdf["side"] == s].reset_index(drop=True) for s in (0, 1))
+        same = len(guest) == 0 and bool(pdf["same"].iloc[0])
+        guest = home if same else guest
+        out = pd.DataFrame({"id_a": pdf["id"].iloc[:0], "id_b": pdf["id"].iloc[:0], "similarity": np.zeros(0)})
+        if not len(home) or not len(guest):
+            return out
+        ids, others = home["id"].to_numpy(), guest["id"].to_numpy()
+        x, y = np.vstack(home["vec"].to_numpy()), np.vstack(guest["vec"].to_numpy())
+        for start in range(0, len(x), at_once):
+            score = np.round(x[start : start + at_once] @ y.T, 12) * (1 if largest else -1)
+            some = ids[start : start + at_once]
+            if same:
+                score[some[:, None] >= others[None, :]] = -np.inf
             least = np.partition(score.ravel(), -n)[-n] if score.size > n else -np.inf
             a, b = np.nonzero((score >= least) & (score > -np.inf))
-            u, v = ids[some[a]], ids[right[b]]
+            u, v = some[a], others[b]
             found = pd.DataFrame({"id_a": np.where(u < v, u, v), "id_b": np.where(u < v, v, u), "similarity": score[a, b] * (1 if largest else -1)})
             out = first(pd.concat([out, first(found)])) if len(out) else first(found)
         return out
 
-    found = sent.groupBy("i", "j").applyInPandas(match, f"id_a {id_type}, id_b {id_type}, similarity double")
-    return found.orderBy(F.desc("similarity") if largest else F.asc("similarity"), "id_a", "id_b").limit(n)
+    best, at, size = [], 0, OPENED_FIRST
+    found = spark.createDataFrame([], schema)
+    while at < len(order):
+        ahead = order[at : at + size]
+        if len(best) == n:
+            ahead = ahead[upper[ahead] >= best[-1].similarity if largest else lower[ahead] <= best[-1].similarity]
+            if not len(ahead):
+                break
+        some, at, size = ahead, at + len(ahead), size * 4
+        visits = pd.DataFrame({"pair": some, "i": i[some], "j": j[some]})
+        # at most MOST_CELLS squared / 2 pairs of three numbers
+        visits = F.broadcast(spark.createDataFrame(visits.astype("int64"), "pair long, i int, j int"))
+        count = block_of[F.col("cell")]
+        block = F.pmod(F.xxhash64("id", F.lit(11)), count).cast("int")
+        # within a cell, block p meets block q >= p; between two cells, every block of one meets every block of the other
+        upto = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
+        homes = placed.join(visits, F.col("cell") == F.col("i")).withColumn("p", block).withColumn("q", upto(block_of[F.col("j")]))
+        homes = homes.withColumn("side", F.lit(0)).filter("i <> j OR q >= p")
+        guests = placed.join(visits, F.col("cell") == F.col("j")).withColumn("q", block).withColumn("p", upto(block_of[F.col("i")]))
+        guests = guests.withColumn("side", F.lit(1)).filter("i <> j OR p < q")
+        columns = ["id", "vec", "side", "pair", "p", "q", F.expr("i = j AND p = q").alias("same")]
+        sent = homes.select(*columns).unionByName(guests.select(*columns))
+        found = found.unionByName(sent.groupBy("pair", "p", "q").applyInPandas(match, schema))
+        ranked = found.orderBy(F.desc("similarity") if largest else F.asc("similarity"), "id_a", "id_b").limit(n)
+        best = ranked.collect()  # n rows
+        found = spark.createDataFrame(best, schema)
+    if opened is not None:
+        opened += [min(at, len(order)), len(order)]
+    return found

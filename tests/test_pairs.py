@@ -3,8 +3,11 @@
 import numpy as np
 import pytest
 
-from tallyglass.operators.vectors import near_duplicates, pair_weight, similarity_histogram, similarity_matrix
-from tallyglass.plans.pairs import extreme_pairs
+from tallyglass.operators.vectors import near_duplicate_candidates, near_duplicate_classes, near_duplicates, pair_weight, similarity_histogram, similarity_matrix
+from tallyglass.plans import bands
+from tallyglass.plans.bands import forest
+from tallyglass.plans.components import components
+from tallyglass.plans.pairs import extreme_pairs, pair_bounds
 
 
 def brute(x, threshold):
@@ -73,3 +76,170 @@ def test_matrix_of_named_ids(spark):
     df = spark.createDataFrame([(i, float(i % 7), float(i % 11)) for i in range(500)], "id long, u double, v double")
     got = similarity_matrix(df, "id", ["u", "v"], ids=[3, 250, 499]).collect()
     assert {(p.id_a, p.id_b) for p in got} == {(i, j) for i in (3, 250, 499) for j in (3, 250, 499)}
+
+
+@pytest.mark.parametrize("largest", [True, False])
+@pytest.mark.parametrize(("spread", "cells"), [(0.05, 40), (3.0, 12), (0.3, 1)])
+def test_extreme_pairs_by_bounds(spark, largest, spread, cells):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(30, 6))[r.integers(0, 30, 900)] + spread * r.normal(size=(900, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[[3, 500]] = 0
+    x[700] = x[12]
+    rows = spark.createDataFrame(list(zip(range(900), x.tolist())), "id long, vec array<double>")
+    opened = []
+    got = extreme_pairs(rows, 12, largest, block_rows=100, at_once=64, cells=cells, opened=opened).collect()
+    a, b = np.triu_indices(900, 1)
+    score = np.round((x @ x.T)[a, b], 12)
+    want = np.lexsort((b, a, -score if largest else score))[:12]
+    assert [(p.id_a, p.id_b) for p in got] == list(zip(a[want], b[want]))
+    assert np.allclose([p.similarity for p in got], score[want], atol=1e-11)
+
+
+@pytest.mark.parametrize("largest", [True, False])
+def test_clustered_data_open_few_cell_pairs(spark, largest):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(60, 16))[r.integers(0, 60, 6000)] + 0.02 * r.normal(size=(6000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    opened = []
+    extreme_pairs(spark.createDataFrame(list(zip(range(6000), x.tolist())), "id long, vec array<double>"), 10, largest, cells=60, opened=opened)
+    assert opened[0] < 0.1 * opened[1]
+
+
+def test_extreme_pairs_of_few_rows(spark):
+    schema = "id long, vec array<double>"
+    assert extreme_pairs(spark.createDataFrame([], schema), 5).count() == 0
+    assert extreme_pairs(spark.createDataFrame([(1, [1.0, 0.0])], schema), 5).count() == 0
+    zeros = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0])], schema)
+    assert [(p.id_a, p.id_b, p.similarity) for p in extreme_pairs(zeros, 5).collect()] == [(1, 2, 0.0), (1, 3, 0.0), (2, 3, 0.0)]
+
+
+def test_pair_bounds_hold():
+    r = np.random.default_rng(10)
+    centres = r.normal(size=(8, 5))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    x = centres[np.repeat(np.arange(8), 40)] + r.normal(size=(320, 5)) * np.repeat(r.uniform(0.01, 1, 8), 40)[:, None]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own = np.repeat(np.arange(8), 40)
+    radii = np.array([np.arccos(np.clip(x[own == c] @ centres[c], -1, 1)).max() for c in range(8)])
+    for i, j, low, high in zip(*pair_bounds(centres, radii)):
+        cosines = x[own == i] @ x[own == j].T
+        assert (cosines <= high).all() and (cosines >= low).all()
+
+
+# --- candidates by bands -----------------------------------------------------------------------------------------------
+def near_copies(n, d, seed, groups=40, noise=0.06):
+    """Random vectors, groups of near and exact copies, one crowded group, and rows without a direction."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, d))
+    for g in range(groups):
+        x[r.integers(n, size=3)] = x[g] + noise * r.normal(size=(3, d))
+    x[: n // 10] = x[0] + noise * r.normal(size=(n // 10, d))
+    x[n // 2 : n // 2 + 30] = x[n // 2]
+    return x
+
+
+def as_rows(spark, x, extra=()):
+    return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + list(extra), "id long, v array<double>")
+
+
+def test_bands_find_nearly_all_pairs_and_no_others(spark):
+    x = near_copies(1500, 16, 1)
+    df = as_rows(spark, x).repartition(4)
+    exact = {(p.id_a, p.id_b): p for p in near_duplicates(df, "id", "v", 0.92).collect()}
+    found = {(p.id_a, p.id_b): p for p in near_duplicate_candidates(df, "id", "v", 0.92).collect()}
+    assert set(found) <= set(exact) and len(found) >= 0.98 * len(exact) > 3000
+    for key, line in found.items():
+        other = exact[key]
+        assert abs(line.similarity - other.similarity) < 1e-12
+        assert (line.kind, line.copies_a, line.copies_b) == (other.kind, other.copies_a, other.copies_b)
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs at hardly more than the threshold, the hardest ones."""
+    r = np.random.default_rng(2)
+    a = r.normal(size=(800, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = r.normal(size=(800, 32))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    x = np.vstack([a, 0.9201 * a + np.sqrt(1 - 0.9201**2) * b])
+    found = near_duplicate_candidates(as_rows(spark, x), "id", "v", 0.92)
+    assert 0.96 * 800 <= found.filter("id_b = id_a + 800").count() <= found.count()
+
+
+def test_classes_agree_with_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(bands.partners_and_forest, "__defaults__", (bands.RECALL, 50, 0))
+    x = near_copies(900, 12, 3)
+    extra = [(5000, None), (5001, [0.0] * 12), (5002, [float("inf")] + [1.0] * 11), (5003, [None] + [1.0] * 11), (5004, [float("nan")] * 12)]
+    df = as_rows(spark, x, extra)
+    got = {r.id: r for r in near_duplicate_classes(df, "id", "v", 0.92).collect()}
+    assert len(got) == 905
+    for i in range(5000, 5005):
+        assert (got[i].rep, got[i].copies, got[i].links, got[i].partners, got[i].class_id) == (None, 1, 0, 0, i)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.92
+    first = {}
+    reps = [first.setdefault(tuple(v), i) for i, v in enumerate(x)]
+    labels = np.arange(900)
+    while (new := np.array([labels[near[i]].min() for i in range(900)])).tolist() != labels.tolist():
+        labels = new
+    for i in range(900):
+        partners = np.flatnonzero(near[i] | (np.array(reps) == reps[i]))
+        assert got[i].rep == reps[i] and got[i].copies == reps.count(reps[i])
+        assert got[i].partners == len(partners) - 1 and got[i].links == len({reps[p] for p in partners}) - 1
+        assert got[i].class_id == labels[i]
+
+
+def test_classes_of_odd_tables(spark):
+    schema = "id long, v array<double>"
+    assert near_duplicate_classes(spark.createDataFrame([], schema), "id", "v").count() == 0
+    lone = near_duplicate_classes(spark.createDataFrame([(3, [1.0, 2.0])], schema), "id", "v").first()
+    assert (lone.rep, lone.links, lone.partners, lone.class_id) == (3, 0, 0, 3)
+    alike = near_duplicate_classes(spark.createDataFrame([(i, [1.0, 2.0]) for i in range(50)], schema), "id", "v").collect()
+    assert {(r.rep, r.copies, r.links, r.partners, r.class_id) for r in alike} == {(0, 50, 0, 49, 0)}
+
+
+def test_most_rows_do_not_move(spark):
+    """Of unrelated vectors, few share a band; when rows double, what the bands bring together doubles too."""
+    sent = []
+    for n in (4000, 8000):
+        r = np.random.default_rng(4)
+        x = r.normal(size=(n, 64))
+        x[n - n // 10 :] = x[: n // 10] + 0.1 * r.normal(size=(n // 10, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        folded = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "rep long, vec array<double>, copies long")
+        sent.append(bands._meetings(folded.checkpoint(), 0.92, 0.98, 2048, 0).count())
+    assert sent[1] < 2.5 * sent[0]
+
+
+def test_forest_joins_what_the_matrix_joins():
+    r = np.random.default_rng(5)
+    for _ in range(50):
+        hit = r.random((12, 15)) < 0.1
+        joined = forest(hit)
+        assert len(joined) <= 26 and all(hit[i, j] for i, j in joined)
+
+        def groups(links):
+            labels = list(range(27))
+            for i, j in links:
+                labels = [labels[12 + j] if x == labels[i] else x for x in labels]
+            return {frozenset(k for k in range(27) if labels[k] == x) for x in labels}
+
+        assert groups(joined) == groups(zip(*np.nonzero(hit)))
+
+
+def test_components_by_stars(spark):
+    r = np.random.default_rng(6)
+    links = [(int(a), int(b)) for a, b in r.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(1, 80)]
+    found = {row.id: row.root for row in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    root = {x: x for link in links for x in link}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(root[a], root[b])
+            changed |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+    assert found == {x: y for x, y in root.items() if x != y}
+    assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
