@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import percent_of, sample_kurtosis, sample_skewness
+from ..functions.numeric import percent_of
 from ..plans.quantiles import summarize
 from ..plans.sampling import sample_rows
 from .roles import column_roles
@@ -92,34 +92,24 @@ def quality_score(df: DataFrame) -> DataFrame:
     return base.select("rows", "null_cells", "duplicates", F.round(score, 1).alias("score"))
 
 
-#: Aggregates of a numeric column, taken in the scan that also sketches its quantiles.
-MOMENTS = {
-    "min": F.min,
-    "max": F.max,
-    "mean": F.avg,
-    "std": F.stddev_samp,
-    "sum": lambda x: F.coalesce(F.sum(x), F.lit(0.0)),
-    "skew": sample_skewness,
-    "kurt": sample_kurtosis,
-}
 PROFILE_QUANTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 
 
 def numeric_stats(
-    df: DataFrame, cols: Sequence[str] | None = None, fences: Sequence[float] = (1.5,), given: Mapping[str, Mapping] | None = None
+    df: DataFrame, cols: Sequence[str] | None = None, fences: Sequence[float] = (1.5,)
 ) -> DataFrame:
     """Unrounded statistics per numeric column with values outside each IQR fence counted, from two scans as a rule.
 
     The first scan takes moments and a quantile sketch of all columns, the second counts the values near the quartiles and
-    fences: see ``plans.quantiles``. ``given`` has the values of the first scan where another query has gathered them.
+    fences: see ``plans.quantiles``.
     """
     cols = list(cols if cols is not None else column_roles(df).numeric)
-    found = summarize(df, {c: list(PROFILE_QUANTILES.values()) for c in cols}, fences, MOMENTS, given=given) if cols else {}
+    found = summarize(df, {c: list(PROFILE_QUANTILES.values()) for c in cols}, fences) if cols else {}
     outliers = ["outliers" if i == 0 else f"outliers_{i}" for i in range(len(fences))]
     rows = []
     for c in cols:
         s = found[c]
-        own = s.values | dict(zip(PROFILE_QUANTILES, s.quantiles)) | {"sum": s.values["sum"] or 0.0}
+        own = s.moments | dict(zip(PROFILE_QUANTILES, s.quantiles))
         rows.append((c, s.n, *[own[k] for k in ("min", "max", "mean", "median", "std", "sum", "skew", "kurt", "p25", "p75", "p95")], *s.outside))
     doubles = ", ".join(f"{k} double" for k in ("min", "max", "mean", "median", "std", "sum", "skew", "kurt", "p25", "p75", "p95"))
     counts = "".join(f", {o} long" for o in outliers)

@@ -1,7 +1,7 @@
 """Exact quantiles, and what depends on them, without sorting or gathering a column.
 
-``summarize`` reads the columns twice. The first scan takes any aggregates asked for and a mergeable quantile sketch per
-column (KLL); the sketch is never trusted with an answer, it gives an interval of values around every wanted order statistic
+``summarize`` reads the columns twice, in Arrow batches. The first scan takes moments and a mergeable quantile sketch per
+column; the sketch is never trusted with an answer, it gives an interval of values around every wanted order statistic
 and fence. The second scan counts the values of these segments in cells and those between them as a whole, each cell
 with its own minimum and maximum: ranks and counts at a fence are exact wherever a cell has one value. Where one has not, or
 where the sketch was off, the cell is the segment of a further scan, 2048 times narrower; no scan returns more than a
@@ -13,24 +13,29 @@ bounded number of cells. Infinite values are counted apart, so that every segmen
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .joins import salted_join
 from .positions import ROWS_PER_TASK, split_by_order
 
 BINS = 2048
 # Wider tables are searched some columns at a time; every column is still read only by its own passes.
 COLUMNS_PER_PASS = 40
-#: Size of a sketch (about three numbers per unit and column in a task), and twice the rank error such a sketch has in 99 of
-#: 100 cases. A wrong bound costs a scan, not the result.
-SKETCH = 8192
-RANK_ERROR = 2 * 2.296 / SKETCH**0.9021
+#: Values in a buffer of a task's sketch, points a task hands on per column, and about four times the standard error of the
+#: ranks read from them. A wrong bound costs a scan, not the result.
+BUFFER, POINTS = 4096, 2048
+RANK_ERROR = 0.0015
+#: Groups in which the tasks' points are merged first.
+SLOTS = 32
 
 
 @dataclass(eq=False)
@@ -122,14 +127,15 @@ class _Search:
         wide = 12 * RANK_ERROR * self.finite
         for limits, outside in zip(self.limits, self.outside):
             spans += [(max(low, self.low), min(high, self.high), wide) for (low, high), done in zip(limits, outside) if done is None]
-        merged: list[_Segment] = []
-        for low, high, inside in sorted(spans):
-            if merged and low <= merged[-1].high:
-                merged[-1].high = max(merged[-1].high, high)
-                merged[-1].inside += inside
-            else:
-                merged.append(_Segment(low, high, inside))
-        return merged
+        # cut at every end, so that what is known best of a stretch decides how finely it is counted and bounds only tighten
+        ends = sorted({e for low, high, _ in spans for e in (low, high)})
+        points = {low for low, high, _ in spans if low == high}
+        cut = [_Segment(ends[0], ends[0], 0)] if ends and ends[0] in points else []
+        for low, high in zip(ends, ends[1:]):
+            held = [inside for a, b, inside in spans if a <= low and high <= b and a < b]
+            cut += [_Segment(low, high, min(held))] if held else []
+            cut += [_Segment(high, high, 0)] if high in points and not held else []
+        return cut
 
     def learn(self, cells: pd.DataFrame) -> None:
         """Take the cells of a scan, in order of value."""
@@ -189,12 +195,13 @@ def _interpolate(p: float, n: int, value: Callable[[int], float]) -> float | Non
 
 @dataclass
 class ColumnSummary:
-    """Values that are neither null nor NaN, quantiles in the order asked for, values outside the fence of each factor, and the aggregates."""
+    """Values that are neither null nor NaN, quantiles in the order asked for, values outside the fence of each factor, and
+    min, max, mean, std, sum, skew and kurt, the last two corrected for bias."""
 
     n: int
     quantiles: list[float | None]
     outside: list[int]
-    values: dict[str, object]
+    moments: dict[str, float | None]
 
 
 def exact_quantiles(
@@ -204,26 +211,15 @@ def exact_quantiles(
     return {c: s.quantiles for c, s in summarize(df, probabilities, bins=bins).items()}
 
 
-def summarize(
-    df: DataFrame,
-    probabilities: Mapping[str, Sequence[float]],
-    fences: Sequence[float] = (),
-    aggregates: Mapping[str, Callable[[Column], Column]] | None = None,
-    bins: int = BINS,
-    given: Mapping[str, Mapping] | None = None,
-) -> dict[str, ColumnSummary]:
-    """Per numeric column: exact quantiles, the number of values further than each of ``fences`` times the quartile distance
-    outside the quartiles, and aggregates of the column, which share the first scan.
-
-    ``given`` has the values of :func:`first_scan` for every column where they were gathered elsewhere.
-    """
+def summarize(df: DataFrame, probabilities: Mapping[str, Sequence[float]], fences: Sequence[float] = (), bins: int = BINS) -> dict[str, ColumnSummary]:
+    """Per numeric column: moments, exact quantiles, and the number of values further than each of ``fences`` times the
+    quartile distance outside the quartiles (none where a quartile is infinite)."""
     found: dict[str, ColumnSummary] = {}
     names = list(probabilities)
-    aggregates = aggregates or {}
     for first in range(0, len(names), COLUMNS_PER_PASS):
         some = names[first : first + COLUMNS_PER_PASS]
-        asked = {c: sorted({*probabilities[c], *((0.25, 0.75) if fences else ())}) for c in some}
-        start = first_scan(df, asked, aggregates) if given is None else given
+        asked = {p for c in some for p in probabilities[c]} | ({0.25, 0.75} if fences else set())
+        start = first_scan(df, some, sorted(asked))
         searches = {c: _Search(list(probabilities[c]), list(fences), start[c]) for c in some}
         before = None
         while any(s.open for s in searches.values()):
@@ -237,88 +233,222 @@ def summarize(
                 searches[c].learn(counted[c])
         for c in some:
             s = searches[c]
-            found[c] = ColumnSummary(s.n, [s.quantile(p) for p in probabilities[c]], [sum(o) for o in s.outside], {a: start[c][a] for a in aggregates})
+            found[c] = ColumnSummary(s.n, [s.quantile(p) for p in probabilities[c]], [sum(o) for o in s.outside], start[c]["moments"])
     return found
 
 
-def sketch_aggregates(x: Column) -> dict[str, Column]:
-    """What :func:`summarize` wants to know of a column of doubles first."""
-    finite = F.when(F.abs(x) < math.inf, x)
-    return {
-        "n": F.count(x), "low": F.min(finite), "high": F.max(finite), "minus": F.count_if(x == -math.inf), "plus": F.count_if(x == math.inf),
-        "sketch": F.kll_sketch_agg_double(finite, F.lit(SKETCH)),
-    }
-
-
-def sketch_points(asked: Sequence[float]) -> list[float]:
-    """The ranks at which a sketch is read for quantiles at ``asked``."""
-    return sorted({min(1.0, max(0.0, p + e)) for p in asked for e in (-1.5 * RANK_ERROR, 1.5 * RANK_ERROR)})
-
-
-def read_sketch(points: Sequence[float]) -> Column:
-    """The values at ``points`` of the column ``sketch``, null without finite values."""
-    ranks = F.array(*[F.lit(float(p)) for p in points])
-    return F.when(F.col("low").isNotNull(), F.kll_sketch_get_quantile_double("sketch", ranks))
+class Sketch:
+    """Buffers of sorted values; a full one hands on every second value, which then counts twice as much."""
+
+    def __init__(self, seed: int):
+        self.rng, self.levels = np.random.default_rng(seed), [np.zeros(0)]
+
+    def add(self, values: np.ndarray) -> None:
+        self.levels[0] = np.concatenate([self.levels[0], values])
+        level = 0
+        while len(self.levels[level]) >= 2 * BUFFER:
+            full = np.sort(self.levels[level])
+            even = len(full) // 2 * 2
+            if level + 1 == len(self.levels):
+                self.levels.append(np.zeros(0))
+            self.levels[level + 1] = np.concatenate([self.levels[level + 1], full[self.rng.integers(2) : even : 2]])
+            self.levels[level] = full[even:]
+            level += 1 if len(self.levels[level]) < 2 * BUFFER else 0
+
+    def points(self) -> np.ndarray:
+        values = np.concatenate(self.levels)
+        return equal_points(values, np.concatenate([np.full(len(v), 2.0**k) for k, v in enumerate(self.levels)]))
+
+
+def equal_points(values: np.ndarray, weights: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Values at the given shares of the weight, by default at ``POINTS`` even ones (all values if there are fewer)."""
+    if at is None and len(values) <= POINTS and (weights == weights[:1]).all():
+        return np.sort(values)
+    order = np.argsort(values, kind="stable")
+    upto = np.cumsum(weights[order])
+    at = (np.arange(POINTS) + 0.5) / POINTS if at is None else at
+    return values[order][np.minimum(np.searchsorted(upto, at * upto[-1]), len(values) - 1)]
+
+
+def merged_moments(parts: Sequence[Sequence[float]]) -> list[float]:
+    """(n, mean, sums of squared, cubed and fourth differences from it) of parts together (Pébay, 2008)."""
+    n, mean, m2, m3, m4 = 0.0, 0.0, 0.0, 0.0, 0.0
+    for k, other, s2, s3, s4 in parts:
+        if not k:
+            continue
+        both, d = n + k, other - mean
+        d_n = d / both
+        m4 += s4 + d * d_n**3 * n * k * (n * n - n * k + k * k) + 6 * d_n * d_n * (n * n * s2 + k * k * m2) + 4 * d_n * (n * s3 - k * m3)
+        m3 += s3 + d * d_n * d_n * n * k * (n - k) + 3 * d_n * (n * s2 - k * m2)
+        m2 += s2 + d * d_n * n * k
+        mean, n = mean + d_n * k, both
+    return [n, mean, m2, m3, m4]
 
 
 def as_double(c: str) -> Column:
-    return F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None))
-
-
-def first_scan(df: DataFrame, asked: Mapping[str, Sequence[float]], aggregates: Mapping[str, Callable[[Column], Column]]) -> dict[str, dict]:
-    """One scan over all columns: they are unpivoted and grouped by their number, so one small aggregate serves them all."""
-    names = list(asked)
-    points = {c: sketch_points(asked[c]) for c in names}
-    every = sorted({p for c in names for p in points[c]})
-    cells = [e for i, c in enumerate(names) for e in (F.lit(i), as_double(c))]
-    long = df.select(F.stack(F.lit(len(names)), *cells).alias("_c", "_x"))
-    x = F.col("_x")
-    gathered = long.groupBy("_c").agg(*[e.alias(a) for a, e in sketch_aggregates(x).items()], *[f(x).alias(f"a_{a}") for a, f in aggregates.items()])
-    rows = gathered.withColumn("points", read_sketch(every)).drop("sketch").collect()  # a row per column
-    found = {c: {"n": 0, "low": None, "high": None, "minus": 0, "plus": 0, "points": None, "ranks": every, **dict.fromkeys(aggregates)} for c in names}
+    return F.col(f"`{c}`").cast("double")
+
+
+FIRST = "c int, slot int, n long, low double, high double, minus long, plus long, total double, mean double, m2 double, m3 double, m4 double, points array<double>"
+
+
+def _arrays(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    for i, column in enumerate(batch.columns):
+        v = column.to_numpy(zero_copy_only=False)
+        yield i, v[~np.isnan(v)]
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's summary of every column."""
+    seed = TaskContext.get().partitionId() if TaskContext.get() else 0
+    state: dict[int, dict] = {}
+    for batch in batches:
+        for i, v in _arrays(batch):
+            s = state.setdefault(i, {"minus": 0, "plus": 0, "low": math.inf, "high": -math.inf, "total": 0.0, "parts": [], "sketch": Sketch(seed * 1000 + i)})
+            x = v[np.isfinite(v)]
+            s["minus"] += int((v == -math.inf).sum())
+            s["plus"] += int((v == math.inf).sum())
+            if not len(x):
+                continue
+            s["low"], s["high"], s["total"] = min(s["low"], x.min()), max(s["high"], x.max()), s["total"] + float(x.sum())
+            with np.errstate(over="ignore", invalid="ignore"):
+                d = x - x.mean()
+                s["parts"] = [merged_moments([*s["parts"], (len(x), float(x.mean()), float((d * d).sum()), float((d**3).sum()), float((d**4).sum()))])]
+            s["sketch"].add(x)
+    rows = []
+    for i, s in state.items():
+        n, mean, m2, m3, m4 = s["parts"][0] if s["parts"] else (0.0,) * 5
+        points = s["sketch"].points().tolist() if n else []
+        rows.append((i, seed % SLOTS, int(n), s["low"], s["high"], s["minus"], s["plus"], s["total"], mean, m2, m3, m4, points))
+    if rows:
+        yield _first_batch(rows)
+
+
+def _first_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), *[pa.float64()] * 5, pa.list_(pa.float64())]
+    names = [f.split(" ")[0] for f in FIRST.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+
+def _merged(found: pa.Table) -> pa.Table:
+    """The summaries of one column as one."""
+    rows = found.to_pylist()
+    held = [r for r in rows if r["n"]]
+    with np.errstate(over="ignore", invalid="ignore"):
+        n, mean, m2, m3, m4 = merged_moments([(r["n"], r["mean"], r["m2"], r["m3"], r["m4"]) for r in held])
+    points = []
+    if held:
+        values = np.concatenate([r["points"] for r in held])
+        points = equal_points(values, np.concatenate([np.full(len(r["points"]), r["n"] / len(r["points"])) for r in held])).tolist()
+    low, high = min((r["low"] for r in rows), default=math.inf), max((r["high"] for r in rows), default=-math.inf)
+    own = (rows[0]["c"], 0, int(n), low, high, *(sum(r[k] for r in rows) for k in ("minus", "plus")), math.fsum(r["total"] for r in rows) if all(math.isfinite(r["total"]) for r in rows) else sum(r["total"] for r in rows))
+    return pa.Table.from_batches([_first_batch([(*own, mean, m2, m3, m4, points)])])
+
+
+def first_scan(df: DataFrame, names: Sequence[str], asked: Sequence[float]) -> dict[str, dict]:
+    """One scan over all columns: size, ends, infinite values, moments, and values around the quantiles ``asked`` for."""
+    ship_package(df.sparkSession)
+    values = df.select(*[as_double(c).alias(f"v{i}") for i, c in enumerate(names)])
+    tasks = values.mapInArrow(_sketched, FIRST)
+    # the tasks' points are merged in slots, so that no group grows with all tasks
+    rows = tasks.groupBy("c", "slot").applyInArrow(_merged, FIRST).groupBy("c").applyInArrow(_merged, FIRST).collect()
+    ranks = sorted({min(1.0, max(0.0, p + e)) for p in asked for e in (-1.5 * RANK_ERROR, 1.5 * RANK_ERROR)})
+    empty = {"n": 0, "low": None, "high": None, "minus": 0, "plus": 0, "points": None, "ranks": ranks, "moments": _moments(0, None, None, 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0)}
+    found = {c: dict(empty) for c in names}
     for r in rows:
-        own = found[names[r["_c"]]]
-        own.update({k: r[k] for k in ("n", "low", "high", "minus", "plus", "points")}, **{a: r[f"a_{a}"] for a in aggregates})
+        low, high = (r["low"], r["high"]) if r["n"] else (None, None)
+        points = equal_points(np.array(r["points"]), np.ones(len(r["points"])), np.array(ranks)).tolist() if r["n"] else None
+        found[names[r["c"]]] |= {"n": r["n"] + r["minus"] + r["plus"], "low": low, "high": high, "minus": r["minus"], "plus": r["plus"], "points": points,
+                                 "moments": _moments(r["n"], low, high, r["minus"], r["plus"], r["total"], r["mean"], r["m2"], r["m3"], r["m4"])}
     return found
 
 
+def _moments(n, low, high, minus, plus, total, mean, m2, m3, m4) -> dict[str, float | None]:
+    """The statistics of a column from its sums; infinite values make them infinite or undefined."""
+    out: dict[str, float | None] = dict.fromkeys(("min", "max", "mean", "std", "skew", "kurt"))
+    out["sum"] = 0.0
+    if minus or plus:
+        total = math.nan if minus and plus else -math.inf if minus else math.inf
+        whole = n + minus + plus
+        out |= {"min": -math.inf if minus else low if n else math.inf, "max": math.inf if plus else high if n else -math.inf, "mean": total, "sum": total}
+        out |= {"std": math.nan if whole > 1 else None, "skew": math.nan if whole > 2 else None, "kurt": math.nan if whole > 3 else None}
+        return out
+    if not n:
+        return out
+    out |= {"min": low, "max": high, "mean": total / n, "sum": total, "std": math.sqrt(max(m2, 0.0) / (n - 1)) if n > 1 else None}
+    if low == high:
+        return out | {"skew": 0.0 if n > 2 else None, "kurt": 0.0 if n > 3 else None}
+    variance = m2 / n
+    if n > 2:
+        out["skew"] = m3 / n / variance**1.5 * math.sqrt(n * (n - 1)) / (n - 2)
+    if n > 3:
+        out["kurt"] = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / n / variance**2 - 3) + 6)
+    return out
+
+
+CELLS = "c int, zone int, cell double, n long, low double, high double"
+
+
 def _count(df: DataFrame, segments: Mapping[str, list[_Segment]], bins: int) -> dict[str, pd.DataFrame]:
     """One scan: per column, the cells (n, low, high) in order of value that together hold all finite values."""
     names = list(segments)
-    cells = []
-    for number, c in enumerate(names):
-        x = f"v{number}"
-        zones, parts = [], []
-        for i, g in enumerate(segments[c]):
-            low, high = _sql(g.low), _sql(g.high)
-            zones += [f"WHEN {x} < {low} THEN {2 * i}", f"WHEN {x} <= {high} THEN {2 * i + 1}"]
-            if g.low == g.high:
-                cell = "0D"
-            elif g.inside <= bins:
-                cell = x
-            else:
-                # Halved, so that the width of a segment over the whole double range stays finite.
-                width = g.high / 2 - g.low / 2
-                many = bins * 4 if g.inside <= 8 * bins else bins
-                cell = f"floor(({x} / 2 - {_sql(g.low / 2)}) / {_sql(width)} * {many}) * 1D"
-            parts.append(f"WHEN {x} BETWEEN {low} AND {high} THEN {cell}")
-        zone = f"CASE {' '.join(zones)} ELSE {2 * len(segments[c])} END"
-        cells.append(f"{number}, {zone}, CASE {' '.join(parts)} ELSE 0D END, {x}")
+    ship_package(df.sparkSession)
+    cuts = []
+    for c in names:
+        own = segments[c]
+        # 0: the segment is one value or counted value by value
+        many = [0 if g.low == g.high or g.inside <= bins else bins * 4 if g.inside <= 8 * bins else bins for g in own]
+        cuts.append((np.array([g.low for g in own]), np.array([g.high for g in own]), np.array(many, dtype=float)))
     values = df.select(*[as_double(c).alias(f"v{i}") for i, c in enumerate(names)])
-    found = (
-        values.selectExpr(f"stack({len(names)}, {', '.join(cells)}) AS (c, zone, cell, x)")
-        .filter("abs(x) < double('infinity')")
-        .groupBy("c", "zone", "cell")
-        .agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
-        .select("c", "n", "low", "high")
-        .toPandas()  # at most the bins of every segment
-        .sort_values(["c", "low"])
-    )
+    cells = values.mapInArrow(_counter(cuts), CELLS).groupBy("c", "zone", "cell")
+    cells = cells.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    found = cells.select("c", "n", "low", "high").toPandas().sort_values(["c", "low"])  # at most the bins of every segment
     return {c: found[found["c"] == i] for i, c in enumerate(names)}
 
 
-def _sql(x: float) -> str:
-    return f"CAST('{x!r}' AS DOUBLE)"
+def _counter(cuts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    def folded(zone: np.ndarray, x: np.ndarray, n: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np.ndarray, many: np.ndarray):
+        """Rows of equal (zone, cell) as one: zone, cell, n, low, high."""
+        at = zone // 2
+        inner = zone % 2 == 1
+        seg = np.minimum(at, max(0, len(lows) - 1))
+        # halved, so that the width of a segment over the whole double range stays finite
+        width = np.where(highs[seg] > lows[seg], highs[seg] / 2 - lows[seg] / 2, 1.0)
+        cell = np.where(inner, np.where(many[seg] > 0, np.floor((x / 2 - lows[seg] / 2) / width * many[seg]), x), 0.0) + 0.0
+        order = np.lexsort((cell, zone))
+        zone, cell, x, n, high = zone[order], cell[order], x[order], n[order], high[order]
+        first = np.flatnonzero(np.r_[True, (np.diff(zone) != 0) | (np.diff(cell) != 0)])
+        return zone[first], cell[first], np.add.reduceat(n, first), np.minimum.reduceat(x, first), np.maximum.reduceat(high, first)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for i, v in _arrays(batch):
+                lows, highs, many = cuts[i]
+                x = v[np.isfinite(v)]
+                if not len(x):
+                    continue
+                at = np.searchsorted(highs, x, side="left")
+                seg = np.minimum(at, len(highs) - 1)
+                zone = 2 * at + ((at < len(highs)) & (x >= lows[seg]))
+                zone, cell, n, low, high = folded(zone, x, np.ones(len(x), dtype=np.int64), x, lows, highs, many)
+                held.setdefault(i, []).append((zone, low, n, high))
+                if sum(len(h[0]) for h in held[i]) > 1 << 18:
+                    held[i] = [_joined(held[i], folded, cuts[i])]
+        for i, parts in held.items():
+            zone, low, n, high = _joined(parts, folded, cuts[i])
+            lows, highs, many = cuts[i]
+            zone, cell, n, low, high = folded(zone, low, n, high, lows, highs, many)
+            arrays = [pa.array(np.full(len(n), i, np.int32)), pa.array(zone.astype(np.int32)), pa.array(cell), pa.array(n), pa.array(low), pa.array(high)]
+            yield pa.RecordBatch.from_arrays(arrays, ["c", "zone", "cell", "n", "low", "high"])
+
+    return count
+
+
+def _joined(parts: list[tuple], folded, cut) -> tuple:
+    zone, low, n, high = (np.concatenate(p) for p in zip(*parts))
+    zone, _, n, low, high = folded(zone, low, n, high, *cut)
+    return zone, low, n, high
 
 
 def grouped_quantiles(

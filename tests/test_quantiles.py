@@ -105,7 +105,8 @@ def test_a_profile_takes_two_scans(spark, scans):
 @pytest.mark.parametrize("error", [1e-9, 0.02, 0.3])
 def test_a_wrong_sketch_costs_scans_only(spark, scans, monkeypatch, error):
     """Bounds far too tight or wide, few bins: the results stay, and every scan narrows the search."""
-    monkeypatch.setattr(quantiles, "SKETCH", 8)
+    monkeypatch.setattr(quantiles, "BUFFER", 8)
+    monkeypatch.setattr(quantiles, "POINTS", 16)
     monkeypatch.setattr(quantiles, "RANK_ERROR", error)
     r = np.random.default_rng(4)
     pdf = pd.DataFrame({c: f(r, 3000) for c, f in COLUMNS.items()})
