@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import normalize_nan
-from ..operators import dashboard, distributions, profile, roles
+from ..operators import charts, computed, dashboard, distributions, profile, roles
 from ..operators.charts import value_counts
 from ..operators.segments import cluster_means
 from ..plans.sampling import sample_rows
@@ -424,6 +424,27 @@ def _(t):
     return rounded(distributions.histogram(_infinite(t), "value", 10), 6, "low", "high")
 
 
+@query(
+    "bin_equal_width_infinite",
+    f"""WITH {INFINITE}, b AS (SELECT min(value) AS a, max(value) AS z FROM e WHERE isfinite(value)),
+    g AS (SELECT [a - (z - a) * 0.001] || list_transform(range(1, 6), lambda i: i * ((z - a) / 6) + a) || [z] AS edges FROM b)
+    SELECT CASE WHEN isfinite(value) THEN len(list_filter(edges, lambda e: e < value)) - 1 END::BIGINT AS bin, count(*) AS count FROM e, g GROUP BY 1""",
+)
+def _(t):
+    return computed.bin_equal_width(_infinite(t), "value", 6, "bin").groupBy("bin").agg(F.count("*").alias("count"))
+
+
+@query(
+    "histogram2d_infinite",
+    f"""WITH {INFINITE}, f AS (SELECT value, value * value AS square FROM e WHERE isfinite(value)),
+    b AS (SELECT min(value) AS a, max(value) AS z, min(square) AS c, max(square) AS d FROM f)
+    SELECT least(9, floor((value - a) / (z - a) * 10))::BIGINT AS x_bin, least(9, floor((square - c) / (d - c) * 10))::BIGINT AS y_bin, count(*) AS count FROM f, b GROUP BY 1, 2""",
+)
+def _(t):
+    squared = _infinite(t).withColumn("square", F.when(F.abs("value") < float("inf"), F.col("value") * F.col("value")))
+    return charts.histogram2d(squared, "value", "square", 10, 10)
+
+
 @query(
     "qq_plot",
     f"""SELECT unnest(range(99))::BIGINT AS point,

@@ -263,7 +263,7 @@ ANOMALY_FEATURES = ["o_totalprice", "o_custkey"]
 def _scored(t):
     """orders with prices fifteen times too high on one day of each month."""
     spiked = t.orders.withColumn("o_totalprice", F.expr("CASE WHEN day(o_orderdate) = 13 THEN o_totalprice * 15 ELSE o_totalprice END"))
-    return forest.isolation_forest(spiked, ["o_orderkey"], ANOMALY_FEATURES)
+    return forest.isolation_forest(spiked, ["o_orderkey"], ANOMALY_FEATURES, keep=["o_orderkey", *ANOMALY_FEATURES])
 
 
 @query("isolation_forest")

@@ -259,7 +259,7 @@ def alert_ml_anomaly(df, id_cols: Sequence[str]) -> DataFrame:
     empty = s.df.sparkSession.createDataFrame([], "flagged long, total long")
     found = empty
     if len(feats) >= 2 and s.df.dropna(subset=feats).limit(FOREST_MIN_ROWS).count() >= FOREST_MIN_ROWS:
-        scored = isolation_forest(s.df, id_cols, feats, FOREST_TREES, FOREST_CONTAMINATION)
+        scored = isolation_forest(s.df, id_cols, feats, FOREST_TREES, FOREST_CONTAMINATION, keep=())
         found = scored.agg(F.count_if("is_anomaly").alias("flagged"), F.count("*").alias("total"))
     hit = found.filter("flagged > 0").withColumn("pct", F.col("flagged") * 100.0 / F.col("total"))
     return _alert(

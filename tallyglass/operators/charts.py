@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -137,8 +138,9 @@ def stacked_area(df: DataFrame, date: str, cat: str, val: str, freq: str = "M",
 
 
 def histogram2d(df: DataFrame, x: str, y: str, x_bins: int = 30, y_bins: int = 30) -> DataFrame:
-    """Non-empty cells of an equal-width grid; :func:`marginals` sums them over either axis."""
-    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    """Non-empty cells of an equal-width grid over the rows finite in both; :func:`marginals` sums them over either axis."""
+    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    rows = rows.filter((F.abs("x") < math.inf) & (F.abs("y") < math.inf))
     box = rows.agg(F.struct(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")))
     cells = with_summary(rows, "_b", box).select(
         equal_width_bin(F.col("x"), F.col("_b.x0"), F.col("_b.x1"), x_bins).alias("x_bin"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,9 +22,13 @@ def formula(df: DataFrame, name: str, expression: str) -> DataFrame:
 
 
 def bin_equal_width(df: DataFrame, col: str, n: int, name: str | None = None) -> DataFrame:
-    """Right-closed bins 0..n-1 of equal width; the first edge is lowered by a thousandth of the range."""
+    """Right-closed bins 0..n-1 of equal width between the finite values, the first edge lowered by a thousandth of the range.
+
+    Missing and infinite values are in no bin.
+    """
     x = F.col(col).cast("double")
-    low, high = (F.lit(v).cast("double") for v in df.agg(F.min(x), F.max(x)).first())
+    finite = F.when(F.abs(x) < math.inf, x)
+    low, high = (F.lit(v).cast("double") for v in df.agg(F.min(finite), F.max(finite)).first())
     flat = low == high
     # Widening of the outer edges, relative to the range or to a constant's size.
     pad = F.when(low == 0, F.lit(0.001)).otherwise(F.abs(low) * 0.001)
@@ -31,7 +36,7 @@ def bin_equal_width(df: DataFrame, col: str, n: int, name: str | None = None) ->
     step = (stop - start) / n
     first = F.when(flat, start).otherwise(low - (high - low) * 0.001)
     edges = [first, *[F.lit(float(i)) * step + start for i in range(1, n)], stop]
-    return df.withColumn(name or f"{col}_bin", right_closed_bin(x, edges))
+    return df.withColumn(name or f"{col}_bin", right_closed_bin(finite, edges))
 
 
 def quantile_edges(df: DataFrame, col: str, probabilities: Sequence[float]) -> list[float]:

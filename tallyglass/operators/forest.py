@@ -131,11 +131,12 @@ def isolation_forest(
     contamination: float = CONTAMINATION,
     seed: int = SEED,
     sample: int = SAMPLE,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Complete rows with ``anomaly_score`` (lower is stranger, below 0 is flagged) and ``is_anomaly``.
 
-    The scores alone are checkpointed to find the flagging limit, which reads them several times; the rows are scored
-    again where the result is used.
+    Every row is scored once. The scores are checkpointed with the columns of ``keep`` (all by default), since the search for
+    the flagging limit and the result both read them.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -154,11 +155,16 @@ def isolation_forest(
         return pd.Series(-np.exp2(-lengths / depth))
 
     ensure_checkpoint_dir(spark)
-    scores = score(F.struct(*z)).alias("_s")
-    limit = exact_quantiles(rows.select(scores).checkpoint(), {"_s": [contamination]})["_s"][0]
+    kept = list(df.columns if keep is None else dict.fromkeys(keep))
+    # tables in fewer files than there are cores are dealt anew, as scoring is much dearer than moving their rows
+    cores = spark.sparkContext.defaultParallelism
+    narrow = rows.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`") for c in z])
+    spread = narrow.repartition(cores) if df.rdd.getNumPartitions() < cores else narrow
+    scored = spread.select(*[F.col(f"`{c}`") for c in kept], score(F.struct(*z)).alias("_s")).checkpoint()
+    limit = exact_quantiles(scored, {"_s": [contamination]})["_s"][0]
     offset = F.lit(limit).cast("double")
-    return rows.select(*df.columns, scores).select(
-        *df.columns, (F.col("_s") - offset).alias("anomaly_score"), (F.col("_s") - offset < 0).alias("is_anomaly")
+    return scored.select(
+        *[F.col(f"`{c}`") for c in kept], (F.col("_s") - offset).alias("anomaly_score"), (F.col("_s") - offset < 0).alias("is_anomaly")
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,17 +68,23 @@ def _family(kind: T.DataType) -> str:
     return "STRING"
 
 
+def row_hashes(df: DataFrame) -> list[Column]:
+    """Four hashes of 64 bits that stand for a whole row. A hash passes over nulls, so which columns are null is hashed too."""
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    masks = []
+    for first in range(0, len(cols), 62):
+        bits = [F.when(c.isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(cols[first : first + 62])]
+        masks.append(reduce(lambda a, b: a + b, bits))
+    return [F.xxhash64(F.lit(seed), *cols, *masks).alias(f"_h{seed}") for seed in range(4)]
+
+
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row (nulls equal).
 
-    Two hashes of the row stand for it in the first count. Whole rows are grouped only where hashes repeat.
+    Only hashes are shuffled, once: rows are equal where four of them, 256 bits, agree.
     """
-    cols = [F.col(f"`{c}`") for c in df.columns]
-    hashed = df.withColumns({"_h1": F.xxhash64(*cols), "_h2": F.xxhash64(F.lit(1), *cols)})
-    sizes = hashed.groupBy("_h1", "_h2").agg(F.count("*").alias("_n"))
-    repeated = hashed.join(sizes.filter("_n > 1").drop("_n"), ["_h1", "_h2"], "left_semi")
-    surplus = repeated.groupBy(*cols).agg((F.count("*") - 1).alias("_n")).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("duplicates"))
-    totals = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).withColumn("duplicates", surplus.scalar())
+    sizes = df.select(*row_hashes(df)).groupBy("_h0", "_h1", "_h2", "_h3").agg(F.count("*").alias("_n"))
+    totals = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
     return totals.select("rows", "duplicates", percent_of(F.col("duplicates"), F.col("rows")).alias("duplicate_pct"))
 
 
