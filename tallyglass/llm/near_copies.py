@@ -163,7 +163,11 @@ def bags_of(wanted: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("wanted"), *columns], ["node", "h", "w"])
 
     wanted = materialize(wanted.join(nodes.select("node", "id"), "node"), "wanted").withColumnsRenamed({"id": "of", "node": "wanted"})
-    texts = likely(rows, "id", wanted, "of").join(wanted, F.col("id").eqNullSafe(F.col("of"))).filter(node_of(F.col("text")) == F.col("wanted"))
+    # id and text hash together, so that null or repeated ids join each text with itself only
+    keyed = rows.withColumn("own", node_of(F.col("text"))).withColumn("key", F.xxhash64("id", "own"))
+    texts = likely(keyed, "key", wanted.withColumn("key", F.xxhash64("of", "wanted")), "key")
+    texts = texts.groupBy("id", "own").agg(F.min("text").alias("text"))
+    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("of")) & (F.col("own") == F.col("wanted")))
     found = in_workers(texts.select("wanted", "text"), bags, "node binary, h binary, w binary")
     return materialize(found.dropDuplicates(["node"]), "bags")
 

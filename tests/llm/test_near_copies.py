@@ -157,3 +157,25 @@ def test_components(spark):
         root[max(x, y)] = min(x, y)
     want = {x: find(x) for a, b in links for x in (a, b) if a != b and x != find(x)}
     assert {r.id: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()} == want
+
+
+@pytest.mark.parametrize("ids", ["distinct", "null", "same"])
+def test_null_and_repeated_ids_stay_linear(spark, monkeypatch, ids):
+    """Every text that is compared is read once, whatever the ids."""
+    read = []
+    plain = nc.in_workers
+
+    def counted(df, fn, schema):
+        if schema.startswith("node binary, h binary"):
+            read.append(df.count())
+        return plain(df, fn, schema)
+
+    monkeypatch.setattr(nc, "in_workers", counted)
+    words = [f"word{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        text = " ".join([*words, f"tail{i % 60}"])
+        rows.append(({"distinct": i, "null": None, "same": 5}[ids], text))
+    out = nc.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 120 and len({r.class_id for r in out}) == 1
+    assert 0 < sum(read) <= 3 * 60
