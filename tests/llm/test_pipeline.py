@@ -91,3 +91,10 @@ def test_nulls_and_odd_rows_pass_through(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs, empty = (materialize(stage(spark, d, SMALL), "odd") for d in (docs, empty))
         assert empty.count() == 0
+
+
+def test_mixing_leaves_columns_of_its_own_names_alone(spark):
+    docs = spark.createDataFrame([(i, "x", "s", 77, "k") for i in range(20)], "doc_id long, text string, source string, copy_no int, shuffle_key string")
+    out = corpus_pipeline.mix_sources(spark, docs, SMALL)
+    assert out.columns == docs.columns
+    assert {(r.copy_no, r.shuffle_key) for r in out.collect()} == {(77, "k")}
