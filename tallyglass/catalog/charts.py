@@ -112,6 +112,19 @@ def _(t):
     return rounded(charts.value_matrix(t.part, "p_brand", "p_type", "p_retailprice", "mean", wide=False), 4, "value")
 
 
+@query(
+    "value_matrix_map",
+    """WITH c AS (SELECT o_orderstatus, o_custkey, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2)
+    SELECT o_orderstatus, count(*) AS cells, min(o_custkey) AS first_key, max(o_custkey) AS last_key, round(sum(v), 2) AS total FROM c GROUP BY 1""",
+)
+def _(t):
+    """A column per customer would be too many for a pivot."""
+    found = charts.value_map(t.orders, "o_orderstatus", "o_custkey", "o_totalprice")
+    keys = F.map_keys("cells")
+    total = F.aggregate(F.map_values("cells"), F.lit(0.0), lambda a, v: a + v)
+    return found.select("o_orderstatus", F.size("cells").cast("long").alias("cells"), keys[0].alias("first_key"), F.element_at(keys, -1).alias("last_key"), F.round(total, 2).alias("total"))
+
+
 DAILY = """d AS (SELECT CAST(ts AS DATE) AS period, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close FROM events GROUP BY 1)"""
 
 

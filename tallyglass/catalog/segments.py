@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import segments
+from pyspark.sql import functions as F
+
+from ..operators import segments, vectors
 from .base import ORDERS_GAPS, query, rounded
 
 FEATURES = ["p_size", "p_retailprice", "p_partkey"]
@@ -38,6 +40,70 @@ def _(t):
     return segments.pca_variance(t.lineitem_gaps, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 3)
 
 
+# Three groups far apart, of a half, a third and a sixth of the rows: k-means must find them, the largest being cluster 0.
+GROUP = "CASE WHEN p_partkey % 6 < 3 THEN 0 WHEN p_partkey % 6 < 5 THEN 1 ELSE 2 END"
+PLANTED_FEATURES = ["a", "b"]
+
+
+def _planted(t):
+    group = F.expr(GROUP)
+    return t.part.select("p_partkey", (group * 1000 + F.col("p_size")).cast("double").alias("a"), ((group % 2) * 1000 + F.col("p_size") % 7).cast("double").alias("b"))
+
+
+@query("kmeans_planted", f"SELECT p_partkey, CAST({GROUP} AS BIGINT) AS cluster FROM part")
+def _(t):
+    return segments.kmeans(_planted(t), PLANTED_FEATURES, 3).select("p_partkey", "cluster")
+
+
+@query("cluster_sizes_planted", f"SELECT CAST({GROUP} AS BIGINT) AS cluster, count(*) AS count FROM part GROUP BY 1")
+def _(t):
+    return segments.cluster_sizes(segments.kmeans(_planted(t), PLANTED_FEATURES, 3))
+
+
+@query(
+    "cluster_means_planted",
+    f"SELECT CAST({GROUP} AS BIGINT) AS cluster, round(avg(({GROUP}) * 1000 + p_size), 2) AS a, round(avg((({GROUP}) % 2) * 1000 + p_size % 7), 2) AS b FROM part GROUP BY 1",
+)
+def _(t):
+    return segments.cluster_means(segments.kmeans(_planted(t), PLANTED_FEATURES, 3), PLANTED_FEATURES)
+
+
+@query("semantic_clusters_planted", f"SELECT p_partkey, CAST({GROUP} AS BIGINT) AS cluster FROM part")
+def _(t):
+    rows = _planted(t).select("p_partkey", F.array("a", "b").alias("v"))
+    return vectors.semantic_clusters(rows, "v", 3).select("p_partkey", "cluster")
+
+
+# Two standardised columns with correlation r have the axes (1, 1) and (1, -1) over the root of 2, and variances 1 + r and 1 - r.
+TWO = """x AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity AS u, l_extendedprice + 2000 * l_quantity AS v FROM lineitem),
+z AS (SELECT *, (u - avg(u) OVER ()) / stddev_pop(u) OVER () AS zu, (v - avg(v) OVER ()) / stddev_pop(v) OVER () AS zv FROM x)"""
+KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+
+
+def _two(t):
+    return t.lineitem.select(*KEYS, F.col("l_quantity").alias("u"), (F.col("l_extendedprice") + 2000 * F.col("l_quantity")).alias("v"))
+
+
+@query("pca_project_two", f"WITH {TWO} SELECT {', '.join(KEYS)}, round((zu + zv) / sqrt(2), 4) + 0 AS pc1, round(abs(zu - zv) / sqrt(2), 4) AS pc2 FROM z")
+def _(t):
+    found = segments.pca_project(_two(t), ["u", "v"], 2, population=True)
+    return found.select(*KEYS, (F.round("pc1", 4) + 0).alias("pc1"), F.round(F.abs("pc2"), 4).alias("pc2"))
+
+
+@query(
+    "pca_variance_two",
+    f"""WITH {TWO}, r AS (SELECT corr(u, v) AS r FROM x) SELECT 1::BIGINT AS component, round(50 * (1 + r), 4) AS variance_pct, round(50 * (1 + r), 4) AS cumulative_pct FROM r
+    UNION ALL SELECT 2, round(50 * (1 - r), 4), 100.0 FROM r""",
+)
+def _(t):
+    return rounded(segments.pca_variance(_two(t), ["u", "v"], 2), 4, "variance_pct", "cumulative_pct")
+
+
+@query("numeric_projection_two", f"WITH {TWO} SELECT {', '.join(KEYS)}, round((zu + zv) / sqrt(2), 4) + 0 AS pc1 FROM z")
+def _(t):
+    return vectors.numeric_projection(_two(t), ["u", "v"], 1, population=True).select(*KEYS, (F.round("pc1", 4) + 0).alias("pc1"))
+
+
 @query("top_n", f"WITH {ORDERS_GAPS} SELECT * FROM o WHERE o_totalprice IS NOT NULL ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 def _(t):
     return segments.top_n(t.orders_gaps, "o_totalprice", 25, ["o_orderkey"])

@@ -124,13 +124,31 @@ def sankey(df: DataFrame, source: str, target: str, value: str, n: int = 30) ->
 def value_matrix(
     df: DataFrame, rows: str, cols: str, val: str, agg: str = "sum", values: Sequence | None = None, wide: bool = True
 ) -> DataFrame:
-    """``rows`` x ``cols`` table of an aggregate, missing combinations 0. ``wide=False`` gives the observed cells."""
+    """``rows`` x ``cols`` table of an aggregate, missing combinations 0. ``wide=False`` gives the observed cells.
+
+    The wide form has a column per value of ``cols``, for which Spark allows 10,000; :func:`value_map` has no such limit.
+    """
     known = df.dropna(subset=[rows, cols])
     if not wide:
         return known.groupBy(rows, cols).agg(aggregate(val, agg).alias("value"))
     return known.groupBy(rows).pivot(cols, values).agg(aggregate(val, agg)).fillna(0)
 
 
+def value_map(df: DataFrame, rows: str, cols: str, val: str, agg: str = "sum") -> DataFrame:
+    """The wide table with a map instead of columns: per value of ``rows`` its observed ``cols``, in order, with their aggregates."""
+    cells = value_matrix(df, rows, cols, val, agg, wide=False)
+    return as_map(cells, rows, cols, "value")
+
+
+def as_map(cells: DataFrame, rows: str, cols: str, value: str) -> DataFrame:
+    """Cells (rows, cols, value), each once, as a row with the map ``cells`` per value of ``rows``.
+
+    A map is as large as ``cols`` has values, however many input rows there are.
+    """
+    entries = F.array_sort(F.collect_list(F.struct(F.col(cols).alias("k"), F.col(value).alias("v"))))
+    return cells.groupBy(rows).agg(F.map_from_entries(entries).alias("cells"))
+
+
 def stacked_area(df: DataFrame, date: str, cat: str, val: str, freq: str = "M", n: int = 8) -> DataFrame:
     """Sum per period and category for the ``n`` most frequent categories, observed combinations only."""
     rows = frequent_only(df, cat, n).filter(F.col(date).isNotNull())

@@ -129,7 +129,9 @@ def kde(
 
 
 def qq_plot(df: DataFrame, col: str, m: int = 99) -> DataFrame:
-    """``m`` observed quantiles of all rows between 1 % and 99 % against a normal with the same mean and spread."""
+    """``m`` observed quantiles (at most 10,000) of all rows between 1 % and 99 % against a normal with the same mean and spread."""
+    if not 2 <= m <= 10_000:
+        raise ValueError("m must be between 2 and 10,000")
     probabilities = [0.01 + 0.98 * i / (m - 1) for i in range(m)]
     observed = exact_quantiles(df, {col: probabilities})[col]
     points = [(i, p, normal_ppf(p), o) for i, (p, o) in enumerate(zip(probabilities, observed))]

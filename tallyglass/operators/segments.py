@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,13 +22,17 @@ RESTARTS = 10
 PARALLEL_FITS = 5
 
 
-def feature_vectors(df: DataFrame, feats: Sequence[str], scaled: bool = True, out: str = "_features") -> DataFrame:
-    """Complete rows with their features as a vector, centred and (by default) of unit variance."""
-    feats = list(feats)
-    complete = df.dropna(subset=feats)
-    raw = VectorAssembler(inputCols=feats, outputCol="_raw").transform(complete)
-    scaler = StandardScaler(inputCol="_raw", outputCol=out, withMean=True, withStd=scaled)
-    return scaler.fit(raw).transform(raw).drop("_raw")
+def feature_vectors(df: DataFrame, feats: Sequence[str], scaled: bool = True, out: str = "_features", population: bool = False) -> DataFrame:
+    """Complete rows with their features as a vector, centred and (by default) of unit variance, that of a sample or of the
+    population; constants become 0."""
+    x = {f: F.col(f"`{f}`").cast("double") for f in feats}
+    complete = df.dropna(subset=list(feats))
+    found = complete.agg(*[e for f in feats for e in (F.avg(x[f]), F.stddev_pop(x[f]) if population else F.stddev_samp(x[f]))]).first()
+    parts = []
+    for i, f in enumerate(feats):
+        mean, spread = found[2 * i] or 0.0, found[2 * i + 1] or 0.0
+        parts.append((x[f] - F.lit(float(mean))) / F.lit(float(spread) if scaled and spread > 0 else 1.0))
+    return complete.withColumn(out, array_to_vector(F.array(*parts)))
 
 
 def best_kmeans(
@@ -95,9 +99,9 @@ def project(vectors: DataFrame, col: str, n: int) -> DataFrame:
     return points.withColumns({f"pc{i + 1}": axes[i] * signs[i] for i in range(n)}).drop("_pca")
 
 
-def pca_project(df: DataFrame, feats: Sequence[str], n: int = 2) -> DataFrame:
-    """Complete rows with their first ``n`` principal components of the standardised features."""
-    return project(feature_vectors(df, feats), "_features", n).drop("_features")
+def pca_project(df: DataFrame, feats: Sequence[str], n: int = 2, population: bool = False) -> DataFrame:
+    """Complete rows with their first ``n`` principal components of the features, standardised as in :func:`feature_vectors`."""
+    return project(feature_vectors(df, feats, population=population), "_features", n).drop("_features")
 
 
 def pca_variance(df: DataFrame, feats: Sequence[str], n: int = 2) -> DataFrame:
@@ -128,7 +132,10 @@ def bottom_n(df: DataFrame, col: str, n: int, id_cols: Sequence[str] = ()) -> Da
 def cohort(
     df: DataFrame, date: str, cat: str, val: str, period: str = "M", wide: bool = True, periods: Sequence[str] | None = None
 ) -> DataFrame:
-    """Sums by category and calendar period; wide form has a column per period, in order, 0 where empty."""
+    """Sums by category and calendar period; wide form has a column per period, in order, 0 where empty, at most 10,000 of them.
+
+    For any number of periods, ``charts.as_map(cohort(..., wide=False), cat, "period", "total")`` has a map per category.
+    """
     rows = df.select(date, cat, val).dropna()
     sums = rows.groupBy(F.col(cat), period_name(F.col(date), period).alias("period")).agg(F.sum(val).alias("total"))
     if not wide:

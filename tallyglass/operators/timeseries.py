@@ -39,6 +39,16 @@ def resample(df: DataFrame, date: str, cols: Sequence[str], freq: str, agg: str
     return filled.orderBy("period")
 
 
+#: Periods a series may have. Its windows run in one task, which suits one row per period but not raw rows.
+MOST_PERIODS = 1_000_000
+
+
+def one_row_per_period(series: DataFrame, date: str) -> DataFrame:
+    if series.select(date).limit(MOST_PERIODS + 1).count() > MOST_PERIODS:
+        raise ValueError(f"a series has at most {MOST_PERIODS} periods; resample first, or use rolling_column for rows")
+    return series
+
+
 def rolling_average(series: DataFrame, cols: Sequence[str], windows: Sequence[int] = (3, 7), date: str = "period") -> DataFrame:
     """Trailing means over periods, null until the window is full. ``series`` is one row per period."""
     out = {}
@@ -46,14 +56,14 @@ def rolling_average(series: DataFrame, cols: Sequence[str], windows: Sequence[in
         for size in windows:
             w = Window.orderBy(date).rowsBetween(1 - size, 0)
             out[f"{c}_{size}_period"] = F.when(F.count(c).over(w) == size, F.avg(c).over(w))
-    return series.withColumns(out)
+    return one_row_per_period(series, date).withColumns(out)
 
 
 def pct_change(series: DataFrame, col: str, periods: int = 1, date: str = "period") -> DataFrame:
     """Change in percent against ``periods`` rows earlier; 12 on a monthly series is year over year."""
     before = F.lag(col, periods).over(Window.orderBy(date))
     change = (F.try_divide(F.col(col).cast("double"), before.cast("double")) - 1) * 100
-    return series.withColumn(f"{col}_pct_change", F.round(change, 1))
+    return one_row_per_period(series, date).withColumn(f"{col}_pct_change", F.round(change, 1))
 
 
 def ohlc(df: DataFrame, ts: str, value: str, freq: str, id_cols: Sequence[str] = ()) -> DataFrame:

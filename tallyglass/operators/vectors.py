@@ -272,8 +272,8 @@ def match_profile(
     return both.selectExpr("rank", f"`{id_col}`", f"stack({len(feats)}, {pairs}) AS (feature, value)")
 
 
-def numeric_projection(df: DataFrame, feats: Sequence[str], n: int = 2) -> DataFrame:
-    return pca_project(df, feats, n)
+def numeric_projection(df: DataFrame, feats: Sequence[str], n: int = 2, population: bool = False) -> DataFrame:
+    return pca_project(df, feats, n, population)
 
 
 def similarity_matrix(

@@ -11,8 +11,19 @@ from pyspark.sql import functions as F
 from ..operators.timeseries import aggregate
 
 
-def export(df: DataFrame, path: str, fmt: str = "csv", cols: Sequence[str] | None = None, mode: str = "overwrite") -> str:
-    writer = (df.select(*cols) if cols else df).write.mode(mode)
+#: Rows of a file at most.
+ROWS_PER_FILE = 5_000_000
+
+
+def export(
+    df: DataFrame, path: str, fmt: str = "csv", cols: Sequence[str] | None = None, mode: str = "overwrite",
+    rows_per_file: int = ROWS_PER_FILE, even: bool = False,
+) -> str:
+    """Write the rows, or the columns named. ``even`` deals them anew first, so that skewed or tiny partitions give files of
+    about the advisory partition size (a shuffle); no file has more than ``rows_per_file`` rows either way.
+    """
+    rows = df.select(*cols) if cols else df
+    writer = (rows.hint("rebalance") if even else rows).write.mode(mode).option("maxRecordsPerFile", rows_per_file)
     if fmt == "csv":
         writer = writer.option("header", True)
     writer.format(fmt).save(path)

@@ -210,3 +210,33 @@ def test_dashboard_without_much_data(spark):
     df = spark.createDataFrame([("a", "u", 1.0, dt.date(2024, 1, 1)), ("b", "u", 2.0, dt.date(2024, 1, 2))], "g string, h string, x double, d date")
     assert {r.label for r in dashboard.auto_top_categories(df).collect()} == {"a", "b"}
     assert dashboard.auto_trend(df, None).columns == ["d", "x"] and dashboard.auto_trend(df).first().x == 3.0
+
+
+def test_wide_maps_beyond_the_pivot_limit(spark):
+    df = spark.range(20_000).selectExpr("id % 2 AS r", "id AS c", "CAST(1 AS DOUBLE) AS v")
+    found = charts.value_map(df, "r", "c", "v").selectExpr("r", "size(cells) AS n", "cells[4] AS four").collect()
+    assert {(x.r, x.n, x.four) for x in found} == {(0, 10_000, 1.0), (1, 10_000, None)}
+
+
+def test_skewed_exports_give_even_files(spark, tmp_path):
+    rows = spark.range(200_000).selectExpr("id", "rand(1) AS x")
+    skewed = rows.filter("id < 180000").coalesce(1).union(rows.filter("id >= 180000").coalesce(1))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "512k")
+    try:
+        exports.export(skewed, f"{tmp_path}/even", "parquet", even=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    sizes = [r["count"] for r in spark.read.parquet(f"{tmp_path}/even").groupBy(F.input_file_name().alias("f")).count().collect()]
+    assert sum(sizes) == 200_000 and len(sizes) > 3 and max(sizes) < 3 * sum(sizes) / len(sizes)
+    exports.export(skewed, f"{tmp_path}/cut", "parquet", rows_per_file=50_000)
+    cut = [r["count"] for r in spark.read.parquet(f"{tmp_path}/cut").groupBy(F.input_file_name().alias("f")).count().collect()]
+    assert max(cut) <= 50_000
+
+
+def test_series_are_checked(spark, monkeypatch):
+    monkeypatch.setattr(timeseries, "MOST_PERIODS", 50)
+    series = spark.range(60).selectExpr("date_add(DATE'2020-01-01', CAST(id AS INT)) AS period", "id AS x")
+    for call in (lambda: timeseries.rolling_average(series, ["x"]), lambda: timeseries.pct_change(series, "x")):
+        with pytest.raises(ValueError):
+            call()
+    assert timeseries.pct_change(series.limit(50), "x").count() == 50
