@@ -27,6 +27,8 @@ DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Bytes of decompressed archive a task holds before it yields its records.
 BATCH_BYTES = 8 << 20
+#: Captures in a file at most, and bytes of payloads it is meant to hold, since reading takes a whole file into a task.
+MOST_CAPTURES, FILE_BYTES = 10_000, 64 << 20
 FIELDS = "record_id kind concurrent_to refers_to uri date stored_digest payload_bytes payload_digest capture_id".split()
 
 
@@ -59,14 +61,16 @@ def write_captures(
     payload_col: str = "html",
     date: str = "2000-01-01T00:00:00Z",
     min_revisit_bytes: int = 0,
-    records_per_file: int = 10_000,
+    records_per_file: int | None = None,
 ) -> None:
     """Write every row as a capture of three records into gzip archives below ``folder``.
 
     Among captures with equal payloads of at least ``min_revisit_bytes`` the one with the largest id is a response and
     the others are revisits that refer to it and hold no payload. A null payload is an empty one, a null URL leaves its
     header out (line breaks in a URL are percent-encoded), a null id ranks below all others. Rows that agree in id, URL
-    and payload have the same record identifiers and so are one capture. Other columns are ignored.
+    and payload are written as often as they occur, under the same record identifiers. Other columns are ignored.
+
+    Without ``records_per_file`` the mean size of the payloads decides how many captures go to a file.
     """
     caps = pick(pages, id=id_col, url=url_col, payload=payload_col).select(
         F.col("id").cast("string").alias("id"),
@@ -76,6 +80,9 @@ def write_captures(
     )
     caps = caps.withColumns({"digest": base32_sha1(F.col("payload")), "bytes": F.octet_length("payload")})
     caps = caps.withColumn("key", F.md5(F.concat_ws("|", *[F.coalesce(c, F.lit("-")) for c in ("id", "digest")], F.coalesce("url", F.lit("-")))))
+    if records_per_file is None:
+        mean = caps.agg(F.avg("bytes")).first()[0] or 0
+        records_per_file = max(1, min(MOST_CAPTURES, int(FILE_BYTES / (mean + 1024))))
     narrow = caps.filter(F.col("bytes") >= min_revisit_bytes).select("digest", "rank", "key")
     groups = narrow.groupBy("digest").agg(F.max(F.struct("rank", "key")).alias("first"), F.min("key").alias("a"), F.max("key").alias("b"))
     groups = materialize(groups.filter("a <> b").select("digest", F.col("first.key").alias("target")), "warc-groups")
@@ -203,7 +210,7 @@ def read_records(spark: SparkSession, folder: str, payload: bool = False) -> Dat
 
 
 def assemble(found: DataFrame) -> DataFrame:
-    """One nested row per capture: ``record_id``, ``response`` (or revisit), ``request``, ``metadata`` and the counts of the last two.
+    """One nested row per capture: ``record_id``, ``response`` (or revisit), ``request``, ``metadata`` and how many there are of each.
 
     Requests and metadata may point at the response, the response may point at its request, and metadata may point at
     the request of either. Of several requests or metadata records the one with the smallest identifier is kept. Records
@@ -228,6 +235,7 @@ def assemble(found: DataFrame) -> DataFrame:
         F.min(F.when(is_main, whole)).alias("response"),
         one("request").alias("request"),
         one("metadata").alias("metadata"),
+        F.count_if(is_main).alias("n_responses"),
         F.count_if(F.col("kind") == "request").alias("n_requests"),
         F.count_if(F.col("kind") == "metadata").alias("n_metadata"),
     ).withColumnRenamed("capture", "record_id")
@@ -236,19 +244,20 @@ def assemble(found: DataFrame) -> DataFrame:
 def captures(spark: SparkSession, folder: str) -> DataFrame:
     """Per capture of the archives: its id, payload size and digest, record type, and for revisits the id of the response.
 
-    A revisit's size comes from the response it refers to and its digest from its own header.
+    A revisit's size comes from the response it refers to and its digest from its own header. A capture whose response
+    occurs n times under one identifier gives n rows.
     """
     rows = assemble(read_records(spark, folder)).filter("response IS NOT NULL")
     rows = rows.select(
         "record_id", F.col("metadata.capture_id").alias("capture_id"), F.col("response.kind").alias("record_type"),
-        F.col("response.refers_to").alias("target"), "response.payload_bytes",
+        F.col("response.refers_to").alias("target"), "response.payload_bytes", "n_responses",
         F.coalesce("response.payload_digest", "response.stored_digest").alias("payload_digest"),
     )
     rows = materialize(rows, "warc-captures")
     targets = rows.filter("record_type = 'response'").select(
         F.col("record_id").alias("target"), F.col("capture_id").alias("refers_to"), F.col("payload_bytes").alias("target_bytes")
     )
-    rows = rows.join(targets, "target", "left")
+    rows = rows.join(targets, "target", "left").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_responses"))))
     return rows.select("capture_id", F.coalesce("payload_bytes", "target_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 

@@ -13,8 +13,8 @@ SCHEMA = "page_id long, url string, html string, record_type string, key string"
 
 
 def expected(rows):
-    """Brute force over (page_id, url, html); equal rows are one capture."""
-    rows = sorted({(i, u, h or "") for i, u, h in rows}, key=str)
+    """Brute force over (page_id, url, html)."""
+    rows = sorted(((i, u, h or "") for i, u, h in rows), key=str)
     out = []
     for i, u, h in rows:
         last = max((j for j, _, k in rows if k == h and j is not None), default=None)
@@ -81,3 +81,19 @@ def test_truncated_archives_raise(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record("response", "r", b"x" * 100)[:-20]))
     with pytest.raises(Exception, match="ends within"):
         warc.read_records(spark, str(tmp_path)).collect()
+
+
+def test_repeated_rows_come_back_as_often(spark):
+    pages = [(7, "u", "b")] * 3 + [(8, "u", "b")] * 2 + [(None, None, None)] * 2 + [(5, "v", "c")] + [(2, "w", "b")] * 4
+    got = warc.round_trip(spark.createDataFrame([(*p, "", "") for p in pages], SCHEMA)).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to) for r in got) == sorted(
+        [(7, "revisit", 8)] * 3 + [(8, "response", None)] * 2 + [(0, "response", None)] * 2 + [(5, "response", None)] + [(2, "revisit", 8)] * 4, key=lambda r: (r[0], r[1])
+    )
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    pages = spark.createDataFrame([(i, "u", f"{i}" + "x" * 100_000) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    warc.write_captures(pages, f"{tmp_path}/a")
+    assert len(list((tmp_path / "a").glob("*.gz"))) >= 6
+    assert warc.captures(spark, f"{tmp_path}/a").count() == 60
