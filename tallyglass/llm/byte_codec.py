@@ -37,7 +37,7 @@ ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": F
 #: Code points read at a time, and the length from which an unfinished pre-token is fed on in parts.
 SLICE, LONG = 1 << 16, 1 << 12
 #: Pre-tokens of up to 64 code points a worker remembers; emptied when full, which only costs time.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 NEVER = 1 << 60
 
 
@@ -77,7 +77,23 @@ class Known(dict):
         return b""
 
 
-class Vocabulary:
+class Pieces:
+    """The bytes of all ids of a file, which is all that decoding needs."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.read(spec)
+
+    def read(self, spec: dict) -> dict[bytes, int]:
+        alphabet = byte_alphabet()
+        self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
+        ids = {bytes(alphabet[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in self.special}
+        self.bytes = Known({i: piece for piece, i in ids.items()} | {i: text.encode() for text, i in self.special.items()})
+        return ids
+
+
+class Vocabulary(Pieces):
     """Tokens, merges and special strings of a file. Raises where the file asks for steps this codec does not take."""
 
     def __init__(self, path: str):
@@ -91,9 +107,7 @@ class Vocabulary:
             raise ValueError(f"not a plain byte-level BPE vocabulary: {wrong or spec['normalizer']}")
         alphabet = byte_alphabet()
         raw = lambda piece: bytes(alphabet[c] for c in piece)
-        self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
-        ids = {raw(piece): i for piece, i in model["vocab"].items() if piece not in self.special}
-        self.bytes = Known({i: piece for piece, i in ids.items()} | {i: text.encode() for text, i in self.special.items()})
+        ids = self.read(spec)
         self.single = [ids.get(bytes([b])) for b in range(256)]
         if None in self.single:
             raise ValueError("the vocabulary lacks single bytes")
@@ -296,8 +310,8 @@ class Decoder:
     Bytes that are no UTF-8 become U+FFFD, one for each longest beginning of a character, as in the library.
     """
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.bytes = vocabulary.bytes
+    def __init__(self, known: Pieces):
+        self.bytes = known.bytes
         self.text = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
@@ -316,6 +330,11 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@functools.lru_cache(maxsize=4)
+def known_pieces(path: str) -> Pieces:
+    return Pieces(path)
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ids (array of int), with special strings inside texts as their own ids.
 
@@ -340,10 +359,10 @@ def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "i
     """One row per input row: id, ids, text. Null ids give a null text; null and unknown entries are skipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        known = known_pieces(path)
         for batch in batches:
             column = batch.column("ids")
-            texts = [Decoder(v).decode(np.asarray(x.values)) if x.is_valid else None for x in column]
+            texts = [Decoder(known).decode(np.asarray(x.values)) if x.is_valid else None for x in column]
             yield pa.RecordBatch.from_arrays([batch.column("id"), column, pa.array(texts, pa.string())], ["id", "ids", "text"])
 
     ids = F.filter(F.col(f"`{ids_col}`").cast("array<int>"), lambda i: i.isNotNull())
