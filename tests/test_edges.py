@@ -227,7 +227,7 @@ def test_skewed_exports_give_even_files(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     sizes = [r["count"] for r in spark.read.parquet(f"{tmp_path}/even").groupBy(F.input_file_name().alias("f")).count().collect()]
-    assert sum(sizes) == 200_000 and len(sizes) > 3 and max(sizes) < 3 * sum(sizes) / len(sizes)
+    assert sum(sizes) == 200_000 and len(sizes) > 1 and max(sizes) <= 1.2 * sum(sizes) / len(sizes)  # not 180,000 and 20,000
     exports.export(skewed, f"{tmp_path}/cut", "parquet", rows_per_file=50_000)
     cut = [r["count"] for r in spark.read.parquet(f"{tmp_path}/cut").groupBy(F.input_file_name().alias("f")).count().collect()]
     assert max(cut) <= 50_000
