@@ -45,11 +45,21 @@ def roles_frame(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position long, column string, role string")
 
 
+def words_of(name: str) -> list[str]:
+    return re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).split("_")
+
+
+def looks_like_key(name: str) -> bool:
+    """Whether the last word of the name is ``id`` or ends with ``key``, so that the column's sum means nothing."""
+    last = words_of(name)[-1].lower()
+    return last == "id" or last.endswith("key")
+
+
 def looks_like_date(name: str, strict_names: bool = False) -> bool:
     """By whole word parts, or with ``strict_names`` by any fragment anywhere in the name."""
     if strict_names:
         return re.search(DATE_NAME_FRAGMENTS, name, re.I) is not None
-    first, *rest = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).split("_")
+    first, *rest = words_of(name)
     return any(_DATE_WORDS.search(p) for p in (first, *rest)) or any(p.lower() in ("at", "on") for p in rest)
 
 

@@ -212,6 +212,13 @@ def test_dashboard_without_much_data(spark):
     assert dashboard.auto_trend(df, None).columns == ["d", "x"] and dashboard.auto_trend(df).first().x == 3.0
 
 
+def test_keys_lead_no_dashboard(spark):
+    rows = spark.range(1000).selectExpr("id + 1000000 AS o_orderkey", "id + 2000000 AS userId", "IF(id % 2 = 0, 'a', 'b') AS g", "date_add(DATE'2024-01-01', int(id % 7)) AS d", "2.0D AS price")
+    assert dashboard.auto_trend(rows).columns == ["period", "price"]
+    assert dashboard.kpi_cards(rows, 1).first().column == "userId"
+    assert dashboard.leading_measure(rows.select("o_orderkey", "g")) == "o_orderkey"
+
+
 def test_wide_maps_beyond_the_pivot_limit(spark):
     df = spark.range(20_000).selectExpr("id % 2 AS r", "id AS c", "CAST(1 AS DOUBLE) AS v")
     found = charts.value_map(df, "r", "c", "v").selectExpr("r", "size(cells) AS n", "cells[4] AS four").collect()
