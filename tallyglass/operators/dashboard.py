@@ -31,7 +31,7 @@ def leading_measure(df: DataFrame) -> str:
 def auto_top_categories(df: DataFrame, n: int = 15) -> DataFrame:
     """Total of the leading measure by the category with the fewest (but at least two) values."""
     roles = column_roles(df)
-    kpi = kpi_cards(df, 1).first()["column"]
+    kpi = leading_measure(df)
     order = F.array_position(F.lit(roles.categorical), F.col("column"))
     chosen = distinct_stats(df, roles.categorical).orderBy(F.col("distinct") <= 1, "distinct", order).first()["column"]
     return top_categories(df, chosen, kpi, n).select(

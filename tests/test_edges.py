@@ -214,6 +214,7 @@ def test_dashboard_without_much_data(spark):
 
 def test_keys_lead_no_dashboard(spark):
     rows = spark.range(1000).selectExpr("id + 1000000 AS o_orderkey", "id + 2000000 AS userId", "IF(id % 2 = 0, 'a', 'b') AS g", "date_add(DATE'2024-01-01', int(id % 7)) AS d", "2.0D AS price")
+    assert {(r.measure, r.total) for r in dashboard.auto_top_categories(rows).collect()} == {("price", 1000.0)}
     assert dashboard.auto_trend(rows).columns == ["period", "price"]
     assert dashboard.kpi_cards(rows, 1).first().column == "userId"
     assert dashboard.leading_measure(rows.select("o_orderkey", "g")) == "o_orderkey"
