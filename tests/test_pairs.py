@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tallyglass.operators.vectors import near_duplicate_candidates, near_duplicate_classes, near_duplicates, pair_weight, similarity_histogram, similarity_matrix
+from tallyglass.operators.vectors import near_duplicate_candidates, near_duplicate_classes, near_duplicates, pair_weight, similarity_histogram, similarity_matrix, text_copies
 from tallyglass.plans import bands
 from tallyglass.plans.bands import forest
 from tallyglass.plans.components import components
@@ -127,6 +127,12 @@ def test_pair_bounds_hold():
         assert (cosines <= high).all() and (cosines >= low).all()
 
 
+def test_copies_of_texts_without_words(spark):
+    texts = ["a b", "", "a b", None, "...", "", "a  b", None, "...", "a b", "A b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(3)
+    assert {(r.id_a, r.id_b) for r in text_copies(df, "id", "t").collect()} == {(0, 2), (0, 9), (1, 5), (4, 8)}
+
+
 # --- candidates by bands -----------------------------------------------------------------------------------------------
 def near_copies(n, d, seed, groups=40, noise=0.06):
     """Random vectors, groups of near and exact copies, one crowded group, and rows without a direction."""
