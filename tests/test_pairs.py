@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tallyglass.operators.vectors import near_duplicate_candidates, near_duplicate_classes, near_duplicates, pair_weight, similarity_histogram, similarity_matrix, text_copies
-from tallyglass.plans import bands
+from tallyglass.plans import bands, pairs
 from tallyglass.plans.bands import forest
 from tallyglass.plans.components import components
 from tallyglass.plans.pairs import extreme_pairs, pair_bounds
@@ -127,6 +127,20 @@ def test_pair_bounds_hold():
         assert (cosines <= high).all() and (cosines >= low).all()
 
 
+def test_what_is_held_at_once_is_bounded(spark):
+    import pandas as pd
+
+    r = np.random.default_rng(12)
+    x = r.normal(size=(3000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pdf = pd.DataFrame({"rep": range(3000), "vec": list(x), "copies": 1})
+    sizes = [len(out) for out in pairs._placer(x[:256], 2.1)([pdf])]  # every row goes to all cells up to its own
+    assert sum(sizes) > 250_000 and max(sizes) <= pairs.PLACED_AT_ONCE
+    for rows in (100, 10**5, 10**7, 10**9):
+        block = pairs.rows_of_block(rows, 128)
+        assert block * 128 * 8 <= pairs.BLOCK_BYTES and (rows > 10**5 or rows / block <= pairs.BLOCKS)
+
+
 def test_copies_of_texts_without_words(spark):
     texts = ["a b", "", "a b", None, "...", "", "a  b", None, "...", "a b", "A b"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(3)
