@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tallyglass.operators.vectors import near_duplicate_candidates, near_duplicate_classes, near_duplicates, pair_weight, similarity_histogram, similarity_matrix, text_copies
+from tallyglass.operators.vectors import near_duplicate_candidates, near_duplicate_classes, near_duplicate_histogram, near_duplicates, pair_weight, similarity_histogram, similarity_matrix, text_copies
 from tallyglass.plans import bands, pairs
 from tallyglass.plans.bands import forest
 from tallyglass.plans.components import components
@@ -127,6 +127,21 @@ def test_pair_bounds_hold():
         assert (cosines <= high).all() and (cosines >= low).all()
 
 
+@pytest.mark.parametrize(("block_rows", "pivots"), [(None, None), (30, 1), (25, 6)])
+@pytest.mark.parametrize("threshold", [0.9, 0.3])
+def test_histogram_without_the_pairs(clustered, threshold, block_rows, pivots):
+    _, df = clustered
+    expected = {r.bin: r["count"] for r in similarity_histogram(near_duplicates(df, "id", "v", threshold)).collect()}
+    got = {r.bin: r["count"] for r in near_duplicate_histogram(df, "id", "v", threshold, block_rows=block_rows, pivots=pivots).collect()}
+    assert got == expected and sum(got.values()) > 1000
+
+
+def test_histogram_of_nothing_and_of_copies(spark):
+    for rows, counts in (([(0, [1.0, 0.0]), (1, [0.0, 1.0])], []), ([(i, [1.0, 0.0]) for i in range(5)], [10])):
+        found = near_duplicate_histogram(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 0.9).collect()
+        assert len(found) == 20 and [r["count"] for r in found if r["count"]] == counts
+
+
 def test_what_is_held_at_once_is_bounded(spark):
     import pandas as pd
 
