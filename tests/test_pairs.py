@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyglass.operators.vectors import near_duplicate_candidates, near_duplicate_classes, near_duplicate_histogram, near_duplicates, pair_weight, similarity_histogram, similarity_matrix, text_copies
 from tallyglass.plans import bands, pairs
@@ -156,6 +157,11 @@ def test_what_is_held_at_once_is_bounded(spark):
         assert block * 128 * 8 <= pairs.BLOCK_BYTES and (rows > 10**5 or rows / block <= pairs.BLOCKS)
 
 
+def test_labels_are_the_smallest_of_what_is_joined():
+    labels = pairs.join_labels(np.arange(9), np.array([7, 3, 8, 2]), np.array([3, 8, 5, 6]))
+    assert labels.tolist() == [0, 1, 2, 3, 4, 3, 2, 3, 3]
+
+
 def test_copies_of_texts_without_words(spark):
     texts = ["a b", "", "a b", None, "...", "", "a  b", None, "...", "a b", "A b"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(3)
@@ -226,6 +232,58 @@ def test_classes_agree_with_the_pairs(spark, monkeypatch):
         assert got[i].class_id == labels[i]
 
 
+def word_like(n, d, seed):
+    """Vectors that nearly all point the same way, so that bands hold large parts of them."""
+    r = np.random.default_rng(seed)
+    x = r.gamma(0.6, size=d) + r.random((n, 1)) * r.gamma(0.4, size=(n, d))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("string_ids", [False, True])
+def test_exact_partners_of_crowded_vectors(spark, monkeypatch, string_ids):
+    monkeypatch.setattr(pairs, "COSINES_AT_ONCE", 5000)
+    x = word_like(700, 24, 3)
+    # at 0.92 but for the rounding of floats
+    x[600:650] = 0.0
+    x[600:650, 0], x[650:, 0] = 1.0, 0.92 + np.linspace(-1e-8, 1e-8, 50)
+    x[600:650, 1:], x[650:, 1:] = 0.0, 0.0
+    x[600:650, 1] = np.arange(50) * 1e-12
+    x[650:, 1] = np.sqrt(1 - x[650:, 0] ** 2)
+    name = (lambda i: f"k{i:04}") if string_ids else int
+    folded = spark.createDataFrame([(name(i), v.tolist(), i % 3 + 1) for i, v in enumerate(x)], f"rep {'string' if string_ids else 'long'}, vec array<double>, copies long")
+    near = x @ x.T >= 0.92
+    np.fill_diagonal(near, False)
+    found = pairs.partners_and_roots(folded.repartition(3).checkpoint(), 0.92, 150).toPandas()
+    counts = found[found["other"].isna()].groupby("rep")[["links", "partners"]].sum()
+    weights = np.arange(700) % 3 + 1
+    unsure = (np.abs(x @ x.T - 0.92) < 1e-14).any(axis=1)  # the order of addition decides
+    for i in np.flatnonzero(~unsure):
+        got = tuple(counts.loc[name(i)]) if name(i) in counts.index else (0, 0)
+        assert got == (near[i].sum(), (near[i] * weights).sum()), i
+    labels = np.arange(700)
+    linked = found[found["other"].notna()]
+    number = {name(i): i for i in range(700)}
+    labels = pairs.join_labels(labels, linked["rep"].map(number).to_numpy(), linked["other"].map(number).to_numpy())
+    assert labels.tolist() == pairs.join_labels(np.arange(700), *np.nonzero(near)).tolist()
+
+
+def test_crowded_bands_give_way_to_all_pairs(spark):
+    crowded = as_rows(spark, word_like(6000, 32, 4)).selectExpr("id AS rep", "v AS vec", "1L AS copies").checkpoint()
+    assert bands.all_pairs_are_less(crowded, 0.92, 0.98, 2048, 0)
+    r = np.random.default_rng(5).normal(size=(30_000, 8))
+    apart = np.zeros((30_000, 256))
+    apart[np.arange(30_000)[:, None], (np.arange(30_000)[:, None] * 7 + np.arange(8) * 31) % 256] = r
+    apart = as_rows(spark, apart / np.linalg.norm(apart, axis=1, keepdims=True)).selectExpr("id AS rep", "v AS vec", "1L AS copies").checkpoint()
+    assert not bands.all_pairs_are_less(apart, 0.99, 0.9, 2048, 0)
+
+
+def test_bands_and_all_pairs_agree(spark):
+    folded = as_rows(spark, near_copies(800, 12, 7)[80:]).selectExpr("id AS rep", "v AS vec", "1L AS copies")
+    folded = folded.withColumn("vec", F.expr("transform(vec, x -> x / sqrt(aggregate(vec, 0D, (s, y) -> s + y * y)))")).dropDuplicates(["vec"]).checkpoint()
+    exact, by_bands = ({(p.id_a, p.id_b) for p in bands.similar_pairs(folded, 0.92, exact=e).collect()} for e in (True, False))
+    assert by_bands <= exact and len(by_bands) >= 0.98 * len(exact) > 20
+
+
 def test_classes_of_odd_tables(spark):
     schema = "id long, v array<double>"
     assert near_duplicate_classes(spark.createDataFrame([], schema), "id", "v").count() == 0
