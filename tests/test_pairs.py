@@ -284,6 +284,12 @@ def test_bands_and_all_pairs_agree(spark):
     assert by_bands <= exact and len(by_bands) >= 0.98 * len(exact) > 20
 
 
+def test_classes_with_previews(spark):
+    df = spark.createDataFrame([(0, "x" * 100, [1.0, 0.0]), (1, "y", [1.0, 0.1]), (2, None, None)], "id long, t string, v array<double>")
+    got = {r.id: r for r in near_duplicate_classes(df, "id", "v", 0.92, text="t").collect()}
+    assert {i: (r.preview, r.links, r.class_id) for i, r in got.items()} == {0: ("x" * 80, 1, 0), 1: ("y", 1, 0), 2: (None, 0, 2)}
+
+
 def test_classes_of_odd_tables(spark):
     schema = "id long, v array<double>"
     assert near_duplicate_classes(spark.createDataFrame([], schema), "id", "v").count() == 0
