@@ -290,6 +290,18 @@ def test_classes_with_previews(spark):
     assert {i: (r.preview, r.links, r.class_id) for i, r in got.items()} == {0: ("x" * 80, 1, 0), 1: ("y", 1, 0), 2: (None, 0, 2)}
 
 
+def test_pairs_of_a_histogram_are_found_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        calls.add(1)
+        yield from batches
+
+    lines = spark.createDataFrame([(0.5, "similar", 1, 1), (0.9, "similar", 2, 3)], "similarity double, kind string, copies_a long, copies_b long").coalesce(1)
+    found = similarity_histogram(lines.mapInPandas(counted, lines.schema)).collect()
+    assert calls.value == 1 and {r.bin: r["count"] for r in found if r["count"]} == {0: 1, 19: 6}
+
+
 def test_classes_of_odd_tables(spark):
     schema = "id long, v array<double>"
     assert near_duplicate_classes(spark.createDataFrame([], schema), "id", "v").count() == 0
