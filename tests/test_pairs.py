@@ -302,6 +302,16 @@ def test_pairs_of_a_histogram_are_found_once(spark):
     assert calls.value == 1 and {r.bin: r["count"] for r in found if r["count"]} == {0: 1, 19: 6}
 
 
+def test_lengths_are_computed_once_a_row(spark):
+    """A vector's work grows with its components, not with their square."""
+    from tallyglass.operators.vectors import usable_vectors
+
+    df = spark.createDataFrame([(0, [3.0, 4.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0, None]), (4, [float("inf"), 1.0])], "id long, v array<double>")
+    assert {r.id: r.v for r in usable_vectors(df, "id", "v").collect()} == {0: [0.6, 0.8], 1: None, 2: None, 3: None, 4: None}
+    plan = usable_vectors(df, "id", "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SQRT(") == 1 and "transform(array(SQRT(" in plan  # not inside the function of a component
+
+
 def test_classes_of_odd_tables(spark):
     schema = "id long, v array<double>"
     assert near_duplicate_classes(spark.createDataFrame([], schema), "id", "v").count() == 0
