@@ -4,8 +4,8 @@ The base patterns fix what is always found. Generators of high recall propose fu
 its format and its surroundings; a span is taken where its probability reaches the threshold of its kind, calibrated on
 examples kept out of training. Where chosen spans overlap the more probable one stays, and base spans always stay.
 
-There are no labelled spans, so examples are made: in passages around candidates of a bounded sample of documents, the
-base spans and credentials are positive, and written variants of personal data (dotted cards, spelled-out addresses,
+There are no labelled spans, so examples are made: in passages around all candidates of all documents, the base spans and
+credentials are positive, and written variants of personal data (dotted cards, spelled-out addresses,
 unprefixed numbers after a cue, credentials) as well as look-alikes (versions, dates, amounts, order numbers) are planted
 with known labels. Other natural candidates are negative only where they have neither a cue nor the format of personal
 data; the rest may be real variants and stay unlabelled. Thresholds are calibrated on planted and clearly negative ones.
@@ -18,7 +18,7 @@ import hashlib
 import math
 import random
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import id_and_text, in_workers, pieces
-from .boosting import BoostedTrees, fit
+from .base import id_and_text, in_workers, materialize, pieces
+from .boosting import COUNTED, VALUES, BoostedTrees, fit, fit_table, matrix, numbers, packed, sigmoid, sums_of
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
@@ -40,6 +40,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+GROUP = re.compile(r"[0-9]+")
+HEX = frozenset("0123456789abcdefABCDEF")
 
 
 def emails(text: str) -> Iterator[Span]:
@@ -57,8 +59,11 @@ def emails(text: str) -> Iterator[Span]:
         at = text.find("@", done)
 
 
+DOUBLED = dict(zip("0123456789", (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)))
+
+
 def luhn(digits: str) -> bool:
-    total = sum(map(int, digits[-1::-2])) + sum((0, 2, 4, 6, 8, 1, 3, 5, 7, 9)[int(d)] for d in digits[-2::-2])
+    total = sum(map(int, digits[-1::-2])) + sum(map(DOUBLED.__getitem__, digits[-2::-2]))
     return total % 10 == 0
 
 
@@ -100,12 +105,13 @@ GENERATORS: tuple[tuple[str, str, re.Pattern], ...] = (
     ("secret", "=", re.compile(rf"(?i)(?<![a-z])(?:{SECRET_WORDS})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?[^\s\"']{{6,}}+")),
     ("secret", "_", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9_-]{12,}+")),
 )
+#: Searched in lower case.
 CUES = {
-    "email": re.compile(r"(?i)mail|courriel|correo|conta[ck]t|kontakt|write|schreib|[ée]cri[rtv]|escrib|reach|erreich|joindre"),
-    "ip": re.compile(r"(?i)\bip\b|host|addr|adress|direcci[oó]n|server|serveur|servidor|client|rechner|computer|machine|m[aá]quina|ordina|equipo|from"),
-    "card": re.compile(r"(?i)card|karte|carte|tarjeta|visa|master|amex|credit|kredit|cr[eé]dit|payment|zahlung|paiement|pago"),
-    "phone": re.compile(r"(?i)phone|tel\b|tel[.:]|telefon|t[eé]l[eé]phon|tel[eé]fono|rufnummer|r[uü]ckruf|call|anruf|ruf\b|appel|llam|mobil|handy|portable|m[oó]vil|fax|cell|celular"),
-    "secret": re.compile(r"(?i)token|key|secret|passw|pwd|kennwort|geheim|schl[uü]ssel|mot de passe|jeton|cl[eé]|contrase|clave"),
+    "email": re.compile(r"mail|courriel|correo|conta[ck]t|kontakt|write|schreib|[ée]cri[rtv]|escrib|reach|erreich|joindre"),
+    "ip": re.compile(r"\bip\b|host|addr|adress|direcci[oó]n|server|serveur|servidor|client|rechner|computer|machine|m[aá]quina|ordina|equipo|from"),
+    "card": re.compile(r"card|karte|carte|tarjeta|visa|master|amex|credit|kredit|cr[eé]dit|payment|zahlung|paiement|pago"),
+    "phone": re.compile(r"phone|tel\b|tel[.:]|telefon|t[eé]l[eé]phon|tel[eé]fono|rufnummer|r[uü]ckruf|call|anruf|ruf\b|appel|llam|mobil|handy|portable|m[oó]vil|fax|cell|celular"),
+    "secret": re.compile(r"token|key|secret|passw|pwd|kennwort|geheim|schl[uü]ssel|mot de passe|jeton|cl[eé]|contrase|clave"),
 }
 #: Characters before a candidate that are searched for cues.
 CONTEXT = 30
@@ -114,14 +120,14 @@ FEATURES = (
     " letter_before letter_after quote_before sign_before cue any_cue is_base spelled longest_group version_cue"
 ).split()
 VERSION = re.compile(
-    r"(?i)\bversi[oó]n|\bv\s?$|release|section|abschnitt|secci[oó]n|order|bestell|commande|pedido|invoice|rechnung|facture|factura|build|isbn"
+    r"\bversi[oó]n|\bv\s?$|release|section|abschnitt|secci[oó]n|order|bestell|commande|pedido|invoice|rechnung|facture|factura|build|isbn"
     r"|amount|betrag|montant|importe|total|summe"
 )
 
 
-def candidates(text: str) -> list[Span]:
-    """Base spans and everything the generators propose, without repeats."""
-    found = dict.fromkeys(base_spans(text))
+def candidates(text: str, base: Sequence[Span] | None = None) -> list[Span]:
+    """Base spans (``base`` where they are known) and everything the generators propose, without repeats."""
+    found = dict.fromkeys(base_spans(text) if base is None else base)
     has_digit = bool(DIGIT.search(text))
     lower = text.lower() if "(at)" in text or "[at]" in text or "(AT)" in text else ""
     for kind, needs, pattern in GENERATORS:
@@ -142,7 +148,7 @@ def candidates(text: str) -> list[Span]:
 
 
 def entropy(s: str) -> float:
-    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values()) if s else 0.0
+    return -sum([n / len(s) * math.log2(n / len(s)) for n in map(s.count, sorted(set(s)))]) if s else 0.0
 
 
 def value_of(assignment: str) -> str:
@@ -152,18 +158,20 @@ def value_of(assignment: str) -> str:
 def features(text: str, span: Span, base: set[Span]) -> list[float]:
     kind, start, end = span
     s, before, after = text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + 1]
-    digits = digits_of(s)
-    letters = sum(c.isalpha() for c in s)
-    groups = re.findall(r"[0-9]+", s)
+    lower = before.lower()
+    cue = bool(CUES[kind].search(lower))
+    groups = GROUP.findall(s)
+    digits = "".join(groups)
+    letters = sum(map(str.isalpha, s))
     value = value_of(s) if kind == "secret" else s
     return [
-        KINDS.index(kind), len(s), len(digits), letters, len(s) - len(digits) - letters, sum(c.isupper() for c in s), len(groups),
+        KINDS.index(kind), len(s), len(digits), letters, len(s) - len(digits) - letters, sum(map(str.isupper, s)), len(groups),
         s.count("."), s.count("-"), s.count(" "), s.count("/"), s.count("+"), s.count("(") + s.count(")"), s.count("@"),
-        entropy(value), sum(c in "0123456789abcdefABCDEF" for c in value) / max(1, len(value)),
+        entropy(value), sum(map(HEX.__contains__, value)) / max(1, len(value)),
         len(digits) >= 12 and luhn(digits), bool(groups) and all(map(small, groups)),
         before[-1:].isalpha(), after.isalpha(), before[-1:] in "\"'<" and before != "", before[-1:] in "=:#$€%/" and before != "",
-        bool(CUES[kind].search(before)), any(c.search(before) for c in CUES.values()), span in base,
-        "at)" in s.lower() or "at]" in s.lower(), max(map(len, groups), default=0), bool(VERSION.search(before)),
+        cue, cue or any(c.search(lower) for c in CUES.values()), span in base,
+        "at)" in s.lower() or "at]" in s.lower(), max(map(len, groups), default=0), bool(VERSION.search(lower)),
     ]
 
 
@@ -176,7 +184,7 @@ class Detector:
         """(base spans, all spans), each by kind as listed and then by start."""
         base = base_spans(text)
         known = set(base)
-        extra = [c for c in candidates(text) if c not in known]
+        extra = [c for c in candidates(text, base) if c not in known]
         if not extra:
             return base, base
         p = self.trees.probability(np.array([features(text, c, known) for c in extra], dtype=float))
@@ -195,13 +203,13 @@ class Detector:
 
 # --- examples ---
 def digits(r: random.Random, n: int) -> str:
-    return "".join(r.choice("0123456789") for _ in range(n))
+    return f"{r.randrange(10**n):0{n}}"
 
 
 def card_number(r: random.Random, valid: bool) -> str:
     body = r.choice("3456") + digits(r, 14)
-    check = next(d for d in "0123456789" if luhn(body + d))
-    return body + (check if valid else str((int(check) + r.randrange(1, 10)) % 10))
+    check = next(d for d in range(10) if luhn(f"{body}{d}"))
+    return f"{body}{check if valid else (check + r.randrange(1, 10)) % 10}"
 
 
 #: Words before planted items, in the languages of :data:`CUES`; a valid card or an eight-group address also stands alone.
@@ -216,36 +224,33 @@ PLANTED_CUES = {
 
 def planted(r: random.Random) -> tuple[str, str, str, bool]:
     """(words before, text, kind, whether it is personal)."""
-    word = lambda n=6: "".join(r.choice("abcdefghiklmnoprstuvw") for _ in range(n))
+    word = lambda n=6: "".join(r.choices("abcdefghiklmnoprstuvw", k=n))
     d = lambda n: digits(r, n)
-    card = card_number(r, True)
-    four = [card[i : i + 4] for i in range(0, 16, 4)]
-    false = card_number(r, False)
-    false_four = [false[i : i + 4] for i in range(0, 16, 4)]
-    host = f"{word()}.{r.choice(['com', 'org', 'net', 'de'])}"
+    four = lambda valid: [n[i : i + 4] for n in [card_number(r, valid)] for i in range(0, 16, 4)]
+    host = lambda: f"{word()}.{r.choice(['com', 'org', 'net', 'de'])}"
     cue = lambda kind: r.choice(PLANTED_CUES[kind])
     secret = lambda: r.choice(("token", "api_key", "secret", "password", "Passwort", "Kennwort", "mot de passe", "contraseña", "clave"))
-    phone = r.choice((f"({d(3)}) {d(3)}-{d(4)}", f"0{d(3)} {d(3)} {d(4)}", f"0{d(2)} {d(4)} {d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"9{d(2)} {d(3)} {d(3)}"))
+    phone = lambda: r.choice((f"({d(3)}) {d(3)}-{d(4)}", f"0{d(3)} {d(3)} {d(4)}", f"0{d(2)} {d(4)} {d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"9{d(2)} {d(3)} {d(3)}"))
     options = [
-        (cue("email"), f"{word()}{r.choice(['(at)', ' [at] ', ' (at) '])}{word()}{r.choice(['.', ' (dot) ', '[dot]'])}com", "email", True),
-        (cue("email"), f"{word()}ü.{word()}@{host}", "email", True),
-        ("", f"{word()}@{word(3)}", "email", False),
-        (cue("ip") if r.random() < 0.6 else "", ":".join(f"{r.choice((0, r.randrange(16), r.randrange(65536), r.randrange(65536))):x}" for _ in range(8)), "ip", True),
-        (r.choice(("at", "time", "um", "à", "a las", "")), f"{r.randrange(24):02}:{d(2)}:{d(2)}", "ip", False),
-        (r.choice([c for c in PLANTED_CUES["ip"] if c]), ". ".join(str(r.randrange(256)) for _ in range(4)), "ip", True),
-        (cue("number"), ".".join(str(r.randrange(400)) for _ in range(4)), "ip", False),
-        (cue("card") if r.random() < 0.6 else "", r.choice(("/", ".", "_", " / ", "--")).join(four), "card", True),
-        (r.choice((*PLANTED_CUES["number"], *PLANTED_CUES["card"])), r.choice(("/", ".", "_", "")).join(false_four), "card", False),
-        (r.choice(("", *PLANTED_CUES["number"])), d(r.randrange(12, 20)), "card", False),
-        (r.choice([c for c in PLANTED_CUES["phone"] if c]), phone, "phone", True),
-        (r.choice(("on", "", "from", "am", "vom", "le", "el", *PLANTED_CUES["number"])), r.choice((f"20{d(2)}-0{r.randrange(1, 10)}-1{d(1)}", f"{d(2)}.{d(2)}.19{d(2)}", f"{d(3)} {d(3)}", f"{d(4)}/{d(2)}", f"{d(2)}-{d(2)}")), "phone", False),
-        ("", f"{secret()}{r.choice([' = ', '=', ': '])}\"{''.join(r.choice('0123456789abcdef') for _ in range(40))}\"", "secret", True),
-        ("", f"{secret()}{r.choice(['=', ': '])}{word(3)}{d(4)}{r.choice('!#')}{word(3).upper()}", "secret", True),
-        ("", f"{secret()}{r.choice(['=', ': ', ' = '])}{word(r.randrange(4, 8)).capitalize()}{d(r.randrange(2, 5))}{r.choice(('', '!', '#'))}{word(r.randrange(1, 4))}", "secret", True),
-        ("", f"{secret()}: {word(r.randrange(6, 10))}", "secret", False),
-        ("", r.choice(("AKIA", "ghp_", "sk-")) + "".join(r.choice("ABCDEFGH23456789abcdefgh") for _ in range(24)), "secret", True),
+        lambda: (cue("email"), f"{word()}{r.choice(['(at)', ' [at] ', ' (at) '])}{word()}{r.choice(['.', ' (dot) ', '[dot]'])}com", "email", True),
+        lambda: (cue("email"), f"{word()}ü.{word()}@{host()}", "email", True),
+        lambda: ("", f"{word()}@{word(3)}", "email", False),
+        lambda: (cue("ip") if r.random() < 0.6 else "", ":".join(f"{r.choice((0, r.randrange(16), r.randrange(65536), r.randrange(65536))):x}" for _ in range(8)), "ip", True),
+        lambda: (r.choice(("at", "time", "um", "à", "a las", "")), f"{r.randrange(24):02}:{d(2)}:{d(2)}", "ip", False),
+        lambda: (r.choice([c for c in PLANTED_CUES["ip"] if c]), ". ".join(str(r.randrange(256)) for _ in range(4)), "ip", True),
+        lambda: (cue("number"), ".".join(str(r.randrange(400)) for _ in range(4)), "ip", False),
+        lambda: (cue("card") if r.random() < 0.6 else "", r.choice(("/", ".", "_", " / ", "--")).join(four(True)), "card", True),
+        lambda: (r.choice((*PLANTED_CUES["number"], *PLANTED_CUES["card"])), r.choice(("/", ".", "_", "")).join(four(False)), "card", False),
+        lambda: (r.choice(("", *PLANTED_CUES["number"])), d(r.randrange(12, 20)), "card", False),
+        lambda: (r.choice([c for c in PLANTED_CUES["phone"] if c]), phone(), "phone", True),
+        lambda: (r.choice(("on", "", "from", "am", "vom", "le", "el", *PLANTED_CUES["number"])), r.choice((f"20{d(2)}-0{r.randrange(1, 10)}-1{d(1)}", f"{d(2)}.{d(2)}.19{d(2)}", f"{d(3)} {d(3)}", f"{d(4)}/{d(2)}", f"{d(2)}-{d(2)}")), "phone", False),
+        lambda: ("", f"{secret()}{r.choice([' = ', '=', ': '])}\"{''.join(r.choices('0123456789abcdef', k=40))}\"", "secret", True),
+        lambda: ("", f"{secret()}{r.choice(['=', ': '])}{word(3)}{d(4)}{r.choice('!#')}{word(3).upper()}", "secret", True),
+        lambda: ("", f"{secret()}{r.choice(['=', ': ', ' = '])}{word(r.randrange(4, 8)).capitalize()}{d(r.randrange(2, 5))}{r.choice(('', '!', '#'))}{word(r.randrange(1, 4))}", "secret", True),
+        lambda: ("", f"{secret()}: {word(r.randrange(6, 10))}", "secret", False),
+        lambda: ("", r.choice(("AKIA", "ghp_", "sk-")) + "".join(r.choices("ABCDEFGH23456789abcdefgh", k=24)), "secret", True),
     ]
-    return r.choice(options)
+    return r.choice(options)()
 
 
 def credential(text: str, span: Span) -> bool:
@@ -260,7 +265,7 @@ DATE = re.compile(r"(?:1[0-9]|20)[0-9]{2}([-/. ])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,
 def doubtful(text: str, span: Span) -> bool:
     """Whether a natural candidate has a cue or the format of personal data, so that nobody knows its label."""
     kind, start, end = span
-    s, before = text[start:end], text[max(0, start - CONTEXT) : start]
+    s, before = text[start:end], text[max(0, start - CONTEXT) : start].lower()
     digits = digits_of(s)
     if kind == "email":
         return "@" not in s or "." in s.rpartition("@")[2]
@@ -278,44 +283,122 @@ def doubtful(text: str, span: Span) -> bool:
     return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 7 <= len(digits) <= 15
 
 
-def examples(text: str, seed: str, plants: int = 14, window: int = 200, most: int = 40) -> list[tuple[list[float], float, bool]]:
+#: Characters of a passage on each side of a planted item that are searched; blanks and missing digits keep others out of reach.
+REACH = CONTEXT + 10
+
+
+def examples(text: str, seed: str, plants: int = 14, window: int = 200, most: int | None = None) -> Iterator[tuple[list[float], float, bool]]:
     """Labelled candidates of one text: its own, unless doubtful, and planted ones in passages of its words.
 
-    Of a text's own candidates the ``most`` first by a hash of the span and the seed are used, wherever they stand. The last
-    part tells which may calibrate: all but natural positives.
+    Of a text's own candidates all are used, or the ``most`` first by a hash of the span and the seed, wherever they stand.
+    The last part tells which may calibrate: all but natural positives.
     """
     r = random.Random(seed)
     base = base_spans(text)
     known = set(base)
-    shown = sorted(candidates(text), key=lambda c: hash_of(f"{seed}:{c}"))[:most]
-    out = []
+    shown = candidates(text, base)
+    if most is not None:
+        shown = sorted(shown, key=lambda c: hash_of(f"{seed}:{c}"))[:most]
     for c in shown:
         personal = c in known or credential(text, c)
         if personal or not doubtful(text, c):
-            out.append((features(text, c, known), float(personal), not personal))
+            yield features(text, c, known), float(personal), not personal
     for _ in range(plants if text.strip() else 0):
         at = r.randrange(len(text))
         left, right = DIGIT.sub("", text[at : at + window].replace("@", "")), DIGIT.sub("", text[at + window : at + 2 * window])
         cue, item, kind, personal = planted(r)
-        passage = f"{left} {cue} " if cue else f"{left} "
-        whole = passage + item + r.choice([" ", ". ", ", "]) + right
+        passage = (f"{left} {cue} " if cue else f"{left} ")[-REACH:]
+        whole = passage + item + r.choice([" ", ". ", ", "]) + right[:REACH]
         start, end = len(passage), len(passage) + len(item)
-        known = set(base_spans(whole))
-        for c in candidates(whole):
+        base = base_spans(whole)
+        known = set(base)
+        for c in candidates(whole, base):
             inside = c[1] < end and c[2] > start
             if inside and c not in known:
                 exact = abs(c[1] - start) <= 1 and abs(c[2] - end) <= 1 and c[0] == kind
-                out.append((features(whole, c, known), float(personal and exact), True))
-    return out
+                yield features(whole, c, known), float(personal and exact), True
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 3000, precision: float = 0.98, seed: int = 0) -> Detector:
-    """Fit on at most ``sample`` documents, the first by hash of id and text; repeated rows count once. Thresholds come from
-    the fifth left out.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int | None = None, precision: float = 0.98, seed: int = 0) -> Detector:
+    """Fit on every row of ``docs``; thresholds come from the fifth left out. Repeated rows count as often as they occur.
 
     A kind's threshold is the smallest at which the examples above it are personal to ``precision``; where none is, the
-    kind adds no spans.
+    kind adds no spans. Examples are counted per vector of feature cells in Spark, trees and thresholds come from these
+    counts. A ``sample`` is for trials: trees are fitted on the driver, on as many documents, see :func:`train_on_sample`.
     """
+    if sample is not None:
+        return train_on_sample(docs, id_col, text_col, sample, precision, seed)
+
+    counted = materialize(count_examples(docs, id_col, text_col, seed), "pii-examples")
+    trees = fit_table(counted, len(FEATURES))
+    if trees is None:
+        return Detector(BoostedTrees(-40.0, []), dict.fromkeys(KINDS, 2.0))
+    return Detector(trees, thresholds_of(counted, trees, precision))
+
+
+def count_examples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
+    """The examples of all rows, counted per vector of feature cells, in the columns of ``COUNTED``; a fifth of the rows is held out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y, held = array("d"), array("d"), array("b")  # no objects, so that nothing waits for the garbage collector
+
+        def counts() -> pa.RecordBatch:
+            out = packed(np.array(x).reshape(len(y), -1), np.array(y), np.array(held))
+            del x[:], y[:], held[:]
+            return out
+
+        for batch in (part for whole in batches for part in pieces(whole)):
+            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+                name = f"{seed}:{key}:{hashlib.md5(text.encode()).hexdigest()}"
+                out = hash_of(name) % 5 == 0
+                for row, personal, judged in examples(text, name):
+                    if judged or not out:  # natural positives do not calibrate
+                        x.extend(row)
+                        y.append(personal)
+                        held.append(out)
+                    if len(y) == 20_000:
+                        yield counts()
+        if y:
+            yield counts()
+
+    counted = in_workers(id_and_text(docs, id_col, text_col), run, COUNTED).groupBy("cells", "held")
+    return counted.agg(F.sum("n").alias("n"), F.sum("positives").alias("positives"))
+
+
+#: Thresholds are probabilities of margins that are multiples of 1 / STEPS, up to LIMIT.
+STEPS, LIMIT = 256, 40
+
+
+def thresholds_of(counted: DataFrame, trees: BoostedTrees, precision: float) -> dict[str, float]:
+    """The threshold of every kind from all examples held out, counted per kind and step of the margin."""
+    slots = STEPS * LIMIT + 1
+
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, hits = np.zeros(len(KINDS) * slots), np.zeros(len(KINDS) * slots)
+        for batch in batches:
+            x = VALUES[matrix(batch, "cells", "<u2")]
+            step = np.floor(trees.margin(x) * STEPS)
+            slot = (np.rint(x[:, 0]) * slots + np.clip(step, 0, slots - 1)).astype(np.int64)[step >= 0]
+            n += np.bincount(slot, numbers(batch, "n")[step >= 0], len(n))
+            hits += np.bincount(slot, numbers(batch, "positives")[step >= 0], len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at].astype(np.int64)), pa.array(hits[at].astype(np.int64))], ["slot", "n", "positives"])
+
+    found = sums_of(counted.filter("held"), margins, "slot", "n", "positives")
+    out = dict.fromkeys(KINDS, 2.0)
+    total, last = [0, 0], -1
+    for slot in sorted(found, key=lambda s: (s // slots, -s)):
+        kind, step = divmod(slot, slots)
+        total = [a + b for a, b in zip(total, found[slot])] if kind == last else list(found[slot])
+        last = kind
+        if total[1] >= precision * total[0]:
+            out[KINDS[kind]] = float(sigmoid(np.float64(step / STEPS)))
+    return out
+
+
+def train_on_sample(docs: DataFrame, id_col: str, text_col: str, sample: int, precision: float, seed: int) -> Detector:
+    """Fit on at most ``sample`` documents, the first by hash of id and text, and at most 40 candidates of each; repeated rows
+    count once."""
     rows = id_and_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
     keys = rows.select("id", "h").groupBy("id", "h").count().orderBy(F.xxhash64("id", "h", F.lit(seed)), "id", "h").limit(sample)
     keys = F.broadcast(keys.select(F.col("id").alias("key"), F.col("h").alias("hash")))  # at most `sample` pairs
@@ -325,7 +408,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
-            made = [(hash_of(f"{seed}:{k}"), *e) for k, t in zip(keys, texts) for e in examples(t, f"{seed}:{k}")]
+            made = [(hash_of(f"{seed}:{k}"), *e) for k, t in zip(keys, texts) for e in examples(t, f"{seed}:{k}", most=40)]
             yield pa.RecordBatch.from_pydict(
                 {"part": pa.array([m[0] for m in made], pa.int32()), "x": pa.array([list(map(float, m[1])) for m in made], pa.list_(pa.float64())), "y": pa.array([m[2] for m in made], pa.float64()), "judged": pa.array([m[3] for m in made], pa.bool_())}
             )

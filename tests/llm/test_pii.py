@@ -208,3 +208,63 @@ def test_training_is_bounded_on_repeated_and_null_ids(spark, monkeypatch):
     rows = [(None, f"call 030 {i % 50} 4444 or 1.2.3.{i % 50}") for i in range(3000)] + [(7, "a@b.cd 1.2.3.4")] * 3000
     pii.train(spark.createDataFrame(rows, "doc_id long, text string"), sample=20)
     assert seen[0] <= 20 * (40 + 14 * 4)
+
+
+def test_every_document_and_candidate_trains(spark):
+    rows = [(i, f"the river 20{i % 90 + 10}-03-1{i % 9} and stone") for i in range(3300)]
+    rows += [(5000, " and ".join(f"river 12.03.{1900 + i}" for i in range(70))), (None, ""), (None, "call 1.2.3.4"), (None, "call 1.2.3.4")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    n = natural = 0
+    for key, text in rows:
+        name = f"0:{key}:{hashlib.md5(text.encode()).hexdigest()}"
+        n += sum(1 for _, _, judged in pii.examples(text, name) if judged or pii.hash_of(name) % 5)
+        natural += sum(1 for _ in pii.examples(text, name, plants=0))
+    assert natural == 2 * 3300 + 70 + 2  # dates with the year first are proposed as two kinds
+    counted = pii.count_examples(docs.repartition(5))
+    assert counted.agg({"n": "sum"}).first()[0] == n
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, pii.count_examples(docs.repartition(2)).collect()))
+
+
+def test_training_reads_all_rows_by_default(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "fit_table", lambda counted, width: seen.append(counted.agg({"n": "sum"}).first()[0]))
+    docs = spark.range(4000).selectExpr("id AS doc_id", "'ab' AS text")
+    made = pii.count_examples(docs).agg({"n": "sum"}).first()[0]
+    pii.train(docs)
+    assert seen == [made] and made > 4000 * 14 * 0.8
+
+
+def counted_table(spark, x, y, held):
+    batch = boosting.packed(x, y, held)
+    return spark.createDataFrame(batch.to_pandas(), boosting.COUNTED)
+
+
+def test_trees_of_a_table_equal_those_of_arrays(spark):
+    r = np.random.default_rng(3)
+    x = np.floor(r.random((6000, 4)) * [5, 20, 2, 30])
+    y = ((x[:, 0] > 2) ^ (x[:, 1] > 11) ^ (r.random(6000) < 0.05)).astype(float)
+    held = np.arange(6000) % 5 == 0
+    plain = boosting.fit(x[~held], y[~held], trees=23)
+    tables = [boosting.fit_table(counted_table(spark, x, y, held).repartition(n), 4, trees=23) for n in (1, 5)]
+    assert np.abs(tables[0].probability(x) - plain.probability(x)).max() < 1e-3
+    for a, b in zip(*(t.trees for t in tables)):
+        assert all(np.array_equal(getattr(a, k), getattr(b, k)) for k in ("feature", "threshold", "value"))
+    assert boosting.fit_table(counted_table(spark, x, y, held).filter("held"), 4) is None
+
+
+def test_thresholds_of_a_table_keep_the_precision(spark):
+    r = np.random.default_rng(4)
+    x = np.stack([r.integers(0, 3, 9000), r.integers(0, 60, 9000)], axis=1).astype(float)
+    y = (r.random(9000) < np.where(x[:, 0] == 2, 0.3, x[:, 1] / 60)).astype(float)
+    held = np.arange(9000) % 2 == 0
+    counted = counted_table(spark, x, y, held)
+    trees = boosting.fit_table(counted, 2, trees=8)
+    got = pii.thresholds_of(counted, trees, 0.9)
+    p = trees.probability(x)
+    for i, kind in enumerate(pii.KINDS):
+        of = held & (x[:, 0] == i)
+        exact = pii.threshold(p[of], y[of], 0.9) if of.any() else 2.0
+        chosen = of & (p >= got[kind])
+        assert (got[kind] <= 1) == (exact <= 1) and (not chosen.any() or y[chosen].mean() >= 0.9)
+        assert set(p[of & (p >= exact)]) >= set(p[chosen]) and abs(got[kind] - exact) < 0.01
+    assert got["email"] <= 1 < got["card"]
