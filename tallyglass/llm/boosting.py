@@ -201,7 +201,7 @@ def fit_table(
 
     binned = in_workers(used, to_bins, "bins binary, n long, positives long").groupBy("bins")
     binned = binned.agg(F.sum("n").alias("n"), F.sum("positives").alias("positives"))
-    binned = binned.coalesce(counted.sparkSession.sparkContext.defaultParallelism)  # many passes over few rows
+    binned = binned.coalesce(min(64, counted.sparkSession.sparkContext.defaultParallelism))  # many passes over few rows
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,7 +259,7 @@ def grow_table(blocks: RDD, model: BoostedTrees, edges: list[np.ndarray], depth:
                     sums += [np.bincount(at + f * bins + x[:, f], w, sums.shape[1]) for w in (g, h)]
             yield sums
 
-        sums = blocks.mapPartitions(gradients).treeReduce(np.add) / UNIT
+        sums = blocks.mapPartitions(gradients).reduce(np.add) / UNIT  # at most 64 partitions of bounded sums
         for k, (g, h) in enumerate(sums.reshape(2, nodes, width, bins).swapaxes(0, 1)):
             all_g, all_h = g[0].sum(), h[0].sum()
             best, left = 1e-9, (all_g, all_h)
