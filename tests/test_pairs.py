@@ -364,3 +364,40 @@ def test_components_by_stars(spark):
             root[a] = root[b] = low
     assert found == {x: y for x, y in root.items() if x != y}
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+# --- all pairs of stored blocks ----------------------------------------------------------------------------------------
+@pytest.mark.parametrize("threshold", [-0.5, 0.3, 0.92, 0.999])
+def test_similar_rows_of_two_blocks(monkeypatch, threshold):
+    monkeypatch.setattr(pairs, "CUT_ROWS", 13)
+    monkeypatch.setattr(pairs, "COMPARED_AT_ONCE", 100)
+    x, y = word_like(150, 16, 8), near_copies(120, 16, 9, groups=4)
+    y = np.vstack([x[:40] + 0.01, y, -x[:5]])
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    found = [(i, j) for a, b, _ in pairs.similar_rows(x.astype(np.float32), y.astype(np.float32), threshold) for i, j in zip(a, b)]
+    cosines = x @ y.T
+    assert len(found) == len(set(found)) and {(i, j) for i, j in zip(*np.nonzero(cosines >= threshold + 1e-6))} <= set(found)
+    assert all(cosines[i, j] >= threshold - 1e-6 for i, j in found)
+
+
+@pytest.mark.parametrize("block_rows", [40, 5000])
+def test_a_row_meets_all_blocks_and_leaves_as_few_lines(spark, block_rows):
+    """However many blocks there are, vectors are not sent to their meetings, and lines do not grow with these."""
+    x = word_like(700, 24, 3)
+    folded = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "rep long, vec array<double>, copies long").checkpoint()
+    found = pairs.partners_and_roots(folded, 0.92, block_rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+    lines = found.toPandas()
+    near = x @ x.T >= 0.92
+    np.fill_diagonal(near, False)
+    counts = lines[lines["other"].isna()].set_index("rep")["links"]
+    assert counts.index.is_unique and counts.to_dict() == {i: n for i, n in enumerate(near.sum(axis=1)) if n}
+    assert (near.sum(axis=1) > 0).sum() > 350 and len(lines) <= 2.2 * len(x)
+
+
+def test_bands_that_send_rows_many_times_give_way(spark, monkeypatch):
+    """Bands that are less work, but of many blocks each: what they write would grow with the square of the rows."""
+    monkeypatch.setattr(bands, "STORED_COMPONENT_WORK", 1.0)
+    rows = as_rows(spark, word_like(1200, 32, 4)).selectExpr("id AS rep", "v AS vec", "1L AS copies").checkpoint()
+    assert [bands.all_pairs_are_less(rows, 0.92, 0.98, block, 0, stored=True) for block in (2048, 50)] == [False, True]
