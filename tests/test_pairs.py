@@ -396,6 +396,18 @@ def test_a_row_meets_all_blocks_and_leaves_as_few_lines(spark, block_rows):
     assert (near.sum(axis=1) > 0).sum() > 350 and len(lines) <= 2.2 * len(x)
 
 
+def test_vectors_do_not_move_to_find_classes(spark, monkeypatch):
+    from tallyglass.plans import joins
+
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    df = spark.createDataFrame([(0, [0.0, 1.0]), (1, [-0.0, 2.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [1.0, 0.001])], "id long, v array<double>")
+    classes = near_duplicate_classes(df.repartition(3), "id", "v", 0.92)
+    plan = classes._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and not any("vec" in line for line in plan.splitlines() if "Join" in line)
+    got = {r.id: (r.rep, r.copies, r.links, r.partners, r.class_id) for r in classes.collect()}
+    assert got == {0: (0, 3, 0, 2, 0), 1: (0, 3, 0, 2, 0), 3: (0, 3, 0, 2, 0), 2: (2, 1, 1, 1, 2), 5: (5, 1, 1, 1, 2), 4: (None, 1, 0, 0, 4)}
+
+
 def test_bands_that_send_rows_many_times_give_way(spark, monkeypatch):
     """Bands that are less work, but of many blocks each: what they write would grow with the square of the rows."""
     monkeypatch.setattr(bands, "STORED_COMPONENT_WORK", 1.0)
