@@ -408,6 +408,17 @@ def test_vectors_do_not_move_to_find_classes(spark, monkeypatch):
     assert got == {0: (0, 3, 0, 2, 0), 1: (0, 3, 0, 2, 0), 3: (0, 3, 0, 2, 0), 2: (2, 1, 1, 1, 2), 5: (5, 1, 1, 1, 2), 4: (None, 1, 0, 0, 4)}
 
 
+def test_words_are_counted_once_for_the_vectors_of_some_columns(spark):
+    from tallyglass.operators.vectors import embed_text
+
+    texts = ["a b c", "a b", "", None, "b b d", "...", "a b c"]
+    df = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "id long, t string, u string").repartition(2)
+    whole, some = embed_text(df, "t", 16), embed_text(df, "t", 16, kept=["id"])
+    assert some.columns == ["id", "embedding"] and "_words" in whole._jdf.queryExecution().logical().toString()
+    assert "words" not in some._jdf.queryExecution().logical().toString()
+    assert {r.id: r.embedding for r in some.collect()} == {r.id: r.embedding for r in whole.collect()}
+
+
 def test_bands_that_send_rows_many_times_give_way(spark, monkeypatch):
     """Bands that are less work, but of many blocks each: what they write would grow with the square of the rows."""
     monkeypatch.setattr(bands, "STORED_COMPONENT_WORK", 1.0)
